@@ -34,12 +34,19 @@ FIELD_ALIASES: Mapping[str, Sequence[str]] = {
 }
 
 
-def read_csv(spark: SparkSession, path: str | Sequence[str], pattern: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    pattern: str | None = None,
+    multi_line: bool = False,
+    source: str | None = None,
+) -> DataFrame:
     """Read headed CSV files as text columns, by name.
 
     ``path`` may be any URI Spark can open. All files of one call must have the same
     header; a different one is an error, not a silent swap of columns. Rows that are too
-    short are filled with nulls, rows that are too long are an error.
+    short are filled with nulls, rows that are too long are an error. ``source`` names a
+    column for the path of each row's file.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line)
     if pattern:
@@ -60,6 +67,8 @@ def read_csv(spark: SparkSession, path: str | Sequence[str], pattern: str | None
         .schema(T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())]))
         .csv(paths)
     )
+    if source:
+        rows = rows.select("*", F.col("_metadata.file_path").alias(source))
     wider = ", ".join(f"`{n}` STRING" for n in [*names, "__extra"])
     too_long = F.from_csv(F.col(_CORRUPT), wider)["__extra"].isNotNull()
     fine = F.when(F.col(_CORRUPT).isNull() | ~too_long, True).otherwise(
