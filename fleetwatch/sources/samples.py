@@ -71,7 +71,9 @@ def read_csv(
         rows = rows.select("*", F.col("_metadata.file_path").alias(source))
     wider = ", ".join(f"`{n}` STRING" for n in [*names, "__extra"])
     too_long = F.from_csv(F.col(_CORRUPT), wider)["__extra"].isNotNull()
-    fine = F.when(F.col(_CORRUPT).isNull() | ~too_long, True).otherwise(
+    # always true, but reads a column: Spark refuses scans of nothing but the corrupt record
+    true = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
+    fine = F.when(F.col(_CORRUPT).isNull() | ~too_long, true).otherwise(
         F.raise_error(F.concat(F.lit("Error parsing CSV file. Please check the file format: "), F.col(_CORRUPT))).cast("boolean")
     )
     return rows.filter(fine).drop(_CORRUPT)
