@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -128,17 +127,17 @@ def _page_images(pages: DataFrame) -> DataFrame:
     )
 
 
-def name_first_pod():
-    """A stand-in for a model: names the first pod of the text, says nothing against lines in pictures."""
-
-    def model(bodies: list[str]) -> list[str]:
-        first = [re.search(r"Pod: (.*?)\\n", body) for body in bodies]
-        return [f"<result><pod1>{m.group(1)}</pod1></result>" if m else "<result>无异常</result>" for m in first]
+def _stub_answers(samples: DataFrame) -> DataFrame:
+    def name_first_pod():
+        """A stand-in for a model: names the first pod of the text."""
+        import re
 
-    return model
+        def model(bodies: list[str]) -> list[str]:
+            first = [re.search(r"Pod: (.*?)\\n", body) for body in bodies]
+            return [f"<result><pod1>{m.group(1)}</pod1></result>" if m else "<result>无异常</result>" for m in first]
 
+        return model
 
-def _stub_answers(samples: DataFrame) -> DataFrame:
     answers = infer(text_requests(_texts(samples, SMALL_PART)), name_first_pod)
     return answers.select("service", "part", F.explode(all_tags("answer")).alias("pod"))
 
