@@ -18,8 +18,8 @@ from fleetwatch.functions.times import MICROS_PER_MINUTE, bucket_number, micros_
 from fleetwatch.operators.ordering import running_totals, with_neighbours
 from fleetwatch.operators.quantiles import group_medians
 from fleetwatch.operators.series import BY, ORDER, VALUE, Scoped, series_keys
-from fleetwatch.operators.skew import HotGroups, find_hot, hot_rows, join_table
-from fleetwatch.session import Table, materialise
+from fleetwatch.operators.skew import HotGroups, derived, find_hot, hot_rows, join_table
+from fleetwatch.session import Table, materialise, materialise_kinds
 
 MAD_SCALE = 1.4826  # turns a median absolute deviation into a standard deviation, for normal noise
 
@@ -69,8 +69,8 @@ def despiked(rows: DataFrame, by: Sequence[str], limits: Thresholds, hot: HotGro
 class Detector:
     """The rules over one set of scoped samples.
 
-    Smoothed rows are read by three aggregations that share their shuffle; everything
-    after them works on one row per pod, or per pod and time bucket.
+    Smoothed rows are read by three aggregations that share one shuffle of the samples;
+    everything after them works on one row per pod, or per pod and time bucket.
     """
 
     def __init__(self, scoped: Scoped, by: Sequence[str] = BY, limits: Thresholds = Thresholds()):
@@ -78,6 +78,7 @@ class Detector:
         self.keys = series_keys(by)
         self.limits = limits
         self.hot = scoped.hot
+        self._tables: dict[str, Table] = {}
         self.rows = scoped.rows.filter(F.col("timestamp").isNotNull() & F.col(VALUE).isNotNull())
 
     @cached_property
@@ -86,20 +87,60 @@ class Detector:
         # hot groups are counted several times further on: do not smooth them anew each time
         return rows if self.hot.table is None else materialise(rows).df
 
-    @cached_property
+    def _pod_figures(self) -> DataFrame:
+        return group_medians(
+            self.smoothed, self.keys, "smooth", "middle", self.hot,
+            others=(
+                F.min("smooth").alias("low"),
+                F.max("smooth").alias("top"),
+                F.stddev_samp("smooth").alias("spread"),
+                F.count(F.lit(1)).alias("n"),
+            ),
+        )
+
+    def _bucket_levels(self) -> DataFrame:
+        bucket = bucket_number("timestamp", self.limits.shape_minutes)
+        return self.smoothed.groupBy(*self.keys, bucket.alias("bucket")).agg(F.avg("smooth").alias("pod_level"))
+
+    def _high_stretches(self) -> DataFrame:
+        """Length of the longest unbroken stretch of high values of each pod that has any."""
+        is_high = F.col("smooth") >= self.limits.high_value
+        marks = running_totals(
+            self.smoothed, self.keys, ORDER,
+            {"__pos": F.lit(1).cast("bigint"), "__high": is_high.cast("bigint")}, self.hot,
+        )
+        stretches = (
+            marks.filter(is_high)
+            .groupBy(*self.keys, (F.col("__pos") - F.col("__high")).alias("__stretch"))
+            .agg(micros_between(F.min("timestamp"), F.max("timestamp")).alias("__length"))
+        )
+        return stretches.groupBy(*self.keys).agg(F.max("__length").alias("longest"))
+
+    def _measure(self, *kinds: str) -> None:
+        """Write the figures of these kinds in one job: one scan, one shuffle of the samples."""
+        make = {"pods": self._pod_figures, "buckets": self._bucket_levels, "stretches": self._high_stretches}
+        wanted = {kind: make[kind]() for kind in kinds if kind not in self._tables}
+        if wanted:
+            self._tables |= materialise_kinds(wanted)
+
+    def _table(self, kind: str) -> Table:
+        self._measure(kind)
+        return self._tables[kind]
+
+    @property
     def pods(self) -> Table:
         """One row per pod: median, range, spread and number of its smoothed values."""
-        return materialise(
-            group_medians(
-                self.smoothed, self.keys, "smooth", "middle", self.hot,
-                others=(
-                    F.min("smooth").alias("low"),
-                    F.max("smooth").alias("top"),
-                    F.stddev_samp("smooth").alias("spread"),
-                    F.count(F.lit(1)).alias("n"),
-                ),
-            )
-        )
+        return self._table("pods")
+
+    @property
+    def buckets(self) -> Table:
+        """Mean of each pod in each time bucket."""
+        return self._table("buckets")
+
+    @property
+    def stretches(self) -> Table:
+        """One row per pod with high values: length of the longest stretch of them."""
+        return self._table("stretches")
 
     def _hot_peers(self, df: DataFrame, rows: int, keys: Sequence[str]) -> HotGroups:
         """Hot groups of peers. None can be hot where all rows together are few."""
@@ -113,14 +154,12 @@ class Detector:
     @cached_property
     def services(self) -> Table:
         """One row per service: median of its pods' medians and spreads, and the range of all values."""
-        return materialise(
-            group_medians(
-                self.pods.df, self.by, "middle", "service_middle", self._hot_services,
-                others=(F.min("low").alias("service_low"), F.max("top").alias("service_top")),
-            ).join(
-                group_medians(self.pods.df, self.by, "spread", "service_spread", self._hot_services), self.by
-            )
+        levels = group_medians(
+            self.pods.df, self.by, "middle", "service_middle", self._hot_services,
+            others=(F.min("low").alias("service_low"), F.max("top").alias("service_top")),
         )
+        spreads = group_medians(self.pods.df, self.by, "spread", "service_spread", self._hot_services)
+        return derived(levels.join(spreads, self.by), self.pods)
 
     @cached_property
     def _placed(self) -> DataFrame:
@@ -129,7 +168,7 @@ class Detector:
     def level(self) -> DataFrame:
         """Distance of the pod's median from the service's, in robust standard deviations."""
         away = self._placed.withColumn("__away", F.abs(F.col("middle") - F.col("service_middle")))
-        gaps = materialise(group_medians(away, self.by, "__away", "gap", self._hot_services))
+        gaps = derived(group_medians(away, self.by, "__away", "gap", self._hot_services), self.pods)
         scale = F.greatest(
             MAD_SCALE * F.col("gap"), self.limits.level_floor * (F.col("service_top") - F.col("service_low"))
         )
@@ -150,35 +189,17 @@ class Detector:
 
     def high(self) -> DataFrame:
         """Minutes of the longest unbroken stretch of high values, where the service itself is not high."""
-        is_high = F.col("smooth") >= self.limits.high_value
-        marks = running_totals(
-            self.smoothed, self.keys, ORDER,
-            {"__pos": F.lit(1).cast("bigint"), "__high": is_high.cast("bigint")}, self.hot,
-        )
-        stretches = (
-            marks.filter(is_high)
-            .groupBy(*self.keys, (F.col("__pos") - F.col("__high")).alias("__stretch"))
-            .agg(micros_between(F.min("timestamp"), F.max("timestamp")).alias("__length"))
-        )
-        longest = stretches.groupBy(*self.keys).agg(F.max("__length").alias("__longest"))
-        placed = self._placed.join(longest, self.keys, "left")
-        score = F.coalesce("__longest", F.lit(0)) / F.lit(float(MICROS_PER_MINUTE))
+        self._measure("pods", "stretches")
+        placed = self._placed.join(self.stretches.df, self.keys, "left")
+        score = F.coalesce("longest", F.lit(0)) / F.lit(float(MICROS_PER_MINUTE))
         flagged = (score >= self.limits.high_minutes) & (F.col("service_middle") < self.limits.high_value)
-        return self._scored(placed, score, F.col("__longest").isNotNull() & flagged)
-
-    @cached_property
-    def buckets(self) -> Table:
-        """Mean of each pod in each time bucket."""
-        bucket = bucket_number("timestamp", self.limits.shape_minutes)
-        return materialise(
-            self.smoothed.groupBy(*self.keys, bucket.alias("bucket")).agg(F.avg("smooth").alias("pod_level"))
-        )
+        return self._scored(placed, score, F.col("longest").isNotNull() & flagged)
 
     def shape(self) -> DataFrame:
         """Correlation of the pod with the median line of its service."""
         on = [*self.by, "bucket"]
         hot = self._hot_peers(self.buckets.df, self.buckets.rows, on)
-        line = materialise(group_medians(self.buckets.df, on, "pod_level", "line", hot))
+        line = derived(group_medians(self.buckets.df, on, "pod_level", "line", hot), self.buckets)
         both = join_table(self.buckets.df, line, on).groupBy(*self.keys).agg(
             F.covar_pop("pod_level", "line").alias("__together"),
             F.stddev_pop("pod_level").alias("__one"),
@@ -195,6 +216,7 @@ class Detector:
 
     def findings(self) -> DataFrame:
         """Every rule that flags a pod, with the path (text or chart) it belongs to."""
+        self._measure("pods", "buckets", "stretches")
         rules = {
             "level": (self.level(), "text"),
             "axis": (self.axis(), "chart"),

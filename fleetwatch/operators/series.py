@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from fleetwatch.fixed_values import KEEP_EVERY, WINDOW_FRACTION, WINDOW_HOURS
 from fleetwatch.functions.times import MICROS_PER_HOUR, hours_between, micros_between, plus_micros
 from fleetwatch.operators.ordering import positions
-from fleetwatch.operators.skew import HotGroups, find_hot, join_table
+from fleetwatch.operators.skew import HotGroups, derived, find_hot, hot_rows, join_table
 from fleetwatch.session import Table, materialise
 
 BY = ("service",)
@@ -33,10 +33,6 @@ def keyed(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return samples.dropna(subset=series_keys(by))
 
 
-def pods(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    return keyed(samples, by).select(*series_keys(by)).distinct()
-
-
 def group_sizes(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return keyed(samples, by).groupBy(*series_keys(by)).agg(
         F.count(F.lit(1)).alias("n_rows"),
@@ -60,11 +56,21 @@ def group_stats(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     return keyed(samples, by).groupBy(*series_keys(by)).agg(*_statistics())
 
 
+def profile(samples: DataFrame, by: Sequence[str] = BY) -> Table:
+    """Sizes and ends of all series as a written table: the one extra pass over the samples that planning needs."""
+    return materialise(group_sizes(samples, by))
+
+
 def service_range(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
     """First and last time of each service over all its pods, and the hours between."""
-    ends = keyed(samples, by).groupBy(*by).agg(
-        F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
+    return _with_span(
+        keyed(samples, by).groupBy(*by).agg(
+            F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time")
+        )
     )
+
+
+def _with_span(ends: DataFrame) -> DataFrame:
     return ends.withColumn("span_hours", hours_between("first_time", "last_time"))
 
 
@@ -74,8 +80,11 @@ def service_window(samples: DataFrame, hours: float = WINDOW_HOURS, by: Sequence
     A service that spans more than ``hours`` gets a window of exactly that length, which
     starts after a fixed share of the spare time; any other keeps its whole span.
     """
+    return _window_of(service_range(samples, by), hours, by)
+
+
+def _window_of(ends: DataFrame, hours: float, by: Sequence[str]) -> DataFrame:
     length = F.lit(round(hours * MICROS_PER_HOUR)).cast("bigint")
-    ends = service_range(samples, by)
     span = micros_between("first_time", "last_time")
     shift = F.rint((span - length) * F.lit(WINDOW_FRACTION)).cast("bigint")
     is_long = span > length
@@ -87,9 +96,10 @@ def service_window(samples: DataFrame, hours: float = WINDOW_HOURS, by: Sequence
     )
 
 
-def window_bounds(samples: DataFrame, hours: float = WINDOW_HOURS, by: Sequence[str] = BY) -> Table:
-    """The windows as a written table of known size, one row per service."""
-    return materialise(service_window(samples, hours, by))
+def window_bounds(profiled: Table, hours: float = WINDOW_HOURS, by: Sequence[str] = BY) -> Table:
+    """The windows of all services, from the profile of their series."""
+    ends = profiled.df.groupBy(*by).agg(F.min("first_time").alias("first_time"), F.max("last_time").alias("last_time"))
+    return derived(_window_of(ends, hours, by), profiled)
 
 
 def window_cut(samples: DataFrame, bounds: Table, by: Sequence[str] = BY) -> DataFrame:
@@ -110,9 +120,10 @@ def downsampled(
 
 @dataclass(frozen=True)
 class Scoped:
-    """Samples to analyse, and which of their pods may be hot."""
+    """Samples to analyse, the series they belong to, and which of these may be hot."""
 
     rows: DataFrame
+    series: Table
     hot: HotGroups
 
 
@@ -122,24 +133,28 @@ def scoped(
     hours: float = WINDOW_HOURS,
     every: int = KEEP_EVERY,
     by: Sequence[str] = BY,
-    bounds: Table | None = None,
+    profiled: Table | None = None,
 ) -> Scoped:
     """Samples to analyse: windowed and downsampled (``window``), or all (``full``)."""
+    if scope not in ("window", "full"):
+        raise ValueError(f"Unknown scope: {scope}")
     keys = series_keys(by)
+    profiled = profiled or profile(samples, by)
+    limit = hot_rows(samples.sparkSession)
+    big = profiled.df.filter(F.col("n_rows") > limit).select(*keys)
     if scope == "full":
-        rows = keyed(samples, by)
-        return Scoped(rows, find_hot(rows, keys))
-    if scope != "window":
-        raise ValueError(f"Unknown scope: {scope}")
-    inside = window_cut(samples, bounds or window_bounds(samples, hours, by), by)
-    hot = find_hot(inside, keys)
+        hot = HotGroups(tuple(keys), limit) if big.isEmpty() else HotGroups(tuple(keys), limit, materialise(big))
+        return Scoped(keyed(samples, by), profiled, hot)
+    inside = window_cut(samples, window_bounds(profiled, hours, by), by)
+    # only a series that is big as a whole can be big inside the window
+    hot = HotGroups(tuple(keys), limit) if big.isEmpty() else find_hot(inside, keys, limit)
     rows = downsampled(inside, every, by, hot)
     # hot groups are counted several times further on: do not place their rows anew each time
-    return Scoped(rows if hot.table is None else materialise(rows).df, hot)
+    return Scoped(rows if hot.table is None else materialise(rows).df, profiled, hot)
 
 
-def window_stats(samples: DataFrame, rows: DataFrame, by: Sequence[str] = BY) -> DataFrame:
-    """Statistics of the scoped ``rows``; a pod without any keeps a row of nulls."""
+def window_stats(rows: Scoped, by: Sequence[str] = BY) -> DataFrame:
+    """Statistics of the scoped rows; a pod without any keeps a row of nulls."""
     keys = series_keys(by)
-    stats = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_statistics())
-    return pods(samples, by).join(stats, keys, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
+    stats = rows.rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *_statistics())
+    return rows.series.df.select(*keys).join(stats, keys, "left").withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))

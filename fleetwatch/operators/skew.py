@@ -70,6 +70,11 @@ def fits_broadcast(table: Table) -> bool:
     return table.rows <= BROADCAST_ROWS and table.bytes <= BROADCAST_BYTES
 
 
+def derived(df: DataFrame, origin: Table) -> Table:
+    """A table with at most as many rows as ``origin``: left to be computed on the fly where that is few."""
+    return Table(df, origin.rows, origin.bytes) if fits_broadcast(origin) else materialise(df)
+
+
 def join_table(big: DataFrame, table: Table, on: Sequence[str], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Join ``big`` with a written table that has at most one row per key.
 

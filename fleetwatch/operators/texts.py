@@ -16,9 +16,9 @@ from fleetwatch.fixed_values import (
 )
 from fleetwatch.functions.text import fill, two_decimals
 from fleetwatch.operators.ordering import positions, running_totals
-from fleetwatch.operators.series import BY, MEMBER, ORDER, VALUE, Scoped, pods, series_keys, window_stats
-from fleetwatch.operators.skew import find_hot
-from fleetwatch.session import materialise
+from fleetwatch.operators.series import BY, MEMBER, ORDER, VALUE, Scoped, profile, series_keys, window_stats
+from fleetwatch.operators.skew import derived, find_hot, join_table
+from fleetwatch.session import materialise_kinds
 from fleetwatch.sources.logs import STREAM_KEYS
 
 PART_VALUES = 20_000
@@ -33,7 +33,7 @@ def _joined(text: str, order: Sequence[str], where: str = "true"):
 
 def pods_per_service(samples: DataFrame, by: Sequence[str] = BY, part_pods: int = PART_PODS) -> DataFrame:
     """The pods of each service, in key order."""
-    members = pods(samples, by)
+    members = profile(samples, by).df.select(*series_keys(by))
     placed = positions(members, by, MEMBER, find_hot(members, by))
     part = F.floor((F.col("pos") - 1) / part_pods).cast("bigint")
     return placed.groupBy(*by, part.alias("part")).agg(
@@ -41,10 +41,10 @@ def pods_per_service(samples: DataFrame, by: Sequence[str] = BY, part_pods: int
     )
 
 
-def _pod_blocks(samples: DataFrame, scoped: Scoped, by: Sequence[str], part_values: int) -> DataFrame:
+def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int) -> DataFrame:
     """Values text per pod, and per ``part_values`` values where a pod has more. Pods without rows have one block."""
     keys = series_keys(by)
-    placed = positions(scoped.rows, keys, ORDER, scoped.hot)
+    placed = positions(rows.rows, keys, ORDER, rows.hot)
     chunk = F.floor((F.col("pos") - 1) / part_values).cast("bigint")
     line = F.concat(
         F.when(F.pmod(F.col("pos") - 1, F.lit(part_values)) > 0, "\n").otherwise(""),
@@ -57,28 +57,35 @@ def _pod_blocks(samples: DataFrame, scoped: Scoped, by: Sequence[str], part_valu
         .agg(F.count(F.lit(1)).alias("n"), _joined("line", ["pos"]).alias("lines"))
     )
     return (
-        pods(samples, by).join(texts, keys, "left")
+        rows.series.df.select(*keys).join(texts, keys, "left")
         .withColumn("chunk", F.coalesce("chunk", F.lit(0)))
         .withColumn("n", F.coalesce("n", F.lit(1)))
         .withColumn("lines", F.coalesce("lines", F.lit(NO_VALUES)))
     )
 
 
-def service_texts(samples: DataFrame, scoped: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES) -> DataFrame:
-    """Statistics text and values text of each service."""
+def service_texts(rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES) -> DataFrame:
+    """Statistics text and values text of each service.
+
+    Parts are laid out on block sizes alone; the long texts move once, to their part.
+    """
     keys = series_keys(by)
-    blocks = materialise(_pod_blocks(samples, scoped, by, part_values)).df
-    packed = running_totals(blocks, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(blocks, by))
-    stats = window_stats(samples, scoped.rows, by)
+    made = materialise_kinds({"blocks": _pod_blocks(rows, by, part_values), "stats": window_stats(rows, by)})
+    blocks, stats = made["blocks"], made["stats"].df
+    sizes = blocks.df.select(*keys, "chunk", "n")
+    upto = running_totals(sizes, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(sizes, by))
+    part = F.floor((F.col("upto") - F.col("n")) / part_values).cast("bigint")
+    layout = upto.select(*keys, "chunk", part.alias("part")).withColumn(
+        "nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("chunk"))
+    )
     head = fill(POD_HEAD, {"pod": F.col("pod"), "node": F.col("node")})
     numbers = fill(STATS_LINE, {c: two_decimals(c) for c in ("mean", "max", "min", "std")})
-    rows = (
-        packed.withColumn("part", F.floor((F.col("upto") - F.col("n")) / part_values).cast("bigint"))
+    placed = (
+        join_table(blocks.df, derived(layout, blocks), [*keys, "chunk"])
         .join(stats.select(*keys, F.concat(head, numbers).alias("stats_block")), keys)
-        .withColumn("nth", F.row_number().over(Window.partitionBy(*by, "part", *MEMBER).orderBy("chunk")))
         .withColumn("values_block", F.concat(head, F.lit(VALUES_HEAD), F.col("lines"), F.lit(VALUES_END)))
     )
-    return rows.groupBy(*by, "part").agg(
+    return placed.groupBy(*by, "part").agg(
         F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).alias("n_pods"),
         F.concat(F.lit(STATS_HEADING), _joined("stats_block", MEMBER, "nth = 1")).alias("stats_text"),
         F.concat(F.lit(VALUES_HEADING), _joined("values_block", [*MEMBER, "chunk"])).alias("values_text"),

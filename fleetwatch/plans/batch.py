@@ -13,7 +13,7 @@ from fleetwatch.operators.charts import anomalous_series, chart_meta, chart_seri
 from fleetwatch.operators.detector import Detector, Thresholds
 from fleetwatch.operators.inference import Model, infer
 from fleetwatch.operators.requests import image_requests, text_requests
-from fleetwatch.operators.series import BY, Scoped, scoped, window_bounds
+from fleetwatch.operators.series import BY, Scoped, profile, scoped, window_bounds
 from fleetwatch.operators.texts import service_texts
 from fleetwatch.session import Table, materialise
 from fleetwatch.sinks.tables import write_charts, write_json, write_report
@@ -63,13 +63,14 @@ def analyse(
     Charts always show the windowed and downsampled rows; ``scope`` says which rows are
     analysed.
     """
-    bounds = window_bounds(samples, hours, by)
-    shown = scoped(samples, "window", hours, by=by, bounds=bounds)
-    rows = shown if scope == "window" else scoped(samples, scope, by=by)
+    profiled = profile(samples, by)
+    windows = window_bounds(profiled, hours, by).df
+    shown = scoped(samples, "window", hours, by=by, profiled=profiled)
+    rows = shown if scope == "window" else scoped(samples, scope, by=by, profiled=profiled)
     if make_model is None:
         found = materialise(Detector(rows, by, limits).findings()).df
     else:
-        found = _ask(samples, rows, by, make_model, images)
+        found = _ask(rows, by, make_model, images)
         if known_only:
             found = only_known(found, samples, by)
     return Report(
@@ -77,15 +78,13 @@ def analyse(
         anomalies=materialise(anomalies(found, by)),
         found=found,
         series=chart_series(shown.rows, by),
-        ticks=chart_ticks(bounds.df, by=by),
-        meta=chart_meta(bounds.df, hours, by),
+        ticks=chart_ticks(windows, by=by),
+        meta=chart_meta(windows, hours, by),
     )
 
 
-def _ask(
-    samples: DataFrame, rows: Scoped, by: Sequence[str], make_model: Callable[[], Model], images: DataFrame | None
-) -> DataFrame:
-    requests = text_requests(service_texts(samples, rows, by), by)
+def _ask(rows: Scoped, by: Sequence[str], make_model: Callable[[], Model], images: DataFrame | None) -> DataFrame:
+    requests = text_requests(service_texts(rows, by), by)
     if images is not None:
         requests = requests.unionByName(image_requests(images))
     answers = materialise(infer(requests, make_model)).df  # each request is asked once

@@ -66,7 +66,7 @@ def on_pages(compute: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _cut(samples: DataFrame, hours: float) -> DataFrame:
-    return series.window_cut(samples, series.window_bounds(samples, hours))
+    return series.window_cut(samples, series.window_bounds(series.profile(samples), hours))
 
 
 def _rows(samples: DataFrame, hours: float) -> DataFrame:
@@ -86,7 +86,7 @@ def _smoothed(samples: DataFrame, scope: str) -> DataFrame:
 
 
 def _texts(samples: DataFrame, part_values: int = texts.PART_VALUES) -> DataFrame:
-    return texts.service_texts(samples, series.scoped(samples, hours=WEEK), part_values=part_values)
+    return texts.service_texts(series.scoped(samples, hours=WEEK), part_values=part_values)
 
 
 def _anomalous_series(samples: DataFrame) -> DataFrame:
@@ -221,7 +221,7 @@ def all_queries() -> dict[str, Query]:
             f"service_window{suffix}": on_samples(lambda s, h=hours: series.service_window(s, h)),
             f"window_cut{suffix}": on_samples(lambda s, h=hours: _cut(s, h)),
             f"downsampled{suffix}": on_samples(lambda s, h=hours: _rows(s, h)),
-            f"window_stats{suffix}": on_samples(lambda s, h=hours: series.window_stats(s, _rows(s, h))),
+            f"window_stats{suffix}": on_samples(lambda s, h=hours: series.window_stats(series.scoped(s, hours=h))),
             f"chart_series{suffix}": on_samples(lambda s, h=hours: charts.chart_series(_rows(s, h))),
             f"chart_ticks{suffix}": on_samples(lambda s, h=hours: charts.chart_ticks(series.service_window(s, h))),
             f"chart_meta{suffix}": on_samples(lambda s, h=hours: charts.chart_meta(series.service_window(s, h), h)),

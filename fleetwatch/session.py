@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
 
@@ -42,7 +46,7 @@ def scratch_root(spark: SparkSession) -> str:
 
 @dataclass(frozen=True)
 class Table:
-    """A DataFrame that has been written to the scratch folder, with its measured size."""
+    """A DataFrame of known size: written and measured, or derived from one that was."""
 
     df: DataFrame
     rows: int
@@ -56,22 +60,52 @@ def materialise(df: DataFrame) -> Table:
     back has a known size, so later joins can be planned on facts.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    path = _new_path(spark)
     df.write.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
+    return _read_back(spark, path, df.schema)
+
+
+def materialise_kinds(frames: Mapping[str, DataFrame]) -> dict[str, Table]:
+    """Write several DataFrames in one job, so that they share scans and shuffles where they can."""
+    if len(frames) == 1:
+        return {kind: materialise(df) for kind, df in frames.items()}
+    spark = next(iter(frames.values())).sparkSession
+    path = _new_path(spark)
+    tagged = [df.withColumn("__kind", F.lit(kind)) for kind, df in frames.items()]
+    union = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), tagged)
+    union.hint("rebalance", "__kind").write.partitionBy("__kind").parquet(path)
+    return {
+        kind: _read_back(spark, f"{path}/__kind={kind}", df.schema) if _exists(spark, f"{path}/__kind={kind}")
+        else Table(spark.createDataFrame([], df.schema), 0, 0)
+        for kind, df in frames.items()
+    }
+
+
+def _new_path(spark: SparkSession) -> str:
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+
+def _read_back(spark: SparkSession, path: str, schema: T.StructType) -> Table:
+    back = spark.read.schema(schema).parquet(path)
     return Table(back, back.count(), _folder_bytes(spark, path))
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the scratch folder, once no result needs it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    _file_system(spark, path).delete(path, True)
+    path, files = _on_storage(spark, scratch_root(spark))
+    files.delete(path, True)
 
 
-def _file_system(spark: SparkSession, path):
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def _on_storage(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _folder_bytes(spark: SparkSession, folder: str) -> int:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return _file_system(spark, path).getContentSummary(path).getLength()
+    path, files = _on_storage(spark, folder)
+    return files.getContentSummary(path).getLength()
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path, files = _on_storage(spark, folder)
+    return files.exists(path)

@@ -104,7 +104,7 @@ def test_stats_and_values_text(spark, sample_path):
     from fleetwatch.sources.samples import read_samples
 
     samples = read_samples(spark, sample_path)
-    row = texts.service_texts(samples, scoped(samples)).filter("service = 'frontend'").first()
+    row = texts.service_texts(scoped(samples)).filter("service = 'frontend'").first()
     assert row.stats_text.startswith(
         "Statistics:\nPod: frontend-pod-1\nNode: node-1\nMean: 48.65, Max: 52.10, Min: 45.20, Std: 4.88\n\nPod: frontend-pod-2\n"
     )
@@ -117,7 +117,7 @@ def test_stats_and_values_text(spark, sample_path):
 def test_texts_of_a_pod_without_rows(spark):
     samples = points(spark, {"a": [1.0, 2.0]}).unionByName(points(spark, {"b": [1.0]}).selectExpr(
         "service", "pod", "node", "CAST(NULL AS timestamp_ntz) AS timestamp", "cpuusage", "seq + 10 AS seq"))
-    row = texts.service_texts(samples, scoped(samples)).first()
+    row = texts.service_texts(scoped(samples)).first()
     assert "Pod: b\nNode: n\nMean: nan, Max: nan, Min: nan, Std: nan\n\n" in row.stats_text
     assert row.values_text.endswith("Pod: b\nNode: n\nData:\nSeries([], )\n\n")
     assert (row.part, row.n_pods) == (0, 2)
@@ -125,7 +125,7 @@ def test_texts_of_a_pod_without_rows(spark):
 
 def test_parts_hold_every_value_once(spark):
     samples = points(spark, {f"p{i}": [float(j) for j in range(i * 3)] for i in range(1, 8)})
-    parts = texts.service_texts(samples, scoped(samples, "full"), part_values=5).collect()
+    parts = texts.service_texts(scoped(samples, "full"), part_values=5).collect()
     lines = [line for r in parts for line in r.values_text.splitlines() if line[:1].isdigit()]
     assert len(lines) == samples.count() and len(parts) > 5
     assert all(sum(line[:1].isdigit() for line in r.values_text.splitlines()) < 10 for r in parts)
@@ -133,7 +133,7 @@ def test_parts_hold_every_value_once(spark):
 
 def test_requests_through_files(spark, tmp_path):
     samples = points(spark, {"a": [1.0, 2.0], "b": [3.0, 4.0]})
-    requests = text_requests(texts.service_texts(samples, scoped(samples)))
+    requests = text_requests(texts.service_texts(scoped(samples)))
     write_requests(requests, str(tmp_path / "requests"))
     sent = [json.loads(line) for f in (tmp_path / "requests").glob("*.json") for line in f.read_text().splitlines()]
     assert [(r["service"], r["part"], r["path"]) for r in sent] == [("s", 0, "text")]

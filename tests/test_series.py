@@ -52,7 +52,7 @@ def test_longer_span_is_cut_to_eight_hours(spark):
 
 def test_window_covers_all_pods_of_a_service_and_keeps_both_ends(spark):
     one = at(spark, [0 * HOURS, 1 * HOURS], "a").unionByName(at(spark, [2 * HOURS, None], "b"))
-    cut = series.window_cut(one, series.window_bounds(one))
+    cut = series.window_cut(one, series.window_bounds(series.profile(one)))
     assert {r.timestamp for r in cut.collect()} == {START, START + HOURS, START + 2 * HOURS}
 
 
@@ -81,7 +81,7 @@ def test_pod_without_rows_in_the_window_is_kept(spark):
     busy = points(spark, {"a": [float(i % 7) for i in range(20)]}, step_minutes=60)
     late = frame(spark, [("s", "b", "n", START, 1.0, 99)])
     samples = busy.unionByName(late)
-    stats = {r.pod: r for r in series.window_stats(samples, series.scoped(samples).rows).collect()}
+    stats = {r.pod: r for r in series.window_stats(series.scoped(samples)).collect()}
     assert stats["b"].n_rows == 0 and stats["b"]["mean"] is None
     assert stats["a"].n_rows > 0
 

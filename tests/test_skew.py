@@ -121,7 +121,7 @@ def test_texts_with_hot_services(spark, hot_limit):
     samples = skewed(spark, 300)
 
     def result():
-        return tuples(texts.service_texts(samples, series.scoped(samples, hours=4), part_values=13))
+        return tuples(texts.service_texts(series.scoped(samples, hours=4), part_values=13))
 
     plain = result()
     hot_limit(9)
