@@ -18,7 +18,7 @@ from fleetwatch.functions.times import MICROS_PER_MINUTE, bucket_number, micros_
 from fleetwatch.operators.ordering import running_totals, with_neighbours
 from fleetwatch.operators.quantiles import group_medians
 from fleetwatch.operators.series import BY, ORDER, VALUE, Scoped, series_keys
-from fleetwatch.operators.skew import HotGroups, derived, find_hot, hot_rows, join_table
+from fleetwatch.operators.skew import HotGroups, derived, find_hot, join_table
 from fleetwatch.session import Table, materialise, materialise_kinds
 
 MAD_SCALE = 1.4826  # turns a median absolute deviation into a standard deviation, for normal noise
@@ -89,7 +89,7 @@ class Detector:
 
     def _pod_figures(self) -> DataFrame:
         return group_medians(
-            self.smoothed, self.keys, "smooth", "middle", self.hot,
+            self.smoothed, self.keys, {"smooth": "middle"}, self.hot,
             others=(
                 F.min("smooth").alias("low"),
                 F.max("smooth").alias("top"),
@@ -142,64 +142,65 @@ class Detector:
         """One row per pod with high values: length of the longest stretch of them."""
         return self._table("stretches")
 
-    def _hot_peers(self, df: DataFrame, rows: int, keys: Sequence[str]) -> HotGroups:
-        """Hot groups of peers. None can be hot where all rows together are few."""
-        limit = hot_rows(df.sparkSession)
-        return HotGroups(tuple(keys), limit) if rows <= limit else find_hot(df, keys)
-
-    @cached_property
-    def _hot_services(self) -> HotGroups:
-        return self._hot_peers(self.pods.df, self.pods.rows, self.by)
-
     @cached_property
-    def services(self) -> Table:
-        """One row per service: median of its pods' medians and spreads, and the range of all values."""
-        levels = group_medians(
-            self.pods.df, self.by, "middle", "service_middle", self._hot_services,
+    def _judged(self) -> DataFrame:
+        """One row per pod with its own figures and those of its service."""
+        hot = find_hot(self.pods.df, self.by, at_most=self.pods.rows)
+        services = group_medians(
+            self.pods.df, self.by, {"middle": "service_middle", "spread": "service_spread"}, hot,
             others=(F.min("low").alias("service_low"), F.max("top").alias("service_top")),
         )
-        spreads = group_medians(self.pods.df, self.by, "spread", "service_spread", self._hot_services)
-        return derived(levels.join(spreads, self.by), self.pods)
+        placed = join_table(self.pods.df, derived(services, self.pods), self.by)
+        placed = placed.withColumn("away", F.abs(F.col("middle") - F.col("service_middle")))
+        gaps = group_medians(placed, self.by, {"away": "service_gap"}, hot)
+        return join_table(placed, derived(gaps, self.pods), self.by).withColumn(
+            "service_range", F.col("service_top") - F.col("service_low")
+        )
 
-    @cached_property
-    def _placed(self) -> DataFrame:
-        return join_table(self.pods.df, self.services, self.by)
+    def _level(self) -> tuple[Column, Column]:
+        scale = F.greatest(MAD_SCALE * F.col("service_gap"), self.limits.level_floor * F.col("service_range"))
+        score = (F.col("middle") - F.col("service_middle")) / F.nullif(scale, F.lit(0.0))
+        return score, F.abs(score) > self.limits.level_cut
+
+    def _axis(self) -> tuple[Column, Column]:
+        score = F.col("away") / F.nullif(F.col("service_range"), F.lit(0.0))
+        return score, score > self.limits.axis_cut
+
+    def _flat(self) -> tuple[Column, Column]:
+        score = F.col("spread") / F.nullif(F.col("service_spread"), F.lit(0.0))
+        is_flat = F.col("spread") < self.limits.flat_share * F.col("service_spread")
+        return score, is_flat & (F.col("n") >= self.limits.flat_rows)
+
+    def _high(self) -> tuple[Column, Column]:
+        score = F.coalesce("longest", F.lit(0)) / F.lit(float(MICROS_PER_MINUTE))
+        is_long = F.col("longest").isNotNull() & (score >= self.limits.high_minutes)
+        return score, is_long & (F.col("service_middle") < self.limits.high_value)
 
     def level(self) -> DataFrame:
         """Distance of the pod's median from the service's, in robust standard deviations."""
-        away = self._placed.withColumn("__away", F.abs(F.col("middle") - F.col("service_middle")))
-        gaps = derived(group_medians(away, self.by, "__away", "gap", self._hot_services), self.pods)
-        scale = F.greatest(
-            MAD_SCALE * F.col("gap"), self.limits.level_floor * (F.col("service_top") - F.col("service_low"))
-        )
-        score = (F.col("middle") - F.col("service_middle")) / F.nullif(scale, F.lit(0.0))
-        return self._scored(join_table(self._placed, gaps, self.by), score, F.abs(score) > self.limits.level_cut)
+        return self._scored(self._judged, *self._level())
 
     def axis(self) -> DataFrame:
         """Distance of the pod's median from the service's, as a share of the chart's vertical range."""
-        reach = F.nullif(F.col("service_top") - F.col("service_low"), F.lit(0.0))
-        score = F.abs(F.col("middle") - F.col("service_middle")) / reach
-        return self._scored(self._placed, score, score > self.limits.axis_cut)
+        return self._scored(self._judged, *self._axis())
 
     def flat(self) -> DataFrame:
         """Spread of the pod as a share of the median spread of its service."""
-        score = F.col("spread") / F.nullif(F.col("service_spread"), F.lit(0.0))
-        flagged = (F.col("spread") < self.limits.flat_share * F.col("service_spread")) & (F.col("n") >= self.limits.flat_rows)
-        return self._scored(self._placed, score, flagged)
+        return self._scored(self._judged, *self._flat())
 
     def high(self) -> DataFrame:
         """Minutes of the longest unbroken stretch of high values, where the service itself is not high."""
         self._measure("pods", "stretches")
-        placed = self._placed.join(self.stretches.df, self.keys, "left")
-        score = F.coalesce("longest", F.lit(0)) / F.lit(float(MICROS_PER_MINUTE))
-        flagged = (score >= self.limits.high_minutes) & (F.col("service_middle") < self.limits.high_value)
-        return self._scored(placed, score, F.col("longest").isNotNull() & flagged)
+        return self._scored(self._with_stretches(), *self._high())
+
+    def _with_stretches(self) -> DataFrame:
+        return self._judged.join(self.stretches.df, self.keys, "left")
 
     def shape(self) -> DataFrame:
         """Correlation of the pod with the median line of its service."""
         on = [*self.by, "bucket"]
-        hot = self._hot_peers(self.buckets.df, self.buckets.rows, on)
-        line = derived(group_medians(self.buckets.df, on, "pod_level", "line", hot), self.buckets)
+        hot = find_hot(self.buckets.df, on, at_most=self.buckets.rows)
+        line = derived(group_medians(self.buckets.df, on, {"pod_level": "line"}, hot), self.buckets)
         both = join_table(self.buckets.df, line, on).groupBy(*self.keys).agg(
             F.covar_pop("pod_level", "line").alias("__together"),
             F.stddev_pop("pod_level").alias("__one"),
@@ -217,20 +218,14 @@ class Detector:
     def findings(self) -> DataFrame:
         """Every rule that flags a pod, with the path (text or chart) it belongs to."""
         self._measure("pods", "buckets", "stretches")
-        rules = {
-            "level": (self.level(), "text"),
-            "axis": (self.axis(), "chart"),
-            "flat": (self.flat(), "text"),
-            "high": (self.high(), "text"),
-            "shape": (self.shape(), "text"),
-        }
-        found = [
-            scored.filter("flagged").select(
-                *self.keys, F.lit(rule).alias("rule"), F.lit(path).alias("path"), "score"
-            )
-            for rule, (scored, path) in rules.items()
-        ]
-        out = found[0]
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out
+        rules = {"level": ("text", self._level()), "axis": ("chart", self._axis()),
+                 "flat": ("text", self._flat()), "high": ("text", self._high())}
+        verdicts = F.array(*[
+            F.struct(F.lit(rule).alias("rule"), F.lit(path).alias("path"), score.alias("score"), flagged.alias("flagged"))
+            for rule, (path, (score, flagged)) in rules.items()
+        ])
+        by_figures = self._with_stretches().select(*self.keys, F.inline(verdicts)).filter("flagged").drop("flagged")
+        by_shape = self.shape().filter("flagged").select(
+            *self.keys, F.lit("shape").alias("rule"), F.lit("text").alias("path"), "score"
+        )
+        return by_figures.unionByName(by_shape)

@@ -2,45 +2,56 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwatch.operators.ordering import running_totals
 from fleetwatch.operators.skew import HotGroups, find_hot, join_table, split_hot
-from fleetwatch.session import materialise
+from fleetwatch.session import Table, materialise
 
 
 def group_medians(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
-    name: str,
+    values: Mapping[str, str],
     hot: HotGroups,
     others: Sequence[Column] = (),
 ) -> DataFrame:
-    """Exact median of ``value`` per group, next to other aggregates of the same pass.
+    """Exact medians per group, one for each ``column: name``, next to other aggregates of the same pass.
 
     Values of a hot group are counted first, where they lie; what is left is ordered in
     slices, and the middle is read off the running count.
     """
     keys = list(keys)
     regular, heavy = split_hot(df, hot)
-    out = regular.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(name), *others)
+    medians = [F.percentile(value, F.lit(0.5)).alias(name) for value, name in values.items()]
+    out = regular.groupBy(*keys).agg(*medians, *others)
     if heavy is None:
         return out
+    counts = [F.count(value).alias(f"__all_{name}") for value, name in values.items()]
+    whole = materialise(heavy.groupBy(*keys).agg(*counts, *others))
+    found = whole.df
+    for value, name in values.items():
+        found = found.join(_heavy_median(heavy, keys, value, name, whole, hot.limit), keys, "left")
+    return out.unionByName(found.select(*out.columns))
+
+
+def _heavy_median(heavy: DataFrame, keys: list[str], value: str, name: str, whole: Table, limit: int) -> DataFrame:
     counted = materialise(
         heavy.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    ).df
-    upto = running_totals(counted, keys, [value], {"__upto": F.col("__n")}, find_hot(counted, keys, hot.limit))
-    whole = materialise(heavy.groupBy(*keys).agg(F.count(value).alias("__all"), *others))
-    ranked = join_table(upto, whole, keys)
+    )
+    hot = find_hot(counted.df, keys, limit, at_most=counted.rows)
+    upto = running_totals(counted.df, keys, [value], {"__upto": F.col("__n")}, hot)
+    total = F.col(f"__all_{name}")
 
     def at_rank(rank: Column) -> Column:
         here = (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__n") < rank)
         return F.max(F.when(here, F.col(value)))
 
-    lower, upper = F.floor((F.col("__all") + 1) / 2), F.floor(F.col("__all") / 2) + 1
-    middles = ranked.groupBy(*keys).agg((at_rank(lower) * 0.5 + at_rank(upper) * 0.5).alias(name))
-    return out.unionByName(whole.df.join(middles, keys, "left").select(*out.columns))
+    lower, upper = F.floor((total + 1) / 2), F.floor(total / 2) + 1
+    return (
+        join_table(upto, whole, keys).groupBy(*keys)
+        .agg((at_rank(lower) * 0.5 + at_rank(upper) * 0.5).alias(name))
+    )

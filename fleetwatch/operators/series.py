@@ -58,7 +58,7 @@ def group_stats(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
 
 def profile(samples: DataFrame, by: Sequence[str] = BY) -> Table:
     """Sizes and ends of all series as a written table: the one extra pass over the samples that planning needs."""
-    return materialise(group_sizes(samples, by))
+    return materialise(group_sizes(samples, by), largest="n_rows")
 
 
 def service_range(samples: DataFrame, by: Sequence[str] = BY) -> DataFrame:
@@ -141,13 +141,13 @@ def scoped(
     keys = series_keys(by)
     profiled = profiled or profile(samples, by)
     limit = hot_rows(samples.sparkSession)
-    big = profiled.df.filter(F.col("n_rows") > limit).select(*keys)
+    # a series is big in the scope only if it is big as a whole
+    most = profiled.largest or 0
     if scope == "full":
-        hot = HotGroups(tuple(keys), limit) if big.isEmpty() else HotGroups(tuple(keys), limit, materialise(big))
-        return Scoped(keyed(samples, by), profiled, hot)
+        rows = keyed(samples, by)
+        return Scoped(rows, profiled, find_hot(rows, keys, limit, at_most=most))
     inside = window_cut(samples, window_bounds(profiled, hours, by), by)
-    # only a series that is big as a whole can be big inside the window
-    hot = HotGroups(tuple(keys), limit) if big.isEmpty() else find_hot(inside, keys, limit)
+    hot = find_hot(inside, keys, limit, at_most=most)
     rows = downsampled(inside, every, by, hot)
     # hot groups are counted several times further on: do not place their rows anew each time
     return Scoped(rows if hot.table is None else materialise(rows).df, profiled, hot)

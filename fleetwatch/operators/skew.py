@@ -45,9 +45,15 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None) -> HotGroups:
-    """Groups with more than ``limit`` rows. Counts with map-side aggregation on the key columns only."""
+def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None, at_most: int | None = None) -> HotGroups:
+    """Groups with more than ``limit`` rows.
+
+    Counts with map-side aggregation on the key columns only, and not at all where the
+    table is known to have ``at_most`` so few rows that none can be hot.
+    """
     limit = limit or hot_rows(df.sparkSession)
+    if at_most is not None and at_most <= limit:
+        return HotGroups(tuple(keys), limit)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
     if hot.isEmpty():
         return HotGroups(tuple(keys), limit)

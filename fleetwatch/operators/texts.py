@@ -33,8 +33,9 @@ def _joined(text: str, order: Sequence[str], where: str = "true"):
 
 def pods_per_service(samples: DataFrame, by: Sequence[str] = BY, part_pods: int = PART_PODS) -> DataFrame:
     """The pods of each service, in key order."""
-    members = profile(samples, by).df.select(*series_keys(by))
-    placed = positions(members, by, MEMBER, find_hot(members, by))
+    profiled = profile(samples, by)
+    members = profiled.df.select(*series_keys(by))
+    placed = positions(members, by, MEMBER, find_hot(members, by, at_most=profiled.rows))
     part = F.floor((F.col("pos") - 1) / part_pods).cast("bigint")
     return placed.groupBy(*by, part.alias("part")).agg(
         F.count(F.lit(1)).alias("n_pods"), F.sort_array(F.collect_list(F.struct(*MEMBER))).alias("pods")
@@ -73,7 +74,7 @@ def service_texts(rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_
     made = materialise_kinds({"blocks": _pod_blocks(rows, by, part_values), "stats": window_stats(rows, by)})
     blocks, stats = made["blocks"], made["stats"].df
     sizes = blocks.df.select(*keys, "chunk", "n")
-    upto = running_totals(sizes, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(sizes, by))
+    upto = running_totals(sizes, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(sizes, by, at_most=blocks.rows))
     part = F.floor((F.col("upto") - F.col("n")) / part_values).cast("bigint")
     layout = upto.select(*keys, "chunk", part.alias("part")).withColumn(
         "nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("chunk"))

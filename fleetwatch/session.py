@@ -51,9 +51,10 @@ class Table:
     df: DataFrame
     rows: int
     bytes: int
+    largest: int | None = None  # biggest value of the column asked for
 
 
-def materialise(df: DataFrame) -> Table:
+def materialise(df: DataFrame, largest: str | None = None) -> Table:
     """Write ``df`` to the scratch folder and read it back.
 
     This cuts the lineage in a way that survives lost executors, and the table read
@@ -62,7 +63,10 @@ def materialise(df: DataFrame) -> Table:
     spark = df.sparkSession
     path = _new_path(spark)
     df.write.parquet(path)
-    return _read_back(spark, path, df.schema)
+    back = spark.read.schema(df.schema).parquet(path)
+    top = F.max(largest) if largest else F.lit(None)
+    rows, top = back.agg(F.count(F.lit(1)), top).first()
+    return Table(back, rows, _folder_bytes(spark, path), top)
 
 
 def materialise_kinds(frames: Mapping[str, DataFrame]) -> dict[str, Table]:
@@ -74,22 +78,22 @@ def materialise_kinds(frames: Mapping[str, DataFrame]) -> dict[str, Table]:
     tagged = [df.withColumn("__kind", F.lit(kind)) for kind, df in frames.items()]
     union = reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), tagged)
     union.hint("rebalance", "__kind").write.partitionBy("__kind").parquet(path)
-    return {
-        kind: _read_back(spark, f"{path}/__kind={kind}", df.schema) if _exists(spark, f"{path}/__kind={kind}")
-        else Table(spark.createDataFrame([], df.schema), 0, 0)
-        for kind, df in frames.items()
-    }
+    kinds = spark.read.schema(union.schema).parquet(path)
+    rows = {r[0]: r[1] for r in kinds.groupBy("__kind").count().collect()}  # one row per kind
+    made = {}
+    for kind, df in frames.items():
+        folder = f"{path}/__kind={kind}"
+        if kind in rows:
+            made[kind] = Table(spark.read.schema(df.schema).parquet(folder), rows[kind], _folder_bytes(spark, folder))
+        else:
+            made[kind] = Table(spark.createDataFrame([], df.schema), 0, 0)
+    return made
 
 
 def _new_path(spark: SparkSession) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
 
 
-def _read_back(spark: SparkSession, path: str, schema: T.StructType) -> Table:
-    back = spark.read.schema(schema).parquet(path)
-    return Table(back, back.count(), _folder_bytes(spark, path))
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the scratch folder, once no result needs it."""
     path, files = _on_storage(spark, scratch_root(spark))
@@ -104,8 +108,3 @@ def _on_storage(spark: SparkSession, folder: str):
 def _folder_bytes(spark: SparkSession, folder: str) -> int:
     path, files = _on_storage(spark, folder)
     return files.getContentSummary(path).getLength()
-
-
-def _exists(spark: SparkSession, folder: str) -> bool:
-    path, files = _on_storage(spark, folder)
-    return files.exists(path)

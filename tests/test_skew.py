@@ -85,7 +85,7 @@ def test_running_totals(spark):
 @pytest.mark.parametrize("limit", [40, 4])
 def test_medians(spark, limit):
     df = skewed(spark).withColumn("cpuusage", F.when(F.col("seq") % 17 != 0, F.col("cpuusage")))
-    got = group_medians(df, KEYS, "cpuusage", "middle", find_hot(df, KEYS, limit), (F.count(F.lit(1)).alias("n"),))
+    got = group_medians(df, KEYS, {"cpuusage": "middle"}, find_hot(df, KEYS, limit), (F.count(F.lit(1)).alias("n"),))
     values = {}
     for r in df.collect():
         values.setdefault(r.pod, []).append(r.cpuusage)
