@@ -39,6 +39,11 @@ class HotGroups:
     keys: tuple[str, ...]
     limit: int
     table: Table | None = None  # the hot keys; None where no group is hot
+    most: int | None = None     # no other group has more rows than this
+
+    @property
+    def regular_rows(self) -> int:
+        return self.limit if self.most is None else self.most
 
 
 def hot_rows(spark: SparkSession) -> int:
@@ -53,7 +58,7 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None, at_mo
     """
     limit = limit or hot_rows(df.sparkSession)
     if at_most is not None and at_most <= limit:
-        return HotGroups(tuple(keys), limit)
+        return HotGroups(tuple(keys), limit, most=at_most)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
     if hot.isEmpty():
         return HotGroups(tuple(keys), limit)

@@ -82,8 +82,10 @@ def test_running_totals(spark):
     assert tuples(plain) == tuples(sliced)
 
 
-@pytest.mark.parametrize("limit", [40, 4])
-def test_medians(spark, limit):
+@pytest.mark.parametrize("limit,hashed", [(10_000, True), (10_000, False), (40, True), (4, False)])
+def test_medians(spark, monkeypatch, limit, hashed):
+    if not hashed:
+        monkeypatch.setattr("fleetwatch.operators.quantiles.PERCENTILE_ROWS", 0)
     df = skewed(spark).withColumn("cpuusage", F.when(F.col("seq") % 17 != 0, F.col("cpuusage")))
     got = group_medians(df, KEYS, {"cpuusage": "middle"}, find_hot(df, KEYS, limit), (F.count(F.lit(1)).alias("n"),))
     values = {}
