@@ -64,3 +64,15 @@ VALUES_HEAD = "Data:\n"
 VALUES_END = "\n\n"
 NO_VALUES = "Series([], )"
 MISSING_NUMBER = "nan"
+
+# Chart texts.
+CHART_TITLE = "CPU Usage Over Time - {service}\n({hours}-hour window with downsampled data)"
+CHART_X_LABEL = "Time"
+CHART_Y_LABEL = "CPU Usage (%)"
+
+# Error texts.
+NO_FILE = "CSV file not found: "
+EMPTY_FILE = "The CSV file is empty"
+UNREADABLE_FILE = "Error parsing CSV file. Please check the file format"
+MISSING_COLUMNS = "Missing required columns: "
+OUT_OF_RANGE = "CPU usage values must be between {low} and {high}"

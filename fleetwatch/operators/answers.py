@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatch.fixed_values import STATUS_FAILED, STATUS_MESSAGE, STATUS_OK
+from fleetwatch.fixed_values import ALL_NORMAL_MESSAGE, STATUS_FAILED, STATUS_MESSAGE, STATUS_OK
 from fleetwatch.functions.requests import response_text
 from fleetwatch.functions.text import all_tags, first_tag, is_flagged
 from fleetwatch.operators.charts import series_label
@@ -52,6 +52,12 @@ def all_normal(found: DataFrame) -> DataFrame:
     return found.agg((F.count(F.lit(1)) == 0).alias("all_normal"))
 
 
+def report_lines(found: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """One row per abnormal pod, or the one message that all is normal."""
+    calm = all_normal(found).filter("all_normal").select(F.lit(ALL_NORMAL_MESSAGE).alias("message"))
+    return found.select(*by, "pod").unionByName(calm, allowMissingColumns=True)
+
+
 def _record(code: int, **body: Column) -> list[Column]:
     return [
         F.lit(code).alias("statusCode"),

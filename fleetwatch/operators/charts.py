@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetwatch.fixed_values import CHART_FOLDER, CHART_NAME_PREFIX, TICK_MINUTES, WINDOW_HOURS
+from fleetwatch.fixed_values import (
+    CHART_FOLDER, CHART_NAME_PREFIX, CHART_TITLE, CHART_X_LABEL, CHART_Y_LABEL, TICK_MINUTES, WINDOW_HOURS,
+)
+from fleetwatch.functions.text import fill
 from fleetwatch.operators.series import BY, VALUE
 from fleetwatch.operators.skew import join_table
 from fleetwatch.session import Table
@@ -36,12 +39,9 @@ def chart_meta(windows: DataFrame, hours: float = WINDOW_HOURS, by: Sequence[str
     name = F.concat(F.lit(CHART_NAME_PREFIX), F.col("service"))
     return windows.select(
         *by,
-        F.concat(
-            F.lit("CPU Usage Over Time - "), F.col("service"),
-            F.lit(f"\n({hours:g}-hour window with downsampled data)"),
-        ).alias("title"),
-        F.lit("Time").alias("x_label"),
-        F.lit("CPU Usage (%)").alias("y_label"),
+        fill(CHART_TITLE, {"service": F.col("service"), "hours": F.lit(f"{hours:g}")}).alias("title"),
+        F.lit(CHART_X_LABEL).alias("x_label"),
+        F.lit(CHART_Y_LABEL).alias("y_label"),
         name.alias("object_name"),
         F.concat(F.lit(CHART_FOLDER), name).alias("object_key"),
     )

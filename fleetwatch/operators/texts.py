@@ -23,7 +23,7 @@ from fleetwatch.sources.logs import STREAM_KEYS
 
 PART_VALUES = 20_000
 PART_PODS = 10_000
-PART_BYTES = 4 * 1024 * 1024
+PART_BYTES = 1024 * 1024
 
 
 def _joined(text: str, order: Sequence[str], where: str = "true"):

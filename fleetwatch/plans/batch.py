@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetwatch.fixed_values import METRIC_COLUMN, WINDOW_HOURS
-from fleetwatch.operators.answers import all_normal, anomalies, failed_status, named_pods, only_known, status
+from fleetwatch.operators.answers import all_normal, anomalies, failed_status, named_pods, only_known, report_lines, status
 from fleetwatch.operators.charts import anomalous_series, chart_meta, chart_series, chart_ticks
 from fleetwatch.operators.detector import Detector, Thresholds
 from fleetwatch.operators.inference import Model, infer
@@ -34,6 +34,10 @@ class Report:
     def all_normal(self) -> DataFrame:
         return all_normal(self.anomalies.df)
 
+    @property
+    def lines(self) -> DataFrame:
+        return report_lines(self.anomalies.df, self.by)
+
     @property
     def status(self) -> DataFrame:
         return status(self.anomalies.df)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from fleetwatch.fixed_values import NO_ANOMALY, WINDOW_FRACTION
+from fleetwatch.fixed_values import ALL_NORMAL_MESSAGE, NO_ANOMALY, WINDOW_FRACTION
 from fleetwatch.functions.requests import COMPARE_LINES, COMPARE_PODS, REVIEW_LOG
 from fleetwatch.operators.detector import MAD_SCALE, Thresholds
 from fleetwatch.operators.texts import PART_BYTES, PART_PODS, PART_VALUES
@@ -303,6 +303,11 @@ WHERE EXISTS (SELECT 1 FROM samples s WHERE s.service = n.service AND n.pod IN (
         "findings": f"{rules('window')} SELECT {KEYS}, rule, path, round(score, 6) AS score FROM findings",
         "findings_full": f"{rules('full')} SELECT {KEYS}, rule, path, round(score, 6) AS score FROM findings",
         "all_normal": f"{rules('window')} SELECT count(*) = 0 AS all_normal FROM findings",
+        "report_lines": f"""{rules('window')} SELECT DISTINCT service, pod, CAST(NULL AS VARCHAR) AS message FROM findings
+UNION ALL SELECT NULL, NULL, '{ALL_NORMAL_MESSAGE}' FROM (SELECT count(*) AS n FROM findings) WHERE n = 0""",
+        "report_lines_flat": f"""{rules('full')}, flat AS (SELECT * FROM findings WHERE rule = 'flat')
+SELECT DISTINCT service, pod, CAST(NULL AS VARCHAR) AS message FROM flat
+UNION ALL SELECT NULL, NULL, '{ALL_NORMAL_MESSAGE}' FROM (SELECT count(*) AS n FROM flat) WHERE n = 0""",
         "status": f"""{rules('window')} SELECT CAST(200 AS INTEGER) AS "statusCode",
        '{{"message":"Analysis completed successfully","all_normal":' || CAST(count(*) = 0 AS VARCHAR) || '}}' AS body
 FROM findings""",

@@ -207,6 +207,10 @@ def all_queries() -> dict[str, Query]:
         "findings": on_samples(lambda s: _detector(s, "window").findings()),
         "findings_full": on_samples(lambda s: _detector(s, "full").findings()),
         "all_normal": on_samples(lambda s: ans.all_normal(_found(s))),
+        "report_lines": on_samples(lambda s: ans.report_lines(_found(s))),
+        "report_lines_flat": on_samples(
+            lambda s: ans.report_lines(ans.anomalies(_detector(s, "full").findings().filter("rule = 'flat'")))
+        ),
         "status": on_samples(lambda s: ans.status(_found(s))),
         "anomalous_series": on_samples(_anomalous_series),
         "flagged_pods": on_samples(_flagship),

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwatch.fixed_values import (
+    EMPTY_FILE,
     KEY_COLUMNS,
     METRIC_COLUMN,
     METRIC_HIGH,
     METRIC_LOW,
+    MISSING_COLUMNS,
+    NO_FILE,
     NULL_TOKENS,
+    OUT_OF_RANGE,
     PREVIEW_ROWS,
     TIME_COLUMN,
+    UNREADABLE_FILE,
     UPLOAD_FIELDS,
 )
 
@@ -56,10 +61,10 @@ def read_csv(
         names = reader.csv(paths).columns
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
-            raise FileNotFoundError(f"CSV file not found: {', '.join(paths)}") from error
+            raise FileNotFoundError(NO_FILE + ", ".join(paths)) from error
         raise
     if not names:
-        raise ValueError("The CSV file is empty")
+        raise ValueError(EMPTY_FILE)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = (
         reader.option("enforceSchema", False)
@@ -74,7 +79,7 @@ def read_csv(
     # always true, but reads a column: Spark refuses scans of nothing but the corrupt record
     true = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
     fine = F.when(F.col(_CORRUPT).isNull() | ~too_long, true).otherwise(
-        F.raise_error(F.concat(F.lit("Error parsing CSV file. Please check the file format: "), F.col(_CORRUPT))).cast("boolean")
+        F.raise_error(F.concat(F.lit(f"{UNREADABLE_FILE}: "), F.col(_CORRUPT))).cast("boolean")
     )
     return rows.filter(fine).drop(_CORRUPT)
 
@@ -86,7 +91,7 @@ def required_columns(metric_col: str = METRIC_COLUMN) -> list[str]:
 def check_columns(df: DataFrame, required: Sequence[str]) -> None:
     missing = [c for c in required if c not in df.columns]
     if missing:
-        raise ValueError(f"Missing required columns: {missing}")
+        raise ValueError(f"{MISSING_COLUMNS}{missing}")
 
 
 def null_if_token(col: Column) -> Column:
@@ -136,7 +141,7 @@ def require_range(samples: DataFrame, low: float = METRIC_LOW, high: float = MET
     fine = F.coalesce(F.col(METRIC_COLUMN).between(low, high), F.lit(False))
     return samples.filter(
         F.when(fine, True).otherwise(
-            F.raise_error(F.lit(f"CPU usage values must be between {low} and {high}")).cast("boolean")
+            F.raise_error(F.lit(OUT_OF_RANGE.format(low=low, high=high))).cast("boolean")
         )
     )
 

@@ -37,6 +37,7 @@ def test_sample_run_is_all_normal(spark, sample_path, tmp_path):
     report = run_files(spark, sample_path, out)
     assert report.all_normal.first()[0] is True
     assert report.series.count() == 8 and report.ticks.count() == 2 and report.meta.count() == 2
+    assert [r.message for r in report.lines.collect()] == ["所有服务均无异常"]
     status = spark.read.json(f"{out}/status").first()
     assert status.statusCode == 200
     assert json.loads(status.body) == {"message": "Analysis completed successfully", "all_normal": True}
