@@ -53,7 +53,7 @@ def event_texts(events: DataFrame) -> DataFrame:
         F.when(F.col("event_id") % 11 == 0, token).otherwise(_numbered("pod-", PODS)).alias("pod"),
         _numbered("node-", NODES).alias("node"),
         F.when(F.col("event_id") % 13 == 0, token)
-        .otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+        .otherwise(F.col("ts").cast("string"))
         .alias("timestamp"),
         F.when(F.col("event_id") % 7 == 0, token).otherwise(F.col("value").cast("string")).alias("cpuusage"),
         F.col("event_id").alias("seq"),

@@ -94,6 +94,21 @@ def test_full_scope(spark):
         series.scoped(samples, "half")
 
 
+def test_session_time_zone_does_not_matter(spark):
+    """The night a clock is moved forward has no half past two there, but samples do."""
+    night = dt.datetime(2024, 3, 10)
+    rows = [("s", "p", "n", night + dt.timedelta(minutes=15 * i), 1.0, i) for i in range(17)]
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        windows = series.service_window(frame(spark, rows))
+        labels = [r.tick_label for r in charts.chart_ticks(windows).orderBy("tick").collect()]
+        hours = series.service_range(frame(spark, rows)).first().span_hours
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert labels == [f"2024-03-10 {i // 4:02d}:{i % 4 * 15:02d}" for i in range(17)]
+    assert hours == 4.0
+
+
 def test_chart_names(sample):
     row = charts.chart_meta(series.service_window(sample)).filter("service = 'backend'").first()
     assert row.title == "CPU Usage Over Time - backend\n(8-hour window with downsampled data)"
