@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from fleetwatch.llm.minhash_dedup import op2_minhash_dedup
 from fleetwatch.llm.substring_dedup import op8_substring_dedup
 from fleetwatch.llm.suffix_dedup import op10_suffix_array_dedup
 
 QUERIES = {
+    "op2_minhash_dedup": op2_minhash_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
