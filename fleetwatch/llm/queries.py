@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 from fleetwatch.llm.minhash_dedup import op2_minhash_dedup
+from fleetwatch.llm.quality import op7_quality
+from fleetwatch.llm.secret_scan import op9_secret_scan
 from fleetwatch.llm.substring_dedup import op8_substring_dedup
 from fleetwatch.llm.suffix_dedup import op10_suffix_array_dedup
+from fleetwatch.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_secret_scan": op9_secret_scan,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
