@@ -9,10 +9,14 @@ five deviations below the threshold is dropped; all others are confirmed on full
 
 Groups. Documents of one set collapse into one node first. In each bucket of a band, nodes are
 compared with one centre (a star), not with each other. Confirmed links make components;
-buckets that still hold several components get another star, and at last every pair of nodes
-in different components of such a bucket is compared. So no bucket is capped, pairs of one
-component are never listed, and no link between components is lost: a pair at the threshold of
-0.85 misses all bands with a chance of 8e-6, and with less above it.
+buckets that still hold several components get another star, now around the node with the least
+share of rare shingles (that at most ``RARE`` open nodes have). What is still open then goes through
+two exact filters. Of two sets at the threshold, the rarest shingles (n - ceil(t n) + 1 of each)
+must have one in common; and if the rarest common one is not rare, no rare shingle is in the
+intersection. In a large group of loose copies, a pair that passes both is nearly always linked
+through the centre already, so the pairs left to confirm grow with the number of nodes. No bucket is capped, pairs of one component are never listed,
+and no link between components is lost: a pair at the threshold of 0.85 misses all bands with a
+chance of 8e-6, and with less above it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +37,8 @@ from fleetwatch.session import materialise
 
 BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
-STARS = 2  # rounds of stars before the pairs that are left
+RARE = 20
+STARS = 2  # rounds of stars before the exact filter
 PLANES = ("p0", "p1", "q0", "q1")
 
 _rng = np.random.default_rng(42)
@@ -120,6 +125,13 @@ def _full_sets(words: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [unpack_sorted(x).view(np.int64) for x in batch["shingles"].to_pylist()]
+        nodes = np.repeat(np.array(batch["node"], np.int64), [len(s) for s in sets])
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets) if sets else nodes)], ["node", "key"])
+
+
 @F.pandas_udf(T.LongType())
 def _in_common(one: pd.Series, two: pd.Series) -> pd.Series:
     def shared(a, b):
@@ -141,14 +153,15 @@ def estimate(one: str, two: str) -> Column:
 
 
 def _possible(percent: int) -> Column:
+    """Whether a pair can be at the threshold: by what both can have in common, and by the estimate."""
     agree = 0.25 + 0.75 * percent / 100
     slack = 5 * (agree * (1 - agree) / PLACES) ** 0.5 / 0.75
-    sizes = 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
-    return sizes & (estimate("a_", "b_") >= percent / 100 - slack)
+    common = F.least(F.col("a_n") - F.col("a_apart"), F.col("b_n") - F.col("b_apart"))
+    return ((100 + percent) * common >= percent * (F.col("a_n") + F.col("b_n"))) & (estimate("a_", "b_") >= percent / 100 - slack)
 
 
-def _side(df: DataFrame, side: str, *more: str) -> DataFrame:
-    return df.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PLANES)], *more)
+def _side(df: DataFrame, side: str) -> DataFrame:
+    return df.select("key", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PLANES, "apart", "comp")])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -182,6 +195,25 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         common = two.select("a", "b", "a_n", "b_n", _in_common("a_set", "b_set").alias("common"))
         return common.filter(F.col("common") * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))).select("a", "b")
 
+    def shingles_of(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Shingles that at least two of the nodes have, with their frequency; and how many rare ones each node has."""
+        full = nodes.join(sets.withColumnRenamed("set_id", "node"), "node").select("node", "shingles")
+        held = materialise(full.mapInArrow(_exploded, "node bigint, key bigint")).df
+        common = held.groupBy("key").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+        shared = materialise(held.join(common, "key")).df
+        met = shared.groupBy("node").agg(F.count(F.lit(1)).alias("met"), F.count_if(F.col("df") > RARE).alias("usual"))
+        sizes = nodes.join(met, "node", "left").fillna(0, ["met", "usual"])
+        return shared, materialise(sizes.select("node", (F.col("n") - F.col("met")).alias("own"), (F.col("n") - F.col("usual")).alias("rare"))).df
+
+    def rarest(nodes: DataFrame, shared: DataFrame) -> DataFrame:
+        """A row (column key) for each shingle of the part of a set that a partner must meet."""
+        of_node = Window.partitionBy("node").orderBy("df", "key")  # one document's shingles
+        mine = shared.join(nodes.select("node"), "node", "left_semi")
+        ranked = mine.select("node", "key", (F.col("df") <= RARE).alias("seldom"), F.row_number().over(of_node).alias("nth"))
+        needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+        first = ranked.join(nodes, "node").filter(F.col("nth") <= needed - F.col("own"))
+        return materialise(first.withColumn("apart", F.when(F.col("seldom"), 0).otherwise(F.col("rare"))).drop("nth")).df
+
     links, tried, labels = [], [], None
     for turn in range(STARS + 1):
         if labels is None:
@@ -190,15 +222,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             named = rows.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
             mixed_keys = named.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
             open_ = materialise(named.join(mixed_keys, "key")).df
-        left = _side(open_, "a", "key", "comp")
-        if turn < STARS:
-            picked = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("draw"), "node", "n", *PLANES, "comp"))
-            centres = open_.groupBy("key").agg(picked.alias("c")).select("key", "c.*")
+        if turn == 0:
+            open_ = open_.withColumns({"apart": F.lit(0), "draw": F.xxhash64("node")})
+        else:
+            if turn == 1:
+                shared, rare = shingles_of(open_.select("node", "n").dropDuplicates(["node"]))
+            open_ = open_.join(rare, "node").withColumns({"apart": F.lit(0), "draw": F.col("rare") / F.col("n")})
+        star = turn < STARS
+        if star:
+            members = open_
+            best = F.min(F.struct("draw", "node", "n", *PLANES, "apart", "comp"))
+            others = open_.groupBy("key").agg(best.alias("c")).select("key", "c.*")
         else:
-            centres = open_
-        right = _side(centres, "b", "key", F.col("comp").alias("b_comp"))
-        differ = F.col("comp") != F.col("b_comp") if turn < STARS else F.col("comp") < F.col("b_comp")
-        found = left.join(right, "key").filter(differ & _possible(percent))
+            members = others = rarest(open_.drop("key", "apart").dropDuplicates(["node"]), shared)
+        differ = F.col("a_comp") != F.col("b_comp") if star else F.col("a_comp") < F.col("b_comp")
+        found = _side(members, "a").join(_side(others, "b"), "key").filter(differ & _possible(percent))
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_n", "b_n").dropDuplicates(["a", "b"])
         for old in tried:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")
