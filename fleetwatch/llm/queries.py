@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from fleetwatch.llm.id_files import op6_token_files
 from fleetwatch.llm.minhash_dedup import op2_minhash_dedup
 from fleetwatch.llm.quality import op7_quality
 from fleetwatch.llm.secret_scan import op9_secret_scan
+from fleetwatch.llm.sentencepiece_codec import op4_sentencepiece
+from fleetwatch.llm.spot_signatures import op5_spot_signatures
 from fleetwatch.llm.substring_dedup import op8_substring_dedup
 from fleetwatch.llm.suffix_dedup import op10_suffix_array_dedup
 from fleetwatch.llm.toxicity import op1_toxicity
@@ -12,6 +15,9 @@ from fleetwatch.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op4_sentencepiece": op4_sentencepiece,
+    "op5_spot_signatures": op5_spot_signatures,
+    "op6_token_files": op6_token_files,
     "op7_quality": op7_quality,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_secret_scan": op9_secret_scan,
