@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from fleetwatch.llm.decontamination import op3_decontamination
 from fleetwatch.llm.id_files import op6_token_files
 from fleetwatch.llm.minhash_dedup import op2_minhash_dedup
 from fleetwatch.llm.quality import op7_quality
@@ -15,6 +16,7 @@ from fleetwatch.llm.toxicity import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op3_decontamination": op3_decontamination,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_spot_signatures": op5_spot_signatures,
     "op6_token_files": op6_token_files,
