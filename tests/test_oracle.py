@@ -17,7 +17,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(SQL)
+    own = {name for name, query in queries().items() if query.__module__.startswith("fleetwatch") and ".llm" not in query.__module__}
+    assert own <= set(SQL) <= set(queries())
 
 
 def test_entry(spark):
