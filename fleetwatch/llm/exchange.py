@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from fleetwatch.llm.arrays import pack_sorted, unpack_sorted
 
 CHUNK_IDS = 256
-BUCKETS = 64
+LEAST_BUCKETS = 64
+BUCKET_DOCS = 4000
 
 SENT = "bucket int, chunk bigint, keys binary, extra binary"
 ANSWER = "chunk bigint, bucket int, bits binary"
@@ -35,6 +36,11 @@ def in_chunks(docs: DataFrame, chunk_ids: int = CHUNK_IDS) -> DataFrame:
     )
 
 
+def bucket_count(docs: DataFrame) -> int:
+    """Buckets in proportion to the rows, so that a bucket's size does not grow with the table."""
+    return max(LEAST_BUCKETS, docs.count() // BUCKET_DOCS)
+
+
 def ordered(table: pa.Table) -> pa.Table:
     """Rows of a chunk in their one order: by id, copies of an id by text."""
     return table.sort_by([("doc_id", "ascending"), ("text", "ascending")])

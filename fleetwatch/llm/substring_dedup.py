@@ -37,7 +37,7 @@ class _Windows:
         self.keys, self.first_at, self.key_of = np.unique(rolled, return_index=True, return_inverse=True)
 
 
-def repeated_windows(docs: DataFrame, size: int = 20, chunk_ids: int = ex.CHUNK_IDS, buckets: int = ex.BUCKETS) -> DataFrame:
+def repeated_windows(docs: DataFrame, size: int = 20, chunk_ids: int = ex.CHUNK_IDS, buckets: int | None = None) -> DataFrame:
     """Documents with the words that repeated windows cover, and the text that is left.
 
     Columns: doc_id, n_words, n_removed, removed (maximal intervals of word numbers, end
@@ -49,6 +49,7 @@ def repeated_windows(docs: DataFrame, size: int = 20, chunk_ids: int = ex.CHUNK_
     for nobody. Other columns of ``docs`` are ignored. An empty table gives an empty result.
     """
     chunks = ex.in_chunks(docs, chunk_ids)
+    buckets = buckets or ex.bucket_count(docs)
 
     def send(table: pa.Table) -> pa.Table:
         return ex.sent(table["chunk"][0].as_py(), _Windows(table, size).keys, buckets)

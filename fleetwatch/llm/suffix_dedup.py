@@ -184,7 +184,7 @@ def _last_round(states: DataFrame, buckets: int) -> DataFrame:
     return states.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(decide, _STATE)
 
 
-def repeated_bytes(docs: DataFrame, chunk_ids: int = ex.CHUNK_IDS, buckets: int = ex.BUCKETS) -> DataFrame:
+def repeated_bytes(docs: DataFrame, chunk_ids: int = ex.CHUNK_IDS, buckets: int | None = None) -> DataFrame:
     """Documents with the bytes that repeated 200-byte strings cover, and the bytes that are left.
 
     Columns: doc_id, n_bytes, n_removed, removed (maximal runs of byte numbers, end
@@ -198,6 +198,7 @@ def repeated_bytes(docs: DataFrame, chunk_ids: int = ex.CHUNK_IDS, buckets: int
     Runs three jobs when called: the first two rounds and the last write small tables.
     """
     chunks = ex.in_chunks(docs, chunk_ids)
+    buckets = buckets or ex.bucket_count(docs)
     states = materialise(_first_round(chunks, buckets)).df
     states = materialise(_next_round(states, buckets)).df
     decided = materialise(_last_round(states, buckets)).df
