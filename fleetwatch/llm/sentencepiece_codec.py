@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
 MARK = "▁"
-KNOWN_SEGMENTS = 500_000  # segments remembered by a task, then forgotten together
+KNOWN_SEGMENTS = 200_000  # segments remembered by a task, then forgotten together
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _USER = 1, 4
@@ -111,7 +111,9 @@ class _Codec:
     def __init__(self, data: bytes):
         import sentencepiece
 
-        self.model, self.known = Model(data), {}
+        self.model = Model(data)
+        self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.differ: set[str] = set()
         self.tokenizer = self.model.tokenizer()
         self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.prefix = self.model.dummy_prefix
@@ -119,20 +121,22 @@ class _Codec:
     def learn(self, segments: list[str]) -> None:
         if len(self.known) > KNOWN_SEGMENTS:
             self.known.clear()
+            self.differ.clear()
         new = [s for s in dict.fromkeys(segments) if s not in self.known]
         ours = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
         # the judge puts the dummy prefix in front again
         shown = [s[1:] if self.prefix and s.startswith(MARK) else s for s in new]
         theirs = self.judge.encode([s.replace(MARK, " ") for s in shown], num_threads=1)
         for s, mine, other in zip(new, ours, theirs):
-            self.known[s] = (mine, mine == other or not s.startswith(MARK) and self.prefix)
+            self.known[s] = np.array(mine, "<i4").tobytes()
+            if mine != other and (s.startswith(MARK) or not self.prefix):
+                self.differ.add(s)
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
         cut = [_SEGMENT.findall(t) for t in self.model.normalised(texts)]
         self.learn(list(chain.from_iterable(cut)))
         known = self.known
-        ids = [list(chain.from_iterable([known[s][0] for s in segments])) for segments in cut]
-        return ids, [all(known[s][1] for s in segments) for segments in cut]
+        return [b"".join([known[s] for s in segments]) for segments in cut], [self.differ.isdisjoint(segments) for segments in cut]
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
@@ -149,7 +153,7 @@ def model_bytes(path: str | None = None) -> bytes:
         return file.read()
 
 
-_BATCH = 512  # documents encoded together
+_BATCH = 128  # documents encoded together
 
 
 def encode(docs: DataFrame, model: bytes) -> DataFrame:
@@ -165,8 +169,8 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
             for at in range(0, len(batch), _BATCH):
                 part = batch.slice(at, _BATCH)
                 ids, same = codec.encode(part["text"].to_pylist())
-                offsets = np.cumsum([0, *map(len, ids)])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, offsets[-1])
+                offsets = np.cumsum([0, *map(len, ids)]) // 4
+                flat = np.frombuffer(b"".join(ids), "<i4")
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "parity"])
 
