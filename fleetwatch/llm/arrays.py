@@ -46,7 +46,7 @@ def text_bytes(texts: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarra
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def small(batches, rows: int = 256):
+def small(batches, rows: int = 128):
     """Parts of Arrow batches, so that the arrays made of a part stay small (some forty bytes for each byte of text)."""
     for batch in batches:
         for at in range(0, len(batch), rows):

@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BATCH_ROWS = 1000
+
+
+def bounded_batches(docs: DataFrame) -> None:
+    """Send at most ``BATCH_ROWS`` texts to Python at once: ten thousand long ones do not fit a small executor."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def id_bucket(buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``: which fold a document is in."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % buckets
@@ -19,6 +29,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     Chosen by a hash of the id, so the sample is the same on every run. Rows without id, label or text
     are left out; copies of a text count once.
     """
+    bounded_batches(docs)
     known = labels.filter(usable & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     drawn = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]

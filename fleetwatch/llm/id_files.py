@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetwatch.llm.fitting import bounded_batches
 from fleetwatch.session import _new_path
 
 BLOCK = 2048
@@ -237,6 +238,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end: i
     without id come first. Other columns are ignored; an empty table gives no files. The
     tokenizer's path must be the same on all machines.
     """
+    bounded_batches(docs)
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spread = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from fleetwatch.llm.arrays import LOWER, Prefix, mixed, pack_sorted, text_bytes, unpack_sorted, word_hashes, word_spans
 from fleetwatch.llm.components import components
+from fleetwatch.llm.fitting import bounded_batches
 from fleetwatch.session import materialise
 
 BANDS, ROWS = 20, 5
@@ -92,8 +93,8 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 def _sketches(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            for at in range(0, len(batch), 128):
+                part = batch.slice(at, 128)
                 sets = shingle_sets(part["text"], words)
                 least = minima(sets)
                 grouped = least.reshape(len(sets), BANDS, ROWS).astype(np.uint64)
@@ -117,8 +118,8 @@ def _sketches(words: int):
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                sets = shingle_sets(batch.slice(at, 512)["text"], words)
+            for at in range(0, len(batch), 128):
+                sets = shingle_sets(batch.slice(at, 128)["text"], words)
                 blobs = [pack_sorted(np.unique(s >> _LOW48)) for s in sets]  # 48 bits suffice inside one pair
                 yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets)), pa.array(blobs, pa.binary())], ["set_id", "shingles"])
 
@@ -175,6 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     id gets its set size, a null component and kept = true, and links nobody. Other columns are
     ignored. An empty table gives an empty result. Runs jobs when called.
     """
+    bounded_batches(docs)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     sketches = materialise(docs.mapInArrow(_sketches(words), _SKETCH)).df
     known = sketches.filter("doc_id IS NOT NULL AND n > 0")

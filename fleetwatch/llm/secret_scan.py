@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetwatch.llm.fitting import bounded_batches
 from fleetwatch.session import materialise
 
 SCOPE = 300
@@ -83,6 +84,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     empty text has no spans. Repeated rows get the same spans each, and rows without id their
     own. Other columns are ignored. Runs a job when called: the scan is written once.
     """
+    bounded_batches(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = texts.select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", "text")
     scanned = materialise(keyed.mapInArrow(_scan, f"key bigint, doc_id bigint, base {_SPANS}, weak {_SPANS}")).df

@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+from fleetwatch.llm.fitting import bounded_batches
+
 MARK = "▁"
 KNOWN_SEGMENTS = 200_000  # segments remembered by a task, then forgotten together
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -174,6 +176,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part["doc_id"], lists, pa.array(same, pa.bool_())], ["doc_id", "ids", "parity"])
 
+    bounded_batches(docs)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.mapInArrow(run, "doc_id bigint, ids array<int>, parity boolean")
 
