@@ -203,7 +203,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 _SPACE = re.compile(r"[ \t\n\r]+")
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 100_000
 
 
 class _Words:

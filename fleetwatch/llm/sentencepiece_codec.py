@@ -25,7 +25,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 from fleetwatch.llm.fitting import bounded_batches
 
 MARK = "▁"
-KNOWN_SEGMENTS = 200_000  # segments remembered by a task, then forgotten together
+KNOWN_SEGMENTS = 50_000  # segments remembered by a task, then forgotten together
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _USER = 1, 4
