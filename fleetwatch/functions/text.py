@@ -29,9 +29,17 @@ def fill(template: str, values: Mapping[str, Column]) -> Column:
 
 
 def two_decimals(value: Column | str) -> Column:
-    """Number text with two decimals, half rounded away from zero; ``nan`` for a missing number."""
-    exact = F.round(_col(value), 6).cast("decimal(38,6)")
-    return F.coalesce(F.round(exact, 2).cast("string"), F.lit(MISSING_NUMBER))
+    """Number text with two decimals, half rounded away from zero; ``nan`` for a missing number, ``inf`` and ``-inf`` as such."""
+    number = _col(value).cast("double")
+    exact = F.round(_col(value), 6).try_cast("decimal(38,6)")
+    beyond = F.format_string("%.2f", number)  # more digits than a decimal holds
+    text = F.coalesce(F.round(exact, 2).cast("string"), beyond)
+    return (
+        F.when(number.isNull() | F.isnan(number), F.lit(MISSING_NUMBER))
+        .when(number == float("inf"), F.lit("inf"))
+        .when(number == float("-inf"), F.lit("-inf"))
+        .otherwise(text)
+    )
 
 
 def first_tag(value: Column | str, pattern: str = RESULT_PATTERN) -> Column:

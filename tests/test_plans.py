@@ -43,6 +43,12 @@ def test_sample_run_is_all_normal(spark, sample_path, tmp_path):
     assert json.loads(status.body) == {"message": "Analysis completed successfully", "all_normal": True}
 
 
+def test_notice_without_a_file_leaves_a_status(spark, tmp_path):
+    with pytest.raises(Exception):
+        run_notice(spark, "{}", str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out" / "status")).first().statusCode == 500
+
+
 def test_failed_run_leaves_a_status_and_raises(spark, tmp_path):
     out = str(tmp_path / "out")
     with pytest.raises(FileNotFoundError):

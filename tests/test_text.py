@@ -47,6 +47,11 @@ def test_two_decimals(spark, value, text):
     assert spark.createDataFrame([(value,)], "v double").select(two_decimals("v")).first()[0] == text
 
 
+@pytest.mark.parametrize("value,text", [(float("inf"), "inf"), (float("-inf"), "-inf"), (float("nan"), "nan"), (None, "nan"), (1e33, "1" + "0" * 33 + ".00")])
+def test_two_decimals_of_extremes(spark, value, text):
+    assert spark.createDataFrame([(value,)], "v double").select(two_decimals("v")).first()[0] == text
+
+
 def test_text_request(spark):
     prompt = 'Zeile "1"\n{x} \\ 无'
     df = spark.createDataFrame([(prompt,)], "p string")
