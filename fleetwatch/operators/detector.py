@@ -35,6 +35,7 @@ class Thresholds:
     flat_rows: int = 5
     high_value: float = 80.0
     high_minutes: int = 30
+    high_gap_minutes: int = 15  # a longer time without a sample ends a stretch
     shape_cut: float = 0.3
     shape_buckets: int = 8
     shape_minutes: int = 60
@@ -49,12 +50,13 @@ def _middle(values: Sequence[Column]) -> Column:
 
 
 def despiked(rows: DataFrame, by: Sequence[str], limits: Thresholds, hot: HotGroups) -> DataFrame:
-    """Add ``smooth``: the value, or the median of its surroundings where it sticks out of them."""
+    """Add ``smooth``: the value, or the median of its surroundings where it sticks out of them; and ``since``: microseconds from the sample before."""
     reach = limits.spike_reach
 
     def smooth(part: DataFrame, around: WindowSpec) -> DataFrame:
         near = [F.lag(VALUE, -i).over(around) if i else F.col(VALUE) for i in range(-reach, reach + 1)]
         part = part.withColumns({f"__v{i}": c for i, c in enumerate(near)})
+        part = part.withColumn("since", micros_between(F.lag("timestamp").over(around), "timestamp"))
         near = [F.col(f"__v{i}") for i in range(2 * reach + 1)]
         part = part.withColumn("__centre", _middle(near))
         part = part.withColumn("__gap", _middle([F.abs(c - F.col("__centre")) for c in near]))
@@ -63,7 +65,7 @@ def despiked(rows: DataFrame, by: Sequence[str], limits: Thresholds, hot: HotGro
             "__centre", "__gap", *[f"__v{i}" for i in range(2 * reach + 1)]
         )
 
-    return with_neighbours(rows, series_keys(by), ORDER, reach, smooth, hot)
+    return with_neighbours(rows, series_keys(by), ORDER, max(reach, 1), smooth, hot)
 
 
 class Detector:
@@ -103,15 +105,13 @@ class Detector:
         return self.smoothed.groupBy(*self.keys, bucket.alias("bucket")).agg(F.avg("smooth").alias("pod_level"))
 
     def _high_stretches(self) -> DataFrame:
-        """Length of the longest unbroken stretch of high values of each pod that has any."""
+        """Length of the longest unbroken stretch of high values of each pod that has any. A low value or a gap in time ends a stretch."""
         is_high = F.col("smooth") >= self.limits.high_value
-        marks = running_totals(
-            self.smoothed, self.keys, ORDER,
-            {"__pos": F.lit(1).cast("bigint"), "__high": is_high.cast("bigint")}, self.hot,
-        )
+        near = F.coalesce("since", F.lit(0)) <= self.limits.high_gap_minutes * MICROS_PER_MINUTE
+        marks = running_totals(self.smoothed, self.keys, ORDER, {"__stretch": (~(is_high & near)).cast("bigint")}, self.hot)
         stretches = (
             marks.filter(is_high)
-            .groupBy(*self.keys, (F.col("__pos") - F.col("__high")).alias("__stretch"))
+            .groupBy(*self.keys, "__stretch")
             .agg(micros_between(F.min("timestamp"), F.max("timestamp")).alias("__length"))
         )
         return stretches.groupBy(*self.keys).agg(F.max("__length").alias("longest"))

@@ -86,12 +86,13 @@ def detector(scope: str, by: str = "service") -> str:
     cut = t.spike_cut * MAD_SCALE
     return f"""near AS (
   SELECT *, list(cpuusage) OVER (PARTITION BY {keys} ORDER BY "timestamp", seq
-                                 ROWS BETWEEN {t.spike_reach} PRECEDING AND {t.spike_reach} FOLLOWING) AS around
+                                 ROWS BETWEEN {t.spike_reach} PRECEDING AND {t.spike_reach} FOLLOWING) AS around,
+         date_diff('microsecond', lag("timestamp") OVER (PARTITION BY {keys} ORDER BY "timestamp", seq), "timestamp") AS since
   FROM {rows} WHERE "timestamp" IS NOT NULL AND cpuusage IS NOT NULL),
 centred AS (SELECT *, list_aggregate(around, 'median') AS centre FROM near),
 gapped AS (SELECT *, list_aggregate([abs(x - centre) FOR x IN around], 'median') AS gap FROM centred),
 smoothed AS (
-  SELECT {keys}, "timestamp", seq, cpuusage,
+  SELECT {keys}, "timestamp", seq, cpuusage, since,
          CASE WHEN abs(cpuusage - centre) > CAST({cut} AS DOUBLE) * gap THEN centre ELSE cpuusage END AS smooth
   FROM gapped),
 pods AS (
@@ -114,8 +115,8 @@ flat_score AS (
   SELECT {keys}, spread / nullif(service_spread, 0) AS score,
          spread < {t.flat_share}::DOUBLE * service_spread AND n >= {t.flat_rows} AS hit FROM placed),
 runs AS (
-  SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY "timestamp", seq)
-          - row_number() OVER (PARTITION BY {keys}, smooth >= {t.high_value} ORDER BY "timestamp", seq) AS run
+  SELECT *, count(*) FILTER (WHERE smooth < {t.high_value} OR since > {t.high_gap_minutes * 60_000_000})
+          OVER (PARTITION BY {keys} ORDER BY "timestamp", seq ROWS UNBOUNDED PRECEDING) AS run
   FROM smoothed),
 stretches AS (
   SELECT {keys}, run, date_diff('microsecond', min("timestamp"), max("timestamp")) AS len

@@ -86,3 +86,13 @@ def test_smoothing_at_the_ends(spark):
 
 def test_no_rows(spark):
     assert tuples(Detector(scoped(frame(spark, []), "full")).findings()) == []
+
+
+def test_a_gap_in_time_ends_a_stretch(spark):
+    series = {"calm": [20.0] * 60, "other": [21.0] * 60, "sparse": [20.0] * 29 + [95.0, 95.0, 95.0] + [20.0] * 28}
+    apart = points(spark, series, step_minutes=660.0)
+    scores = {r.pod: (r.score, r.flagged) for r in Detector(scoped(apart, "full")).high().collect()}
+    assert scores["sparse"] == (0.0, False)
+    wider = Thresholds(high_gap_minutes=700)
+    scores = {r.pod: (r.score, r.flagged) for r in Detector(scoped(apart, "full"), limits=wider).high().collect()}
+    assert scores["sparse"] == (1320.0, True)

@@ -76,16 +76,16 @@ def test_charts_of_other_services_stay(spark, tmp_path):
 
 def test_model_run(spark, sample_path, tmp_path):
     (tmp_path / "img").mkdir()
-    (tmp_path / "img" / "cpu_usage_frontend.jpg").write_bytes(b"picture")
+    (tmp_path / "img" / "cpu_usage_search.jpg").write_bytes(b"picture")
 
-    of_picture = answer("frontend-pod-1-node-1", "ghost")
-    of_backend, of_frontend = answer("backend-pod-2", "backend-pod-2"), answer()
+    of_picture = answer("search-a-rack-7", "ghost")
+    of_checkout, of_search = answer("checkout-b", "checkout-b"), answer()
 
     def make():
         def reply(body):
             if '"image"' in body:
                 return of_picture
-            return of_backend if "Pod: backend-pod-2" in body else of_frontend
+            return of_checkout if "Pod: checkout-b" in body else of_search
 
         return lambda bodies: [reply(b) for b in bodies]
 
@@ -93,8 +93,8 @@ def test_model_run(spark, sample_path, tmp_path):
         report = run_files(spark, sample_path, str(tmp_path / "out"), image_folder=str(tmp_path / "img"), make_model=make, **options)
         return tuples(report.anomalies.df)
 
-    assert names() == [("backend", "backend-pod-2"), ("frontend", "frontend-pod-1-node-1"), ("frontend", "ghost")]
-    assert names(known_only=True) == [("backend", "backend-pod-2"), ("frontend", "frontend-pod-1-node-1")]
+    assert names() == [("checkout", "checkout-b"), ("search", "ghost"), ("search", "search-a-rack-7")]
+    assert names(known_only=True) == [("checkout", "checkout-b"), ("search", "search-a-rack-7")]
 
 
 def test_notice_run(spark, sample_path, tmp_path):
@@ -111,13 +111,13 @@ def test_stats_and_values_text(spark, sample_path):
     from fleetwatch.sources.samples import read_samples
 
     samples = read_samples(spark, sample_path)
-    row = texts.service_texts(scoped(samples)).filter("service = 'frontend'").first()
+    row = texts.service_texts(scoped(samples)).filter("service = 'search'").first()
     assert row.stats_text.startswith(
-        "Statistics:\nPod: frontend-pod-1\nNode: node-1\nMean: 48.65, Max: 52.10, Min: 45.20, Std: 4.88\n\nPod: frontend-pod-2\n"
+        "Statistics:\nPod: search-a\nNode: rack-7\nMean: 67.20, Max: 73.20, Min: 61.20, Std: 8.49\n\nPod: search-b\n"
     )
     assert row.values_text == (
-        "Raw Data:\nPod: frontend-pod-1\nNode: node-1\nData:\n0    45.2\n1    52.1\n\n"
-        "Pod: frontend-pod-2\nNode: node-2\nData:\n0    44.2\n1    51.1\n\n"
+        "Raw Data:\nPod: search-a\nNode: rack-7\nData:\n0    61.2\n1    73.2\n\n"
+        "Pod: search-b\nNode: rack-9\nData:\n0    62.2\n1    76.2\n\n"
     )
 
 

@@ -20,15 +20,15 @@ def sample(spark, tmp_path):
 
 def test_sample_statistics(sample):
     rows = {r.pod: (r.mean, r.max, r.min, r.std) for r in series.group_stats(sample).collect()}
-    assert rows["backend-pod-1"] == pytest.approx((74.8, 90.4, 65.3, 13.616534), abs=1e-6)
-    assert rows["backend-pod-2"] == pytest.approx((73.8, 89.4, 64.3, 13.616534), abs=1e-6)
-    assert rows["frontend-pod-1"] == pytest.approx((48.6, 52.1, 45.2, 3.451087), abs=1e-6)
-    assert rows["frontend-pod-2"] == pytest.approx((47.6, 51.1, 44.2, 3.451087), abs=1e-6)
+    assert rows["checkout-a"] == pytest.approx((36.5, 42.5, 30.5, 6.0), abs=1e-6)
+    assert rows["checkout-b"] == pytest.approx((37.5, 44.5, 31.5, 6.557439), abs=1e-6)
+    assert rows["search-a"] == pytest.approx((68.2, 73.2, 61.2, 6.244998), abs=1e-6)
+    assert rows["search-b"] == pytest.approx((69.2, 76.2, 62.2, 7.0), abs=1e-6)
 
 
 def test_sample_window_and_rows(sample):
-    end = START + dt.timedelta(minutes=2)
-    assert tuples(series.service_window(sample)) == [("backend", START, end), ("frontend", START, end)]
+    end = START + dt.timedelta(minutes=4)
+    assert tuples(series.service_window(sample)) == [("checkout", START, end), ("search", START, end)]
     rows = series.scoped(sample).rows
     assert rows.count() == 8
     assert {r.timestamp for r in rows.collect()} == {START, end}
@@ -110,9 +110,9 @@ def test_session_time_zone_does_not_matter(spark):
 
 
 def test_chart_names(sample):
-    row = charts.chart_meta(series.service_window(sample)).filter("service = 'backend'").first()
-    assert row.title == "CPU Usage Over Time - backend\n(8-hour window with downsampled data)"
-    assert (row.object_name, row.object_key) == ("cpu_usage_backend", "output/anomalies/cpu_usage_backend")
+    row = charts.chart_meta(series.service_window(sample)).filter("service = 'checkout'").first()
+    assert row.title == "CPU Usage Over Time - checkout\n(8-hour window with downsampled data)"
+    assert (row.object_name, row.object_key) == ("cpu_usage_checkout", "output/anomalies/cpu_usage_checkout")
 
 
 def test_window_needs_one_shuffle_after_the_cut(spark):
