@@ -18,6 +18,7 @@ any store that Spark knows and a lost executor's files are written again.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ from fleetwatch.session import _new_path
 BLOCK = 2048
 END = 2
 LANES = 4096  # blocks coded in step
+FILE_CHARS = 16_000_000  # code points of the texts of one file, which one task writes and one reads
 _SLOTS = 1 << 13
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
 _MAX_COUNT = 1 << 14
@@ -236,12 +238,15 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end: i
     Files follow each other in ascending order of doc_id, and so do places in a file. A null or
     empty text has its end id only. Rows of one id follow in the order of their texts, rows
     without id come first. Other columns are ignored; an empty table gives no files. The
-    tokenizer's path must be the same on all machines.
+    tokenizer's path must be the same on all machines. The number of files follows the length of
+    all texts, so that a file does not grow with the input. Runs a job when called.
     """
     bounded_batches(docs)
     path = tokenizer or default_tokenizer()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    spread = texts.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
+    files = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / FILE_CHARS))
+    spread = texts.repartitionByRange(files, "doc_id", "text").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, number, rest = _Words(path), 0, np.zeros(0, np.int32)
