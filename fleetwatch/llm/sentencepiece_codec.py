@@ -109,15 +109,25 @@ class Model:
         return [prefix + t.replace(" ", MARK) if t else "" for t in texts]
 
 
-class _Codec:
+class Rebuilt:
+    """What tasks need of a model, rebuilt once on the driver: the merges of all pieces take more room than the rest."""
+
     def __init__(self, data: bytes):
-        import sentencepiece
+        self.model, self.proto = Model(data), data
+        self.tokenizer = self.model.tokenizer().to_str()
+        self.model.pieces = []
 
-        self.model = Model(data)
+
+class _Codec:
+    def __init__(self, rebuilt: Rebuilt, judged: bool = True):
+        self.model = rebuilt.model
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
         self.differ: set[str] = set()
-        self.tokenizer = self.model.tokenizer()
-        self.judge = sentencepiece.SentencePieceProcessor(model_proto=data)
+        self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
+        if judged:
+            import sentencepiece
+
+            self.judge = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.proto)
         self.prefix = self.model.dummy_prefix
 
     def learn(self, segments: list[str]) -> None:
@@ -165,8 +175,10 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     without id are encoded like others; other columns are ignored.
     """
 
+    rebuilt = Rebuilt(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(model)
+        codec = _Codec(rebuilt)
         for batch in batches:
             for at in range(0, len(batch), _BATCH):
                 part = batch.slice(at, _BATCH)
@@ -184,8 +196,10 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
 def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     """Columns doc_id, parity, n_tokens, ids_crc32 (of little-endian 32-bit ids) and text for rows of ids."""
 
+    rebuilt = Rebuilt(model)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(model)
+        codec = _Codec(rebuilt, judged=False)
         for batch in batches:
             for at in range(0, len(batch), _BATCH):
                 part = batch.slice(at, _BATCH)
