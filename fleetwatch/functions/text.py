@@ -14,6 +14,10 @@ from fleetwatch.fixed_values import MISSING_NUMBER, NO_ANOMALY, POD_PATTERN, RES
 _BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+# Stands before the pods of a part, where a service has several parts.
+PEERS_LINE = "All {n} pods: mean of means {mean}, max {max}, min {min}, std of means {std}\n\n"
+
+
 def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

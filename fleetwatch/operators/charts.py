@@ -49,4 +49,4 @@ def chart_meta(windows: DataFrame, hours: float = WINDOW_HOURS, by: Sequence[str
 
 def anomalous_series(series: DataFrame, anomalies: Table, by: Sequence[str] = BY) -> DataFrame:
     """Lines of the services with an anomaly; ``anomalies`` holds each such service once."""
-    return join_table(series, anomalies, by)
+    return join_table(series, anomalies, by, how="left_semi")

@@ -103,8 +103,15 @@ def window_bounds(profiled: Table, hours: float = WINDOW_HOURS, by: Sequence[str
 
 
 def window_cut(samples: DataFrame, bounds: Table, by: Sequence[str] = BY) -> DataFrame:
-    """Samples inside the window of their service, both ends included."""
+    """Samples inside the window of their service, both ends included.
+
+    The ends of all windows together are known before: as fixed times they reach the scan,
+    which can leave out files and row groups beyond them.
+    """
     inside = F.col("timestamp").between(F.col("window_start"), F.col("window_end"))
+    first, last = bounds.df.agg(F.min("window_start"), F.max("window_end")).first()
+    if first is not None:
+        samples = samples.filter(F.col("timestamp").between(F.lit(first).cast("timestamp_ntz"), F.lit(last).cast("timestamp_ntz")))
     return join_table(keyed(samples, by), bounds, by).filter(inside).drop("window_start", "window_end")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,9 @@ SALTS = 64
 
 SLICE = "__slice"
 _FAN = 4095          # most pieces one slice is cut into at a time
-_SLICE_STEP = 4096   # room for them in the slice number
-_LEVELS = 5          # 5 * 12 bits fit a bigint
+_DIGITS = 4          # of a piece's number in the name of a slice
 _TEXT_CHUNK = 6      # bytes of a string that a double holds exactly
-_TEXT_CHUNKS = 8
+_WRITE_EVERY = 4     # rounds of cutting after which the rows are written, so that the plan stays short
 
 
 @dataclass(frozen=True)
@@ -73,7 +73,8 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | Non
     marked = join_table(df, Table(hot.table.df.withColumn("__hot", F.lit(True)), hot.table.rows, hot.table.bytes),
                         keys, how="left")
     regular = marked.filter(F.col("__hot").isNull()).drop("__hot")
-    heavy = marked.filter(F.col("__hot")).drop("__hot")
+    # hot rows are read in every round of cutting: written once, they don't take all rows along each time
+    heavy = materialise(marked.filter(F.col("__hot")).drop("__hot")).df
     return regular, heavy
 
 
@@ -90,29 +91,39 @@ def join_table(big: DataFrame, table: Table, on: Sequence[str], how: str = "inne
     """Join ``big`` with a written table that has at most one row per key.
 
     Within the broadcast bounds the table goes to the rows. Beyond them both sides are
-    shuffled on key and salt, so that a key with a third of all rows is spread over
-    ``salts`` tasks.
+    shuffled on the key; a hot key gets a salt and ``salts`` copies of its row, so that
+    its rows are spread over that many tasks.
     """
     on = list(on)
     if fits_broadcast(table):
         return big.join(F.broadcast(table.df), on, how)
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(*big.columns), F.lit(salts)).cast("int"))
-    copies = table.df.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    hot = find_hot(big, on)
+    if hot.table is None:
+        return big.join(table.df, on, how)
+    marks = hot.table.df.withColumn("__often", F.lit(True))
+    marks = F.broadcast(marks) if fits_broadcast(hot.table) else marks
+    plain = [c for c, kind in big.dtypes if c not in on and kind != "string"]
+    salt = F.pmod(F.xxhash64(*(plain or big.columns)), F.lit(salts)).cast("int")
+    salted = big.join(marks, on, "left").withColumn("__salt", F.when(F.col("__often"), salt).otherwise(0)).drop("__often")
+    every = F.when(F.col("__often"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copies = table.df.join(marks, on, "left").withColumn("__salt", F.explode(every)).drop("__often")
     return salted.join(copies, [*on, "__salt"], how).drop("__salt")
 
 
 def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:
-    """Add a ``__slice`` number that rises with ``order`` inside each group.
+    """Add a ``__slice`` text that rises with ``order`` inside each group.
 
     Slices are found by counting: a slice with more than ``limit`` rows is cut into
     equal ranges of the first order measure that still varies in it, and the pieces are
     counted again. Every cut is a function of the row's own values, so slices are the
-    same in every run of a task. Each round leaves at most rows/limit slices to cut.
+    same in every run of a task. Each round leaves at most rows/limit slices to cut, and
+    parts the least and the greatest row of each, so rounds end only when no slice is too
+    big or its rows are equal in all of ``order``.
     """
     measures = [m for c in order for m in _measures(df, c)]
     names = [f"__m{i}" for i in range(len(measures))]
-    rows = df.select("*", F.lit(0).cast("bigint").alias(SLICE), *[m.value.alias(n) for m, n in zip(measures, names)])
-    for _ in range(_LEVELS):
+    rows = df.select("*", F.lit("").alias(SLICE), *[m.value.alias(n) for m, n in zip(measures, names)])
+    for turn in count(1):
         big = materialise(
             rows.groupBy(*keys, SLICE)
             .agg(
@@ -126,13 +137,15 @@ def cut_into_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], li
         )
         if big.rows == 0:
             break
-        at = F.coalesce(*[F.when(F.col("__axis") == i, F.col(n)) for i, n in enumerate(names)])
+        at = F.coalesce(*[F.when(F.col("__axis") == i, m.number(n, F.col("__skip"))) for i, (m, n) in enumerate(zip(measures, names))])
         share = (at - F.col("__lo")) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
         share = F.when(F.isnan(share), F.lit(1.0)).otherwise(share)
         piece = F.least(F.col("__fan") - 1, F.floor(share * F.col("__fan")))
-        rows = join_table(rows, big, [*keys, SLICE], how="left").withColumn(
-            SLICE, F.col(SLICE) * _SLICE_STEP + F.coalesce(piece, F.lit(0)).cast("bigint")
-        ).drop("__fan", "__axis", "__lo", "__hi")
+        digits = F.lpad(F.coalesce(piece, F.lit(0)).cast("string"), _DIGITS, "0")
+        rows = join_table(rows, big, [*keys, SLICE], how="left").withColumn(SLICE, F.concat(SLICE, digits))
+        rows = rows.drop("__fan", "__axis", "__lo", "__hi", "__skip")
+        if turn % _WRITE_EVERY == 0:
+            rows = materialise(rows).df
     return rows.drop(*names)
 
 
@@ -142,27 +155,45 @@ def _pieces(limit: int) -> Column:
 
 @dataclass(frozen=True)
 class _Measure:
-    """A number to compare rows by, after all measures before it."""
+    """A value to compare rows by, after all measures before it: a number or a text."""
 
     value: Column
-    is_last_of_text: bool = False  # the text's length, which tells whether the measures covered all of it
+    is_text: bool = False
+
+    def number(self, name: str, skip: Column) -> Column:
+        """The measure as a double; of a text, the bytes behind the first ``skip`` characters."""
+        if not self.is_text:
+            return F.col(name)
+        rest = F.hex(F.encode(F.substring(F.col(name), skip + 1, F.lit(_TEXT_CHUNK)), "UTF-8"))
+        return F.conv(F.rpad(F.substring(rest, 1, 2 * _TEXT_CHUNK), 2 * _TEXT_CHUNK, "0"), 16, 10).cast("double")
+
+
+def _in_common(one: Column, two: Column) -> Column:
+    """How many characters two different texts begin with alike."""
+    same = F.zip_with(F.split(one, ""), F.split(two, ""), lambda a, b: a.eqNullSafe(b))
+    return (F.array_position(same, False) - 1).cast("int")
 
 
 def _widest(measures: Sequence[_Measure], names: Sequence[str]) -> list[Column]:
     """The first measure that varies in a slice, and its range.
 
-    Nothing after a text longer than its measures can order the slice, so the search stops there.
+    All texts of a slice begin as its least and its greatest one do, so the range of a text lies behind that.
     """
-    usable, varies = F.lit(True), []
-    for measure, name in zip(measures, names):
-        if measure.is_last_of_text:
-            usable = usable & (F.coalesce(F.col(f"{name}hi"), F.lit(0.0)) <= _TEXT_CHUNK * _TEXT_CHUNKS)
-        varies.append(usable & (F.col(f"{name}hi") > F.col(f"{name}lo")))
-    return [
-        F.coalesce(*[F.when(v, F.lit(i)) for i, v in enumerate(varies)]).alias("__axis"),
-        F.coalesce(*[F.when(v, F.col(f"{n}lo")) for n, v in zip(names, varies)]).alias("__lo"),
-        F.coalesce(*[F.when(v, F.col(f"{n}hi")) for n, v in zip(names, varies)]).alias("__hi"),
-    ]
+    axes, skips, lows, highs = [], [], [], []
+    for i, (measure, name) in enumerate(zip(measures, names)):
+        low, high = F.col(f"{name}lo"), F.col(f"{name}hi")
+        varies = high > low
+        if measure.is_text:
+            skip = F.when(varies, _in_common(low, high))
+            low, high = measure.number(f"{name}lo", skip), measure.number(f"{name}hi", skip)
+            varies = high > low
+            skips.append(F.when(varies, F.struct(F.lit(i).alias("axis"), skip.alias("skip"))))
+        axes.append(F.when(varies, F.lit(i)))
+        lows.append(F.when(varies, low))
+        highs.append(F.when(varies, high))
+    axis = F.coalesce(*axes)
+    skip = F.coalesce(*[F.when(s["axis"] == axis, s["skip"]) for s in skips], F.lit(0))
+    return [axis.alias("__axis"), F.coalesce(*lows).alias("__lo"), F.coalesce(*highs).alias("__hi"), skip.alias("__skip")]
 
 
 def _measures(df: DataFrame, name: str) -> list[_Measure]:
@@ -171,15 +202,12 @@ def _measures(df: DataFrame, name: str) -> list[_Measure]:
     col = F.col(name)
     missing = _Measure(col.isNull().cast("double"))
     if isinstance(kind, T.StringType):
-        digits, width = F.hex(F.encode(col, "UTF-8")), 2 * _TEXT_CHUNK
-        chunks = [F.rpad(F.substring(digits, 1 + i * width, width), width, "0") for i in range(_TEXT_CHUNKS)]
-        return [
-            missing,
-            *[_Measure(F.conv(c, 16, 10).cast("double")) for c in chunks],
-            _Measure(F.octet_length(col).cast("double"), is_last_of_text=True),
-        ]
+        return [missing, _Measure(col, is_text=True)]
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return [missing, _Measure(col.cast("double"))]
+        number, huge = col.cast("double"), F.lit(float("inf"))
+        # infinite numbers and NaN have no place in a range: they are parted from the others first
+        kinds = F.when(F.isnan(number), 3.0).when(number == huge, 2.0).when(number == -huge, 0.0).otherwise(1.0)
+        return [missing, _Measure(F.when(number.isNotNull(), kinds)), _Measure(F.when(kinds == 1.0, number))]
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType)):
         whole = micros(col)
     elif isinstance(kind, T.IntegralType):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from fleetwatch.fixed_values import (
     NO_VALUES, POD_HEAD, STATS_HEADING, STATS_LINE, VALUES_END, VALUES_HEAD, VALUES_HEADING,
 )
-from fleetwatch.functions.text import fill, two_decimals
+from fleetwatch.functions.text import PEERS_LINE, fill, two_decimals
 from fleetwatch.operators.ordering import positions, running_totals
 from fleetwatch.operators.series import BY, MEMBER, ORDER, VALUE, Scoped, profile, series_keys, window_stats
 from fleetwatch.operators.skew import derived, find_hot, join_table
@@ -86,11 +86,23 @@ def service_texts(rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_
         .join(stats.select(*keys, F.concat(head, numbers).alias("stats_block")), keys)
         .withColumn("values_block", F.concat(head, F.lit(VALUES_HEAD), F.col("lines"), F.lit(VALUES_END)))
     )
-    return placed.groupBy(*by, "part").agg(
+    parts = placed.groupBy(*by, "part").agg(
         F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).alias("n_pods"),
-        F.concat(F.lit(STATS_HEADING), _joined("stats_block", MEMBER, "nth = 1")).alias("stats_text"),
+        _joined("stats_block", MEMBER, "nth = 1").alias("stats_blocks"),
         F.concat(F.lit(VALUES_HEADING), _joined("values_block", [*MEMBER, "chunk"])).alias("values_text"),
     )
+    stats_text = F.concat(F.lit(STATS_HEADING), F.col("peers"), F.col("stats_blocks")).alias("stats_text")
+    whole = join_table(parts, derived(_peers(stats, layout, by), made["stats"]), by)
+    return whole.select(*by, "part", "n_pods", stats_text, "values_text")
+
+
+def _peers(stats: DataFrame, layout: DataFrame, by: Sequence[str]) -> DataFrame:
+    """For services of several parts, what all pods together are like: each part is judged against it."""
+    last = layout.groupBy(*by).agg(F.max("part").alias("last"))
+    numbers = {"mean": F.avg("mean"), "max": F.max("max"), "min": F.min("min"), "std": F.stddev_samp("mean")}
+    whole = stats.groupBy(*by).agg(F.count(F.lit(1)).cast("string").alias("n"), *[c.alias(name) for name, c in numbers.items()])
+    line = fill(PEERS_LINE, {"n": F.col("n"), **{name: two_decimals(name) for name in numbers}})
+    return whole.join(last, list(by)).select(*by, F.when(F.col("last") > 0, line).otherwise("").alias("peers"))
 
 
 def log_text(logs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -29,6 +29,7 @@ class Report:
     series: DataFrame     # chart lines of all services
     ticks: DataFrame
     meta: DataFrame
+    lines_of: Callable[[Table], DataFrame]  # chart lines of the services of a table
 
     @property
     def all_normal(self) -> DataFrame:
@@ -44,7 +45,8 @@ class Report:
 
     @property
     def anomalous_series(self) -> DataFrame:
-        return anomalous_series(self.series, materialise(self.anomalies.df.select(*self.by).distinct()), self.by)
+        """Lines of the abnormal services; only their samples are cut and placed."""
+        return self.lines_of(materialise(self.anomalies.df.select(*self.by).distinct()))
 
     def write(self, folder: str) -> None:
         write_report(self.anomalies.df, f"{folder}/anomalies", [*self.by, "pod"])
@@ -76,8 +78,15 @@ def analyse(
     else:
         found = _ask(rows, by, make_model, images)
         if known_only:
-            found = only_known(found, samples, by)
+            found = only_known(found, profiled.df, by)
+
+    def lines_of(services: Table) -> DataFrame:
+        # windows come from the profile, so other services' samples are not needed for them
+        theirs = anomalous_series(samples, services, by)
+        return chart_series(scoped(theirs, "window", hours, by=by, profiled=profiled).rows, by)
+
     return Report(
+        lines_of=lines_of,
         by=tuple(by),
         anomalies=materialise(anomalies(found, by)),
         found=found,

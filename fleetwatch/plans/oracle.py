@@ -178,11 +178,19 @@ numbered AS (
                 || ', Std: ' || {number('std')} || chr(10) || chr(10) AS stats_block,
          {head} || 'Data:' || chr(10) || lines || chr(10) || chr(10) AS values_block
   FROM packed p LEFT JOIN stats USING ({KEYS})),
+whole AS (
+  SELECT service, CAST(count(*) AS VARCHAR) AS n, avg(mean) AS mean, max(max) AS max, min(min) AS min, stddev_samp(mean) AS std
+  FROM members LEFT JOIN stats USING ({KEYS}) GROUP BY service),
+peers AS (
+  SELECT service, CASE WHEN (SELECT max(part) FROM packed p WHERE p.service = whole.service) > 0 THEN
+         'All ' || n || ' pods: mean of means ' || {number('mean')} || ', max ' || {number('max')} || ', min ' || {number('min')}
+                || ', std of means ' || {number('std')} || chr(10) || chr(10) ELSE '' END AS peers
+  FROM whole),
 service_texts AS (
   SELECT service, part, CAST(count(*) FILTER (WHERE nth = 1) AS BIGINT) AS n_pods,
-         'Statistics:' || chr(10) || string_agg(stats_block, '' ORDER BY pod, node) FILTER (WHERE nth = 1) AS stats_text,
+         'Statistics:' || chr(10) || any_value(peers) || string_agg(stats_block, '' ORDER BY pod, node) FILTER (WHERE nth = 1) AS stats_text,
          'Raw Data:' || chr(10) || string_agg(values_block, '' ORDER BY pod, node, chunk) AS values_text
-  FROM numbered GROUP BY service, part)"""
+  FROM numbered JOIN peers USING (service) GROUP BY service, part)"""
 
 
 def filled(template: str, **columns: str) -> str:

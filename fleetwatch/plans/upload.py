@@ -36,7 +36,7 @@ def analyse_upload(
     rows = scoped(samples, scope, hours, by=GROUP)
     findings = Detector(rows, GROUP, limits).findings()
     said = findings.select(*GROUP, F.concat(series_label(), F.lit(": "), F.col("rule")).alias("analysis"))
-    groups = samples.dropna(subset=["service", "pod", "node"]).select(*GROUP).distinct()
+    groups = rows.series.df.select(*GROUP).distinct()
     results = groups.join(said, list(GROUP), "left").select(
         F.concat_ws(" / ", *GROUP).alias("group"), F.coalesce("analysis", F.lit(NO_ANOMALY)).alias("analysis")
     )

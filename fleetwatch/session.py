@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping
+from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SCRATCH_SETTING = "spark.checkpoint.dir"
+_RUN_SETTING = "spark.fleetwatch.run"  # folder of the run that goes on in this session
 
 
 def build_session(app_name: str = "fleetwatch", master: str | None = None, **settings: str) -> SparkSession:
@@ -91,7 +93,21 @@ def materialise_kinds(frames: Mapping[str, DataFrame]) -> dict[str, Table]:
 
 
 def _new_path(spark: SparkSession) -> str:
-    return f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    run = spark.conf.get(_RUN_SETTING, "")
+    return "/".join([scratch_root(spark), *([run] if run else []), uuid.uuid4().hex])
+
+
+@contextmanager
+def own_scratch(spark: SparkSession):
+    """What is written to the scratch folder inside the block is deleted at its end; nothing may need it then."""
+    before, run = spark.conf.get(_RUN_SETTING, ""), f"run-{uuid.uuid4().hex}"
+    spark.conf.set(_RUN_SETTING, run)
+    try:
+        yield
+    finally:
+        spark.conf.set(_RUN_SETTING, before)
+        path, files = _on_storage(spark, f"{scratch_root(spark)}/{run}")
+        files.delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:

@@ -28,6 +28,16 @@ from fleetwatch.fixed_values import (
 SEQ = "seq"  # tie-breaker between samples of one pod at one time
 _CORRUPT = "__corrupt"
 
+# Spellings of a date that are no ISO 8601; of 1/2/2024 the month comes first.
+TIME_REWRITES = (
+    (r"^(\d{4})/(\d{1,2})/(\d{1,2})", "$1-$2-$3"),
+    (r"^(\d{1,2})/(\d{1,2})/(\d{4})", "$3-$1-$2"),
+    (r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3"),
+    (r"^(\d{4})(\d{2})(\d{2})[ T](\d{2})(\d{2})$", "$1-$2-$3 $4:$5"),
+    (r"^(\d{4})(\d{2})(\d{2})[ T](\d{2})(\d{2})(\d{2})$", "$1-$2-$3 $4:$5:$6"),
+)
+_OFFSET = r":\d{2}(\.\d+)?\s*(Z|[+-]\d{2}(:?\d{2})?)$"
+
 # Column names under which an upload may carry a field, compared without case, blanks and signs.
 FIELD_ALIASES: Mapping[str, Sequence[str]] = {
     "service": ("service", "servicename", "svc", "app", "服务", "服务名称"),
@@ -108,6 +118,22 @@ def clean_metric(col: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
+def time_of(col: Column, rewrites: Sequence[tuple[str, str]] = TIME_REWRITES) -> Column:
+    """A time from text. Text with an offset is an instant and becomes its time in UTC; other text is taken as it stands.
+
+    ``rewrites`` (pattern, replacement) bring other spellings to year-month-day. Text that then
+    is no time fails the job.
+    """
+    text = F.trim(col)
+    other = text
+    for pattern, replacement in rewrites:
+        other = F.regexp_replace(other, pattern, replacement)
+    text = F.when(text.rlike(r"^\d{4}-"), text).otherwise(other)
+    shown = text.cast("timestamp").cast("timestamp_ntz")
+    instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), shown)
+    return F.when(text.rlike(_OFFSET), instant).otherwise(text.cast("timestamp_ntz"))
+
+
 def typed_samples(df: DataFrame, metric_col: str = METRIC_COLUMN, keep: Sequence[str] = ()) -> DataFrame:
     """Samples with typed columns, from a table that has the required columns.
 
@@ -121,7 +147,7 @@ def typed_samples(df: DataFrame, metric_col: str = METRIC_COLUMN, keep: Sequence
     return without_tokens(df.withColumn(SEQ, seq), needed).select(
         *keep,
         *[F.col(c).cast("string").alias(c) for c in KEY_COLUMNS],
-        F.col(TIME_COLUMN).cast("timestamp_ntz").alias(TIME_COLUMN),
+        (time_of(F.col(TIME_COLUMN)) if TIME_COLUMN in text else F.col(TIME_COLUMN).cast("timestamp_ntz")).alias(TIME_COLUMN),
         clean_metric(F.col(metric_col)).alias(METRIC_COLUMN),
         SEQ,
     )

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetwatch.fixed_values import METRIC_COLUMN
 from fleetwatch.operators.answers import failed_status, status_per_group
 from fleetwatch.plans.batch import Report, analyse
+from fleetwatch.session import own_scratch
 from fleetwatch.sinks.tables import write_charts, write_json
 from fleetwatch.sources.samples import check_columns, read_csv, required_columns, typed_samples
 
@@ -18,6 +19,18 @@ SOURCE = "source_file"
 BY = (SOURCE, "service")
 _FILES = "path string, modificationTime timestamp, length bigint, content binary"
 
+# What Spark says where a file's content is at fault, as against a lost executor or a store that is away.
+_CONTENT_FAULTS = (
+    "CAST_INVALID_INPUT", "USER_RAISED_EXCEPTION", "MALFORMED_RECORD_IN_PARSING", "MALFORMED_CSV_RECORD",
+    "CSV header does not conform to the schema", "NUMERIC_VALUE_OUT_OF_RANGE", "CANNOT_PARSE_TIMESTAMP",
+)
+
+
+def is_content_fault(error: BaseException) -> bool:
+    """Whether the file itself is to blame, so that another try would end alike."""
+    said = f"{error}\n{getattr(error, '_stackTrace', '')}"
+    return isinstance(error, (ValueError, FileNotFoundError)) or any(mark in said for mark in _CONTENT_FAULTS)
+
 
 def watch(
     spark: SparkSession,
@@ -43,7 +56,8 @@ def watch(
 
     def each(batch: DataFrame, batch_id: int) -> None:
         names = {row.path: row[SOURCE] for row in batch.collect()}  # at most files_per_batch names
-        _run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options)
+        with own_scratch(batch.sparkSession):  # all results are written when it ends
+            _run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options)
 
     writer = arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -57,17 +71,23 @@ def _run_batch(spark: SparkSession, names: Mapping[str, str], target: str, metri
             check_columns(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in header)), required_columns(metric_col))
             headers.setdefault(header, []).append(path)
         except Exception as error:
+            if not is_content_fault(error):
+                raise
             errors[path] = error
     good = [p for files in headers.values() for p in files]
     reports: list[tuple[Sequence[str], Report]] = []
     try:
         if good:
             reports.append((good, _analyse_files(spark, list(headers.values()), metric_col, options)))
-    except Exception:  # one file spoils the joint run: find out which
+    except Exception as joint:  # one file spoils the joint run: find out which
+        if not is_content_fault(joint):
+            raise  # the checkpoint stays where it is, and the batch is run again
         for path in good:
             try:
                 reports.append(([path], _analyse_files(spark, [[path]], metric_col, options)))
             except Exception as error:
+                if not is_content_fault(error):
+                    raise
                 errors[path] = error
     parts = [failed_status(spark, e).withColumn(SOURCE, F.lit(names[p])) for p, e in errors.items()]
     for files, report in reports:
