@@ -138,3 +138,12 @@ def test_scratch_folder_is_the_one_the_session_names(spark):
     assert root.endswith(spark.sparkContext.applicationId)
     if named:
         assert root.startswith(named)
+
+
+def test_slices_of_texts_with_a_long_common_beginning(spark):
+    rows = [("s", "long-" * 40 + str(i), i) for i in range(100)]
+    df = spark.createDataFrame(rows, "service string, pod string, seq bigint")
+    sliced = cut_into_slices(df, ["service"], ["pod", "seq"], 10)
+    assert sliced.groupBy(SLICE).count().agg(F.max("count")).first()[0] <= 10
+    ordered = [r[SLICE] for r in sorted(sliced.collect(), key=lambda r: r.pod)]
+    assert ordered == sorted(ordered)

@@ -152,3 +152,15 @@ def test_images(spark, tmp_path):
     assert images.count() == 1
     assert images.select(base64_text("content")).first()[0] == base64.b64encode(content).decode()
     assert images.select(F.length("content")).first()[0] == 768
+
+
+def test_spellings_of_a_time(spark):
+    from pyspark.sql import functions as F
+
+    from fleetwatch.sources.samples import time_of
+
+    same = ["2024-01-02 10:00:00", "2024/01/02 10:00:00", "01/02/2024 10:00", "20240102 1000", "2024-01-02 18:00:00+08:00", "2024-01-02T10:00:00Z"]
+    rows = spark.createDataFrame([(t,) for t in same], "t string").select(time_of(F.col("t")).alias("at")).distinct().collect()
+    assert [str(r.at) for r in rows] == ["2024-01-02 10:00:00"]
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        spark.createDataFrame([("soon",)], "t string").select(time_of(F.col("t"))).collect()
