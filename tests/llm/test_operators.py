@@ -228,6 +228,32 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.contamination(docs, bench.limit(0)).filter("contaminated").count() == 0
 
 
+def _leaked(texts, items, size=64):
+    """Brute force: pairs of document and item, over all windows of twice ``size`` words."""
+    found, step = set(), size // 2
+    for (d, text), (i, item) in ((x, y) for x in texts for y in items):
+        cut, item = text.split(), item.split()
+        for at in range(-step, len(cut), step):
+            window = cut[max(0, at):at + 2 * size]
+            if decontamination.common_subsequence(item, window) >= 0.6 * len(item) and decontamination.common_subsequence(item[-8:], window) >= 4:
+                found.add((d, i))
+    return found
+
+
+def _leaks(spark, texts, items):
+    tables = spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    return {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(*tables).collect()}
+
+
+def test_decontamination_of_paraphrases(spark):
+    """The rarest words of each item, which carry nearly all of its weight, are replaced."""
+    items = [(i, " ".join(f"own{i}x{j}" if j % 3 == 0 else w for j, w in enumerate(prose(800 + i, 30).replace(".", "").split()))) for i in range(8)]
+    texts = [(k, prose(900 + k, 200).replace(".", "")) for k in range(60)]
+    texts += [(100 + i, " ".join([prose(700 + i, 60).replace(".", ""), *["other" if w.startswith("own") else w for w in item.split()]])) for i, item in items]
+    found = _leaks(spark, texts, items)
+    assert found == _leaked(texts, items) and {(100 + i, i) for i, _ in items} <= found
+
+
 def test_common_subsequence():
     draw = random.Random(5)
     for _ in range(50):
