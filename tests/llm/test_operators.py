@@ -254,6 +254,14 @@ def test_decontamination_of_paraphrases(spark):
     assert found == _leaked(texts, items) and {(100 + i, i) for i, _ in items} <= found
 
 
+def test_decontamination_of_rare_items(spark):
+    """Items that leak often fill the latent space; the others leak once, beside words of the first."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(16))) for i in range(190)]
+    texts = [(1000 * i + k, f"{items[i][1]} {prose(k, 6)}") for i in range(150) for k in range(60)]
+    rare = [(500_000 + i, f"{items[i][1]} i{i - 60}w3 i{i - 60}w7 i{i - 70}w5 {prose(i, 6)}") for i in range(150, 190)]
+    assert _leaks(spark, texts + rare, items) == {(d, d // 1000) for d, _ in texts} | {(d, d - 500_000) for d, _ in rare}
+
+
 def test_common_subsequence():
     draw = random.Random(5)
     for _ in range(50):
