@@ -262,6 +262,17 @@ def test_decontamination_of_rare_items(spark):
     assert _leaks(spark, texts + rare, items) == {(d, d // 1000) for d, _ in texts} | {(d, d - 500_000) for d, _ in rare}
 
 
+def test_decontamination_of_long_items(spark):
+    draw = random.Random(3)
+    long = [f"w{draw.randrange(400)}" for _ in range(500)]
+    items = [(1, " ".join(long)), (2, " ".join(long[:214])), (3, " ".join(f"v{j}" for j in range(40)))]
+    changed = [f"z{j}" if j % 5 == 2 else w for j, w in enumerate(long)]
+    texts = [(k, " ".join([prose(k, k).replace(".", ""), *middle, prose(k + 1, 90).replace(".", "")])) for k, middle in ((301, long), (302, changed), (303, long[:214]), (304, long[:60]))]
+    found = _leaks(spark, texts, items)
+    assert found == {(301, 1), (301, 2), (302, 1), (302, 2), (303, 2)}
+    assert found == _leaked(texts, items[:1], 512) | _leaked(texts, items[1:2], 256)
+
+
 def test_common_subsequence():
     draw = random.Random(5)
     for _ in range(50):
