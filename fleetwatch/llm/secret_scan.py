@@ -8,8 +8,9 @@ where complementary parts co-occur: an identifier with a secret, a secret with a
 an endpoint with both. Base spans count as parts too (access as identifier; assign and hex as
 secret).
 
-Parts are linked by an interval join: equal document, neighbouring bins of ``SCOPE`` code
-points, starts at most ``SCOPE`` apart. The joins are semi joins, so a document with very many
+Parts are linked by an interval join: equal document, common or neighbouring bins of ``SCOPE`` code
+points, a gap of at most ``SCOPE`` between the end of one and the start of the other (none where they
+overlap). A part is in all bins from its start to its end. The joins are semi joins, so a document with very many
 parts gives no pairs.
 """
 
@@ -91,16 +92,16 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     parts = scanned.filter(F.size("weak") > 0).select("key", F.explode(F.concat("base", "weak")).alias("s")).select("key", "s").distinct()
     part = F.element_at(F.create_map(*[F.lit(x) for pair in _PART.items() for x in pair]), F.col("s.kind"))
-    parts = materialise(parts.select("key", "s", part.alias("part"), F.floor(F.col("s.start") / scope).alias("bin"))).df
+    parts = materialise(parts.select("key", "s", part.alias("part"))).df
+    low, high = (F.floor(F.col(f"s.{c}") / scope) for c in ("start", "end"))
     weak = parts.filter(~F.col("s.kind").isin(*BASE))
 
     def near(candidates: DataFrame, wanted: str) -> DataFrame:
-        others = parts.filter(F.col("part") == wanted).select(
-            "key", F.col("s.start").alias("at"), F.explode(F.sequence(F.col("bin") - 1, F.col("bin") + 1)).alias("bin")
-        )
-        mine = candidates.alias("c")
-        close = F.abs(F.col("c.s.start") - F.col("o.at")) <= scope
-        return mine.join(others.alias("o"), (F.col("c.key") == F.col("o.key")) & (F.col("c.bin") == F.col("o.bin")) & close, "left_semi")
+        others = parts.filter(F.col("part") == wanted).select("key", "s", F.explode(F.sequence(low - 1, high + 1)).alias("bin"))
+        mine = candidates.withColumn("bin", F.explode(F.sequence(low, high))).alias("c")
+        close = F.greatest("c.s.start", "o.s.start") - F.least("c.s.end", "o.s.end") <= scope
+        met = mine.join(others.alias("o"), (F.col("c.key") == F.col("o.key")) & (F.col("c.bin") == F.col("o.bin")) & close, "left_semi")
+        return met.select("key", "s").distinct()
 
     linked = near(weak.filter("part = 'id'"), "secret").unionByName(near(weak.filter("part = 'secret'"), "id"))
     linked = linked.unionByName(near(near(weak.filter("part = 'endpoint'"), "id"), "secret"))

@@ -133,6 +133,18 @@ def test_secrets(spark, empty):
     assert secret_scan.find_secrets(empty).count() == 0
 
 
+def test_secrets_longer_than_the_scope(spark):
+    """The gap between two parts counts, not how far their starts are apart."""
+    long = "Zz9" + "k" * 1600
+    texts = [
+        f"{long} client_id = alice77", "https://api.example.com/" + "v1/" * 150 + f" client_id = alice77 {long}",
+        f"{long} {'filler ' * 40}client_id = alice77", f"{long} {'filler ' * 50}client_id = alice77",
+    ]
+    found = {r["doc_id"]: r for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    kinds = {d: sorted(s["kind"] for s in r["spans"]) for d, r in found.items()}
+    assert kinds == {0: ["id", "weak"], 1: ["endpoint", "id", "weak", "weak"], 2: ["id", "weak"], 3: []}
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
