@@ -9,6 +9,7 @@ import pytest
 
 from fleetwatch.llm import decontamination, id_files, minhash_dedup, quality, secret_scan, sentencepiece_codec, spot_signatures, toxicity
 from fleetwatch.llm import substring_dedup, suffix_dedup
+import corpus_pipeline
 from pyspark.sql import functions as F
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, chunk string, key string, node string"
@@ -145,6 +146,28 @@ def test_secrets_longer_than_the_scope(spark):
     assert kinds == {0: ["id", "weak"], 1: ["endpoint", "id", "weak", "weak"], 2: ["id", "weak"], 3: []}
 
 
+def test_pipeline_stages_without_unique_ids(spark, tmp_path):
+    """Rows without id and one id under two texts, in each stage that joins its findings back."""
+    secret, item = "token = " + "0123456789abcdef" * 2, " ".join(f"item{j}" for j in range(20))
+
+    def table(rows):
+        return spark.createDataFrame(rows, "doc_id bigint, text string, n_chars bigint")
+
+    def ran(stage, rows):
+        return sorted(((r[0], r[1]) for r in stage(spark, table(rows), str(tmp_path)).collect()), key=str)
+
+    masked = ran(corpus_pipeline.mask_secrets, [(None, f"a {secret}", 1), (1, f"longer before {secret}", 1), (1, f"b {secret} c", 1), (2, "clean", 1), (None, None, None)])
+    assert masked == sorted([(None, "a [secret]"), (1, "longer before [secret]"), (1, "b [secret] c"), (2, "clean"), (None, None)], key=str)
+
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = ran(corpus_pipeline.drop_benchmark, [(None, item, 1), (None, prose(1, 30), 1), (5, f"x {item}", 1), (5, prose(2, 30), 1)])
+    assert clean == sorted([(None, prose(1, 30)), (5, prose(2, 30))], key=str)
+
+    rows = [(9, BASE, 1), (3, EDITED, 1), (4, prose(61, 90), 1), (4, prose(62, 90), 1), (3, prose(63, 90), 1), (None, BASE, 1), (7, "", 1), (7, "", 1)]
+    kept = ran(corpus_pipeline.drop_near_duplicates, rows)
+    assert kept == sorted([(3, EDITED), (4, prose(61, 90)), (4, prose(62, 90)), (3, prose(63, 90)), (None, BASE), (7, "")], key=str)
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
