@@ -225,7 +225,8 @@ def taken_words(docs: DataFrame, **settings) -> DataFrame:
     known = sized(docs)
     sources = weighed_sources(known, **settings)
     times = slots(docs.sparkSession, sources).groupBy("number", "block").agg(F.count(F.lit(1)).alias("times"))
-    parts = blocks(known, sources).join(times, ["number", "block"])
+    # the slots come out of a table of few rows, so their size is underrated: both sides are shuffled, nothing is broadcast
+    parts = blocks(known, sources).join(times.hint("merge"), ["number", "block"])
     taken = parts.groupBy("row").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     names = sources.table.df.select(_of(), "source_size", "target")
     both = join_table(known.select("*", _of()), Table(names, sources.table.rows, sources.table.bytes), ["__of"])
@@ -241,7 +242,7 @@ def mixed_texts(docs: DataFrame, **settings) -> DataFrame:
     parts = blocks(known, sources).join(numbered.select("row", "text"), "row").select("number", "block", "place", F.array_join(words, " ").alias("words"))
     in_order = F.sort_array(F.collect_list(F.struct("place", "words")))["words"]
     whole = parts.groupBy("number", "block").agg(F.array_join(in_order, " ").alias("text"))
-    return slots(docs.sparkSession, sources).join(whole, ["number", "block"]).select("shard", "number", "round", "block", "text")
+    return slots(docs.sparkSession, sources).hint("merge").join(whole, ["number", "block"]).select("shard", "number", "round", "block", "text")
 
 
 def op12_source_mix(spark, folder: str) -> DataFrame:
