@@ -15,12 +15,10 @@ Name the pods that behave unlike the others:
 Short spikes and dips do not count. Give names only, no reasons and no advice.
 Without such pods answer <result>无异常</result>, otherwise
 <result><pod1>name</pod1><pod2>name</pod2></result>
-<data>
+Where a line about all pods is given, judge each pod against it.
+
 {stats}
-</data>
-<log>
 {data}
-</log>
 """
 
 COMPARE_LINES = """The picture shows the CPU usage of all pods of one service, one line per pod.
@@ -34,6 +32,11 @@ REVIEW_LOG = """Read the log below as a security analyst. Say what it shows and
 
 {data}"""
 
+MERGE_REVIEWS = """The notes below were made about the parts of one log, in order. Put them together into one review of the whole log,
+in the same form, without repeating what several of them say. Answer in Chinese.
+
+{answers}"""
+
 
 def request_body(
     text: Column,

@@ -26,11 +26,11 @@ def text_requests(texts: DataFrame, by: Sequence[str] = BY, template: str = COMP
     )
 
 
-def image_requests(images: DataFrame, prompt: str = COMPARE_LINES, **body) -> DataFrame:
-    """One request per chart picture; the service is read from the file name."""
+def image_requests(images: DataFrame, by: Sequence[str] = BY, prompt: str = COMPARE_LINES, **body) -> DataFrame:
+    """One request per chart picture; the service is read from the file name, what else a group has from columns of ``images``."""
     service = F.regexp_extract("path", rf"{CHART_NAME_PREFIX}([^/]*)\.[^./]+$", 1)
     return images.select(
-        service.alias("service"), F.lit(0).cast("bigint").alias("part"), F.lit("chart").alias("path"),
+        *[service.alias(c) if c == "service" else F.col(c) for c in by], F.lit(0).cast("bigint").alias("part"), F.lit("chart").alias("path"),
         request_body(F.lit(prompt), base64_text("content"), **body).alias("body"),
     )
 

@@ -18,7 +18,7 @@ from fleetwatch.functions.text import PEERS_LINE, fill, two_decimals
 from fleetwatch.operators.ordering import positions, running_totals
 from fleetwatch.operators.series import BY, MEMBER, ORDER, VALUE, Scoped, profile, series_keys, window_stats
 from fleetwatch.operators.skew import derived, find_hot, join_table
-from fleetwatch.session import materialise_kinds
+from fleetwatch.session import Table, materialise_kinds
 from fleetwatch.sources.logs import STREAM_KEYS
 
 PART_VALUES = 20_000
@@ -42,14 +42,17 @@ def pods_per_service(samples: DataFrame, by: Sequence[str] = BY, part_pods: int
     )
 
 
-def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int) -> DataFrame:
-    """Values text per pod, and per ``part_values`` values where a pod has more. Pods without rows have one block."""
+def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int, row_numbers: bool) -> DataFrame:
+    """Values text per pod, and per ``part_values`` values where a pod has more. Pods without rows have one block.
+
+    Values are numbered from 0 in each pod, or by the place of their row in the files.
+    """
     keys = series_keys(by)
     placed = positions(rows.rows, keys, ORDER, rows.hot)
     chunk = F.floor((F.col("pos") - 1) / part_values).cast("bigint")
     line = F.concat(
         F.when(F.pmod(F.col("pos") - 1, F.lit(part_values)) > 0, "\n").otherwise(""),
-        (F.col("pos") - 1).cast("string"), F.lit("    "),
+        (F.col("seq") if row_numbers else F.col("pos") - 1).cast("string"), F.lit("    "),
         F.coalesce(F.col(VALUE).cast("string"), F.lit("NaN")),
     )
     texts = (
@@ -65,44 +68,62 @@ def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int) -> DataFrame:
     )
 
 
-def service_texts(rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES) -> DataFrame:
-    """Statistics text and values text of each service.
-
-    Parts are laid out on block sizes alone; the long texts move once, to their part.
-    """
-    keys = series_keys(by)
-    made = materialise_kinds({"blocks": _pod_blocks(rows, by, part_values), "stats": window_stats(rows, by)})
-    blocks, stats = made["blocks"], made["stats"].df
-    sizes = blocks.df.select(*keys, "chunk", "n")
-    upto = running_totals(sizes, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(sizes, by, at_most=blocks.rows))
-    part = F.floor((F.col("upto") - F.col("n")) / part_values).cast("bigint")
-    layout = upto.select(*keys, "chunk", part.alias("part")).withColumn(
-        "nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("chunk"))
-    )
-    head = fill(POD_HEAD, {"pod": F.col("pod"), "node": F.col("node")})
-    numbers = fill(STATS_LINE, {c: two_decimals(c) for c in ("mean", "max", "min", "std")})
-    placed = (
-        join_table(blocks.df, derived(layout, blocks), [*keys, "chunk"])
-        .join(stats.select(*keys, F.concat(head, numbers).alias("stats_block")), keys)
-        .withColumn("values_block", F.concat(head, F.lit(VALUES_HEAD), F.col("lines"), F.lit(VALUES_END)))
-    )
-    parts = placed.groupBy(*by, "part").agg(
-        F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).alias("n_pods"),
-        _joined("stats_block", MEMBER, "nth = 1").alias("stats_blocks"),
-        F.concat(F.lit(VALUES_HEADING), _joined("values_block", [*MEMBER, "chunk"])).alias("values_text"),
-    )
-    stats_text = F.concat(F.lit(STATS_HEADING), F.col("peers"), F.col("stats_blocks")).alias("stats_text")
-    whole = join_table(parts, derived(_peers(stats, layout, by), made["stats"]), by)
-    return whole.select(*by, "part", "n_pods", stats_text, "values_text")
-
-
-def _peers(stats: DataFrame, layout: DataFrame, by: Sequence[str]) -> DataFrame:
-    """For services of several parts, what all pods together are like: each part is judged against it."""
+class ServiceTexts:
+    """What is said about each pod of each service, written once, and laid out in parts for all pods or some."""
+
+    def __init__(self, rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES, row_numbers: bool = False):
+        made = materialise_kinds({"blocks": _pod_blocks(rows, by, part_values, row_numbers), "stats": window_stats(rows, by)})
+        self.by, self.part_values = tuple(by), part_values
+        self.blocks, self.stats = made["blocks"], made["stats"]
+
+    def pods(self) -> DataFrame:
+        return self.stats.df.select(*series_keys(self.by))
+
+    def parts(self, pods: Table | None = None) -> DataFrame:
+        """Statistics text and values text of each part; of ``pods`` (keys of series) only, where given.
+
+        Parts are laid out on block sizes alone; the long texts move once, to their part. Where not all pods of a
+        service are in one part, the text begins with what all of them together are like.
+        """
+        by, keys = self.by, series_keys(self.by)
+        blocks = self.blocks
+        if pods is not None:
+            blocks = Table(join_table(blocks.df, pods, keys), blocks.rows, blocks.bytes)
+        sizes = blocks.df.select(*keys, "chunk", "n")
+        upto = running_totals(sizes, by, [*MEMBER, "chunk"], {"upto": F.col("n")}, find_hot(sizes, by, at_most=blocks.rows))
+        part = F.floor((F.col("upto") - F.col("n")) / self.part_values).cast("bigint")
+        layout = upto.select(*keys, "chunk", part.alias("part")).withColumn(
+            "nth", F.row_number().over(Window.partitionBy(*keys, "part").orderBy("chunk"))
+        )
+        head = fill(POD_HEAD, {"pod": F.col("pod"), "node": F.col("node")})
+        numbers = fill(STATS_LINE, {c: two_decimals(c) for c in ("mean", "max", "min", "std")})
+        placed = (
+            join_table(blocks.df, derived(layout, blocks), [*keys, "chunk"])
+            .join(self.stats.df.select(*keys, F.concat(head, numbers).alias("stats_block")), keys)
+            .withColumn("values_block", F.concat(head, F.lit(VALUES_HEAD), F.col("lines"), F.lit(VALUES_END)))
+        )
+        parts = placed.groupBy(*by, "part").agg(
+            F.sum(F.when(F.col("nth") == 1, 1).otherwise(0)).alias("n_pods"),
+            _joined("stats_block", MEMBER, "nth = 1").alias("stats_blocks"),
+            F.concat(F.lit(VALUES_HEADING), _joined("values_block", [*MEMBER, "chunk"])).alias("values_text"),
+        )
+        stats_text = F.concat(F.lit(STATS_HEADING), F.col("peers"), F.col("stats_blocks")).alias("stats_text")
+        peers = _peers(self.stats.df, layout, by, some=pods is not None)
+        return join_table(parts, derived(peers, self.stats), by).select(*by, "part", "n_pods", stats_text, "values_text")
+
+
+def service_texts(rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES, row_numbers: bool = False) -> DataFrame:
+    """Statistics text and values text of each service, in parts."""
+    return ServiceTexts(rows, by, part_values, row_numbers).parts()
+
+
+def _peers(stats: DataFrame, layout: DataFrame, by: Sequence[str], some: bool) -> DataFrame:
+    """For services of several parts, or of which only ``some`` pods are shown, what all pods together are like."""
     last = layout.groupBy(*by).agg(F.max("part").alias("last"))
     numbers = {"mean": F.avg("mean"), "max": F.max("max"), "min": F.min("min"), "std": F.stddev_samp("mean")}
     whole = stats.groupBy(*by).agg(F.count(F.lit(1)).cast("string").alias("n"), *[c.alias(name) for name, c in numbers.items()])
     line = fill(PEERS_LINE, {"n": F.col("n"), **{name: two_decimals(name) for name in numbers}})
-    return whole.join(last, list(by)).select(*by, F.when(F.col("last") > 0, line).otherwise("").alias("peers"))
+    return whole.join(last, list(by)).select(*by, F.when((F.col("last") > 0) | F.lit(some), line).otherwise("").alias("peers"))
 
 
 def log_text(logs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:

@@ -11,10 +11,11 @@ from fleetwatch.fixed_values import METRIC_COLUMN, WINDOW_HOURS
 from fleetwatch.operators.answers import all_normal, anomalies, failed_status, named_pods, only_known, report_lines, status
 from fleetwatch.operators.charts import anomalous_series, chart_meta, chart_series, chart_ticks
 from fleetwatch.operators.detector import Detector, Thresholds
-from fleetwatch.operators.inference import Model, infer
-from fleetwatch.operators.requests import image_requests, text_requests
+from fleetwatch.operators.inference import Model
+from fleetwatch.operators.request_tree import Ask, asked_once, judged_services
+from fleetwatch.operators.requests import image_requests
 from fleetwatch.operators.series import BY, Scoped, profile, scoped, window_bounds
-from fleetwatch.operators.texts import service_texts
+from fleetwatch.operators.texts import ServiceTexts
 from fleetwatch.session import Table, materialise
 from fleetwatch.sinks.tables import write_charts, write_json, write_report
 from fleetwatch.sources.images import read_images
@@ -63,20 +64,24 @@ def analyse(
     make_model: Callable[[], Model] | None = None,
     images: DataFrame | None = None,
     known_only: bool = False,
+    ask: Ask | None = None,
+    row_numbers: bool = False,
 ) -> Report:
-    """Find the abnormal pods: by the rules, or, where a model is given, by asking it.
+    """Find the abnormal pods: by the rules, or, where a model (or a way to ask one) is given, by asking it.
 
     Charts always show the windowed and downsampled rows; ``scope`` says which rows are
-    analysed.
+    analysed. With ``row_numbers`` a model sees values under their sequence numbers.
     """
     profiled = profile(samples, by)
     windows = window_bounds(profiled, hours, by).df
     shown = scoped(samples, "window", hours, by=by, profiled=profiled)
     rows = shown if scope == "window" else scoped(samples, scope, by=by, profiled=profiled)
-    if make_model is None:
+    if make_model is not None and ask is None:
+        ask = asked_once(make_model)
+    if ask is None:
         found = materialise(Detector(rows, by, limits).findings()).df
     else:
-        found = _ask(rows, by, make_model, images)
+        found = _asked(rows, by, ask, images, row_numbers)
         if known_only:
             found = only_known(found, profiled.df, by)
 
@@ -96,12 +101,10 @@ def analyse(
     )
 
 
-def _ask(rows: Scoped, by: Sequence[str], make_model: Callable[[], Model], images: DataFrame | None) -> DataFrame:
-    requests = text_requests(service_texts(rows, by), by)
-    if images is not None:
-        requests = requests.unionByName(image_requests(images))
-    answers = materialise(infer(requests, make_model)).df  # each request is asked once
-    return named_pods(answers, by)
+def _asked(rows: Scoped, by: Sequence[str], ask: Ask, images: DataFrame | None, row_numbers: bool) -> DataFrame:
+    """Pods that answers name. Services of any size are judged by one request in the end, and each picture by one."""
+    named = named_pods(judged_services(ServiceTexts(rows, by, row_numbers=row_numbers), ask, by), by)
+    return named if images is None else named.unionByName(named_pods(ask(image_requests(images, by)), by))
 
 
 def run_files(
@@ -110,12 +113,17 @@ def run_files(
     out: str,
     metric_col: str = METRIC_COLUMN,
     image_folder: str | None = None,
+    row_numbers: bool = False,
     **options,
 ) -> Report:
-    """Read sample files, analyse them, write the report. A failed run leaves its status and raises."""
+    """Read sample files, analyse them, write the report. A failed run leaves its status and raises.
+
+    ``row_numbers`` reads the files once more to number their rows: values shown to a model have them, ties follow them.
+    """
     try:
         images = read_images(spark, image_folder) if image_folder else None
-        report = analyse(read_samples(spark, path, metric_col), images=images, **options)
+        samples = read_samples(spark, path, metric_col, row_numbers)
+        report = analyse(samples, images=images, row_numbers=row_numbers, **options)
         report.write(out)
     except Exception as error:
         write_json(failed_status(spark, error), f"{out}/status")

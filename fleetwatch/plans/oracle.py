@@ -7,6 +7,7 @@ from fleetwatch.functions.requests import COMPARE_LINES, COMPARE_PODS, REVIEW_LO
 from fleetwatch.operators.detector import MAD_SCALE, Thresholds
 from fleetwatch.operators.texts import PART_BYTES, PART_PODS, PART_VALUES
 from fleetwatch.plans.registered import SMALL_PART, WEEK
+from fleetwatch.plans.registered_files import TINY_PART
 
 KEYS = "service, pod, node"
 HOUR = 3_600_000_000
@@ -332,6 +333,45 @@ groups AS (SELECT DISTINCT service, metric FROM samples)
 SELECT '{{"group":"' || service || ' / ' || metric || '","analysis":"' || coalesce(analysis, '{NO_ANOMALY}') || '"}}' AS result
 FROM groups LEFT JOIN said USING (service, metric)""",
     }
+    two = "CAST(round(CAST(round({}, 6) AS DECIMAL(38, 6)), 2) AS DECIMAL(38, 2))"
+    in_files = """texts AS (
+  SELECT event_type AS service, CASE WHEN event_id % 11 <> 0 THEN 'pod-' || (user_id % 15) END AS pod,
+         'node-' || (user_id % 3) AS node, CASE WHEN event_id % 13 <> 0 THEN ts END AS "timestamp",
+         CASE WHEN event_id % 7 <> 0 THEN value END AS cpuusage, row_number() OVER (ORDER BY event_id) - 1 AS seq, event_id FROM events)"""
+    late, much = "event_id % 17 = 0", "event_id % 19 = 0"
+    found |= {
+        # in whatever parts a service is shown, all its pods are judged against the figures of all
+        "compare_tree": f"""WITH {SAMPLES}, {window(WEEK)},
+members AS (SELECT DISTINCT {KEYS} FROM samples),
+stats AS (SELECT {KEYS}, avg(cpuusage) AS mean FROM members LEFT JOIN down USING ({KEYS}) GROUP BY {KEYS}),
+peers AS (SELECT service, {two.format('avg(mean)')} AS middle, {two.format('stddev_samp(mean)')} AS spread FROM stats GROUP BY service)
+SELECT service, pod || '-' || node AS pod FROM stats JOIN peers USING (service) WHERE abs({two.format('mean')} - middle) > spread""",
+        "review_tree": f"WITH {LOGS} SELECT region, log_group, log_stream, count(*) AS n_events FROM logs GROUP BY ALL",
+        "resumed_inference": f"""WITH {SAMPLES}, {window(WEEK)}, {service_texts(10 * TINY_PART)}
+SELECT service, part, CASE WHEN contains(values_text, 'Pod: pod-1' || chr(10)) THEN 'second' ELSE 'first' END AS answer, CAST(NULL AS VARCHAR) AS error
+FROM service_texts""",
+        "csv_samples": f"WITH {in_files} SELECT * EXCLUDE (event_id) REPLACE (round(cpuusage, 6) AS cpuusage) FROM texts",
+        "file_preview": """SELECT event_type AS service,
+  CASE WHEN event_id % 11 = 0 THEN nullif(['NA', '', 'null', 'NaN', '<NA>'][event_id % 5 + 1], '') ELSE 'pod-' || (user_id % 15) END AS pod,
+  'node-' || (user_id % 3) AS node,
+  CASE WHEN event_id % 13 = 0 THEN nullif(['NA', '', 'null', 'NaN', '<NA>'][event_id % 5 + 1], '') ELSE rtrim(rtrim(strftime(ts, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') END AS "timestamp",
+  CASE WHEN event_id % 7 = 0 THEN nullif(['NA', '', 'null', 'NaN', '<NA>'][event_id % 5 + 1], '') ELSE CAST(value AS VARCHAR) END AS cpuusage
+FROM events ORDER BY event_id LIMIT 5""",
+        "values_text_by_row": f"""WITH {in_files},
+blocks AS (SELECT service, pod, node, 'Pod: ' || pod || chr(10) || 'Node: ' || node || chr(10) || 'Data:' || chr(10)
+  || string_agg(seq || '    ' || coalesce(CAST(cpuusage AS VARCHAR), 'NaN'), chr(10) ORDER BY "timestamp", seq) || chr(10) || chr(10) AS block
+  FROM texts WHERE pod IS NOT NULL AND "timestamp" IS NOT NULL GROUP BY service, pod, node)
+SELECT service, CAST(0 AS BIGINT) AS part, 'Raw Data:' || chr(10) || string_agg(block, '' ORDER BY pod, node) AS values_text FROM blocks GROUP BY service""",
+        "refused_rows": f"""WITH {in_files} SELECT service, pod, node,
+  CASE WHEN {late} THEN 'yesterday' WHEN event_id % 13 <> 0 THEN rtrim(rtrim(strftime("timestamp", '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') END AS time_text,
+  CASE WHEN {much} THEN 'much' ELSE CAST(cpuusage AS VARCHAR) END AS value_text, seq,
+  CASE WHEN {late} THEN 'timestamp' ELSE 'cpuusage' END AS reason FROM texts WHERE {late} OR {much}""",
+        "accepted_rows": f"WITH {in_files} SELECT * EXCLUDE (event_id) REPLACE (round(cpuusage, 6) AS cpuusage) FROM texts WHERE NOT ({late} OR {much})",
+        "noticed_files": """WITH kinds AS (SELECT DISTINCT event_type AS kind FROM events UNION SELECT 'empty')
+SELECT kind, CAST(CASE kind WHEN 'empty' THEN 500 ELSE 200 END AS INTEGER) AS "statusCode",
+  CASE WHEN row_number() OVER (ORDER BY kind) = 2 THEN 2 ELSE 1 END::BIGINT AS n_runs FROM kinds""",
+    }
+    found["stored_log_events"] = found["log_stream_events"]
     for suffix, hours in (("", 8), ("_168h", WEEK)):
         windowed = f"WITH {SAMPLES}, {window(hours)}"
         found |= {

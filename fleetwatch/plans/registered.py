@@ -14,6 +14,7 @@ from fleetwatch.operators import charts, series, texts
 from fleetwatch.operators.detector import Detector
 from fleetwatch.operators.inference import infer
 from fleetwatch.operators.requests import image_requests, log_requests, prompts, text_requests
+from fleetwatch.plans.registered_files import file_queries
 from fleetwatch.plans.upload import analyse_upload
 from fleetwatch.session import materialise
 from fleetwatch.sinks.tables import results_json
@@ -230,6 +231,7 @@ def all_queries() -> dict[str, Query]:
             f"chart_ticks{suffix}": on_samples(lambda s, h=hours: charts.chart_ticks(series.service_window(s, h))),
             f"chart_meta{suffix}": on_samples(lambda s, h=hours: charts.chart_meta(series.service_window(s, h), h)),
         }
+    found |= file_queries()
     # detector rules, on the windowed and on all rows
     for suffix, scope in (("", "window"), ("_full", "full")):
         found[f"despiked{suffix}"] = on_samples(lambda s, c=scope: _smoothed(s, c))

@@ -106,21 +106,22 @@ def own_scratch(spark: SparkSession):
         yield
     finally:
         spark.conf.set(_RUN_SETTING, before)
-        path, files = _on_storage(spark, f"{scratch_root(spark)}/{run}")
+        path, files = storage_path(spark, f"{scratch_root(spark)}/{run}")
         files.delete(path, True)
 
 
 def drop_scratch(spark: SparkSession) -> None:
     """Delete what this application wrote to the scratch folder, once no result needs it."""
-    path, files = _on_storage(spark, scratch_root(spark))
+    path, files = storage_path(spark, scratch_root(spark))
     files.delete(path, True)
 
 
-def _on_storage(spark: SparkSession, folder: str):
+def storage_path(spark: SparkSession, folder: str):
+    """A path and the file system it lies in."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def _folder_bytes(spark: SparkSession, folder: str) -> int:
-    path, files = _on_storage(spark, folder)
+    path, files = storage_path(spark, folder)
     return files.getContentSummary(path).getLength()

@@ -24,6 +24,9 @@ from fleetwatch.fixed_values import (
     UNREADABLE_FILE,
     UPLOAD_FIELDS,
 )
+from fleetwatch.operators.ordering import running_totals
+from fleetwatch.operators.skew import derived, find_hot, join_table
+from fleetwatch.session import Table, materialise, materialise_kinds
 
 SEQ = "seq"  # tie-breaker between samples of one pod at one time
 _CORRUPT = "__corrupt"
@@ -55,13 +58,16 @@ def read_csv(
     pattern: str | None = None,
     multi_line: bool = False,
     source: str | None = None,
+    row_number: str | None = None,
+    too_long: str | None = None,
 ) -> DataFrame:
     """Read headed CSV files as text columns, by name.
 
     ``path`` may be any URI Spark can open. All files of one call must have the same
     header; a different one is an error, not a silent swap of columns. Rows that are too
-    short are filled with nulls, rows that are too long are an error. ``source`` names a
-    column for the path of each row's file.
+    short are filled with nulls, rows that are too long are an error, or, where ``too_long``
+    names a column, marked in it. ``source`` names a column for the path of each row's file,
+    ``row_number`` one for the number of the row, from 0, over all files in order of their paths.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line)
     if pattern:
@@ -84,14 +90,52 @@ def read_csv(
     )
     if source:
         rows = rows.select("*", F.col("_metadata.file_path").alias(source))
+    if row_number:
+        rows = _with_places(rows)
     wider = ", ".join(f"`{n}` STRING" for n in [*names, "__extra"])
-    too_long = F.from_csv(F.col(_CORRUPT), wider)["__extra"].isNotNull()
+    is_long = F.col(_CORRUPT).isNotNull() & F.from_csv(F.col(_CORRUPT), wider)["__extra"].isNotNull()
     # always true, but reads a column: Spark refuses scans of nothing but the corrupt record
     true = F.length(F.coalesce(F.col(f"`{names[0]}`"), F.lit(""))) >= 0
-    fine = F.when(F.col(_CORRUPT).isNull() | ~too_long, true).otherwise(
-        F.raise_error(F.concat(F.lit(f"{UNREADABLE_FILE}: "), F.col(_CORRUPT))).cast("boolean")
+    if too_long:
+        rows = rows.filter(true).withColumn(too_long, is_long)
+    else:
+        rows = rows.filter(F.when(~is_long, true).otherwise(
+            F.raise_error(F.concat(F.lit(f"{UNREADABLE_FILE}: "), F.col(_CORRUPT))).cast("boolean")
+        ))
+    rows = rows.drop(_CORRUPT)
+    return _numbered(rows, row_number) if row_number else rows
+
+
+_PLACE = ("__file", "__block", "__at")
+
+
+def _with_places(rows: DataFrame) -> DataFrame:
+    """Which file and block a row was read from, and a number that rises in each block as its rows do."""
+    return rows.select(
+        "*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"),
+        F.monotonically_increasing_id().alias("__at"),
     )
-    return rows.filter(fine).drop(_CORRUPT)
+
+
+def _numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Number rows in the order of their files, without sorting them: counts of blocks give where each block begins.
+
+    The files are read once more for the counts. Blocks are read alike both times, as they follow from the list of files.
+    """
+    ends = materialise(rows.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first")))
+    blocks = ends.df.withColumn("__all", F.lit(0))
+    totals = {"__upto": F.col("__n")}
+    placed = running_totals(blocks, ["__all"], ["__file", "__block"], totals, find_hot(blocks, ["__all"], at_most=ends.rows))
+    starts = placed.select("__file", "__block", (F.col("__upto") - F.col("__n") - F.col("__first")).alias("__shift"))
+    both = join_table(rows, derived(starts, ends), ["__file", "__block"])
+    return both.withColumn(name, F.col("__at") + F.col("__shift")).drop(*_PLACE, "__shift")
+
+
+def file_preview(spark: SparkSession, path: str | Sequence[str], rows: int = PREVIEW_ROWS, **options) -> DataFrame:
+    """The first rows of a file as they stand in it; of several files, in order of their paths. Reads the files once."""
+    read = _with_places(read_csv(spark, path, **options))
+    # a file that has a second block holds more rows in its first than a preview shows
+    return read.filter("__block = 0").orderBy("__file", "__at").limit(rows).drop(*_PLACE)
 
 
 def required_columns(metric_col: str = METRIC_COLUMN) -> list[str]:
@@ -118,20 +162,21 @@ def clean_metric(col: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-def time_of(col: Column, rewrites: Sequence[tuple[str, str]] = TIME_REWRITES) -> Column:
+def time_of(col: Column, rewrites: Sequence[tuple[str, str]] = TIME_REWRITES, failing: bool = True) -> Column:
     """A time from text. Text with an offset is an instant and becomes its time in UTC; other text is taken as it stands.
 
     ``rewrites`` (pattern, replacement) bring other spellings to year-month-day. Text that then
-    is no time fails the job.
+    is no time fails the job, or is null where it is not ``failing``.
     """
+    cast = Column.cast if failing else Column.try_cast
     text = F.trim(col)
     other = text
     for pattern, replacement in rewrites:
         other = F.regexp_replace(other, pattern, replacement)
     text = F.when(text.rlike(r"^\d{4}-"), text).otherwise(other)
-    shown = text.cast("timestamp").cast("timestamp_ntz")
+    shown = cast(text, "timestamp").cast("timestamp_ntz")
     instant = F.convert_timezone(F.current_timezone(), F.lit("UTC"), shown)
-    return F.when(text.rlike(_OFFSET), instant).otherwise(text.cast("timestamp_ntz"))
+    return F.when(text.rlike(_OFFSET), instant).otherwise(cast(text, "timestamp_ntz"))
 
 
 def typed_samples(df: DataFrame, metric_col: str = METRIC_COLUMN, keep: Sequence[str] = ()) -> DataFrame:
@@ -153,8 +198,39 @@ def typed_samples(df: DataFrame, metric_col: str = METRIC_COLUMN, keep: Sequence
     )
 
 
-def read_samples(spark: SparkSession, path: str | Sequence[str], metric_col: str = METRIC_COLUMN, **options) -> DataFrame:
-    return typed_samples(read_csv(spark, path, **options), metric_col)
+def read_samples(
+    spark: SparkSession, path: str | Sequence[str], metric_col: str = METRIC_COLUMN, row_numbers: bool = False, **options
+) -> DataFrame:
+    """Typed samples of files. With ``row_numbers`` their sequence number is the row's place in the files, which ties are broken by."""
+    return typed_samples(read_csv(spark, path, row_number=SEQ if row_numbers else None, **options), metric_col)
+
+
+def checked_samples(table: DataFrame, metric_col: str = METRIC_COLUMN, keep: Sequence[str] = (), too_long: str | None = None) -> tuple[Table, Table]:
+    """Typed samples of the rows that can be read, and the other rows as they came, each with its ``reason``.
+
+    Both are written in one pass over the table. ``too_long`` names the mark of rows with too many fields.
+    """
+    check_columns(table, required_columns(metric_col))
+    plain = without_tokens(table, [c for c in required_columns(metric_col)])
+    text, number = F.col(TIME_COLUMN), F.col(metric_col)
+    time = time_of(text, failing=False)
+    value = number.try_cast("double")
+    reason = F.when(F.col(too_long), "too many fields") if too_long else F.when(F.lit(False), "")
+    reason = reason.when(text.isNotNull() & time.isNull(), TIME_COLUMN).when(number.isNotNull() & value.isNull(), metric_col)
+    seq = F.col(SEQ).cast("bigint") if SEQ in table.columns else F.xxhash64(*sorted(table.columns))
+    judged = plain.select("*", time.alias("__time"), clean_metric(value).alias("__value"), reason.alias("reason"), seq.alias("__seq"))
+    good = judged.filter("reason IS NULL").select(
+        *keep, *KEY_COLUMNS, F.col("__time").alias(TIME_COLUMN), F.col("__value").alias(METRIC_COLUMN), F.col("__seq").alias(SEQ)
+    )
+    refused = judged.filter("reason IS NOT NULL").select(*keep, *required_columns(metric_col), F.col("__seq").alias(SEQ), "reason")
+    made = materialise_kinds({"good": good, "refused": refused.withColumnRenamed(TIME_COLUMN, "time_text").withColumnRenamed(metric_col, "value_text")})
+    return made["good"], made["refused"]
+
+
+def read_checked(spark: SparkSession, path: str | Sequence[str], metric_col: str = METRIC_COLUMN, **options) -> tuple[Table, Table]:
+    """Samples of files, and the rows of them that cannot be read: file, row number and reason."""
+    table = read_csv(spark, path, source="source_file", row_number=SEQ, too_long="__long", **options)
+    return checked_samples(table, metric_col, ("source_file",), "__long")
 
 
 def out_of_range(samples: DataFrame, low: float = METRIC_LOW, high: float = METRIC_HIGH) -> DataFrame:

@@ -57,13 +57,16 @@ def watch(
     def each(batch: DataFrame, batch_id: int) -> None:
         names = {row.path: row[SOURCE] for row in batch.collect()}  # at most files_per_batch names
         with own_scratch(batch.sparkSession):  # all results are written when it ends
-            _run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options)
+            run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options)
 
     writer = arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def _run_batch(spark: SparkSession, names: Mapping[str, str], target: str, metric_col: str, options: dict) -> None:
+def run_batch(
+    spark: SparkSession, names: Mapping[str, str], target: str, metric_col: str, options: dict, more: Sequence[DataFrame] = ()
+) -> None:
+    """Analyse files (path, and path as Spark shows it), each on its own, and write results, charts and status. ``more`` are further status rows."""
     headers, errors = {}, {}
     for path in sorted(names):
         try:
@@ -89,25 +92,25 @@ def _run_batch(spark: SparkSession, names: Mapping[str, str], target: str, metri
                 if not is_content_fault(error):
                     raise
                 errors[path] = error
-    parts = [failed_status(spark, e).withColumn(SOURCE, F.lit(names[p])) for p, e in errors.items()]
+    parts = [*more, *(failed_status(spark, e).withColumn(SOURCE, F.lit(names[p])) for p, e in errors.items())]
     for files, report in reports:
         listed = spark.createDataFrame([(names[p],) for p in files], f"{SOURCE} string")
         parts.append(status_per_group(listed, report.anomalies.df, [SOURCE]))
     if reports:
         _write_all([r.anomalies.df for _, r in reports], target.format("anomalies"))
         charts = [r.anomalous_series for _, r in reports]
-        write_charts(_union(charts), target.format("charts"), BY)
+        write_charts(union_all(charts), target.format("charts"), BY)
     if parts:
-        write_json(_union(parts), target.format("status"))
+        write_json(union_all(parts), target.format("status"))
 
 
 def _analyse_files(spark: SparkSession, groups: Sequence[Sequence[str]], metric_col: str, options: dict) -> Report:
     """Files with the same header are read together; every step keeps them apart by their name."""
     tables = [typed_samples(read_csv(spark, files, source=SOURCE), metric_col, keep=(SOURCE,)) for files in groups]
-    return analyse(_union(tables), by=BY, **options)
+    return analyse(union_all(tables), by=BY, **options)
 
 
-def _union(frames: Sequence[DataFrame]) -> DataFrame:
+def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -115,4 +118,4 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def _write_all(frames: Sequence[DataFrame], folder: str) -> None:
-    _union(frames).write.mode("overwrite").parquet(folder)
+    union_all(frames).write.mode("overwrite").parquet(folder)
