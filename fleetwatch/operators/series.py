@@ -23,6 +23,10 @@ MEMBER = ("pod", "node")
 ORDER = ("timestamp", "seq")
 VALUE = "cpuusage"
 
+# Columns of samples that come from a store in folders.
+SAMPLE_DAY, SERVICE_RANGE = STORE_KEYS = ("sample_day", "service_range")
+_RANGES = 16  # folders a day; stores on disk rely on it
+
 
 def series_keys(by: Sequence[str] = BY) -> list[str]:
     return [*by, *MEMBER]
@@ -106,8 +110,11 @@ def window_cut(samples: DataFrame, bounds: Table, by: Sequence[str] = BY) -> Dat
     """Samples inside the window of their service, both ends included.
 
     The ends of all windows together are known before: as fixed times they reach the scan,
-    which can leave out files and row groups beyond them.
+    which can leave out files and row groups beyond them. Of samples from a store in folders
+    each service's own days are read, wherever its window lies.
     """
+    if set(STORE_KEYS) <= set(samples.columns):
+        return _stored_cut(samples, bounds, by)
     inside = F.col("timestamp").between(F.col("window_start"), F.col("window_end"))
     first, last = bounds.df.agg(F.min("window_start"), F.max("window_end")).first()
     if first is not None:
@@ -115,6 +122,22 @@ def window_cut(samples: DataFrame, bounds: Table, by: Sequence[str] = BY) -> Dat
     return join_table(keyed(samples, by), bounds, by).filter(inside).drop("window_start", "window_end")
 
 
+def service_range_of(service: str) -> Column:
+    return F.pmod(F.xxhash64(service), F.lit(_RANGES)).cast("int")
+
+
+def _stored_cut(samples: DataFrame, bounds: Table, by: Sequence[str]) -> DataFrame:
+    """Samples of a store inside the windows: the join with the days of each window prunes the folders while the job runs."""
+    spark_day = F.explode(F.sequence(F.to_date("window_start"), F.to_date("window_end"), F.expr("INTERVAL 1 DAY")))
+    days = materialise(bounds.df.select("*", spark_day.alias(SAMPLE_DAY), service_range_of("service").alias(SERVICE_RANGE)))
+    first, last = days.df.agg(F.min(SAMPLE_DAY), F.max(SAMPLE_DAY)).first()
+    between = F.col(SAMPLE_DAY).between(F.lit(first), F.lit(last))
+    windows = Table(days.df.filter(between), days.rows, days.bytes)
+    inside = F.col("timestamp").between(F.col("window_start"), F.col("window_end"))
+    found = join_table(keyed(samples, by).filter(between), windows, [*by, *STORE_KEYS])
+    return found.filter(inside).drop("window_start", "window_end", *STORE_KEYS)
+
+
 def downsampled(
     samples: DataFrame, every: int = KEEP_EVERY, by: Sequence[str] = BY, hot: HotGroups | None = None
 ) -> DataFrame:

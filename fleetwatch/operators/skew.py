@@ -20,6 +20,8 @@ from fleetwatch.session import Table, materialise
 
 HOT_ROWS_SETTING = "spark.fleetwatch.hotRows"
 HOT_ROWS = 5_000_000
+HOT_BYTES_SETTING = "spark.fleetwatch.hotBytes"
+HOT_BYTES = 1024 * 1024 * 1024
 
 # A table within both bounds may be sent to every executor.
 BROADCAST_ROWS = 500_000
@@ -50,13 +52,17 @@ def hot_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
 
 
-def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None, at_most: int | None = None) -> HotGroups:
-    """Groups with more than ``limit`` rows.
+def find_hot(
+    df: DataFrame, keys: Sequence[str], limit: int | None = None, at_most: int | None = None, weight: str | None = None
+) -> HotGroups:
+    """Groups with more than ``limit`` rows, or, where ``weight`` names a column of bytes, with more of them than one task should hold.
 
     Counts with map-side aggregation on the key columns only, and not at all where the
     table is known to have ``at_most`` so few rows that none can be hot.
     """
     limit = limit or hot_rows(df.sparkSession)
+    if weight is not None:
+        return _heavy_groups(df, keys, limit, weight)
     if at_most is not None and at_most <= limit:
         return HotGroups(tuple(keys), limit, most=at_most)
     hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > limit).select(*keys)
@@ -65,6 +71,17 @@ def find_hot(df: DataFrame, keys: Sequence[str], limit: int | None = None, at_mo
     return HotGroups(tuple(keys), limit, materialise(hot))
 
 
+def _heavy_groups(df: DataFrame, keys: Sequence[str], limit: int, weight: str) -> HotGroups:
+    """Slices of heavy groups hold as many rows as fit the bytes, by the biggest row of them all."""
+    most = int(df.sparkSession.conf.get(HOT_BYTES_SETTING, str(HOT_BYTES)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.sum(weight).alias("__bytes"), F.max(weight).alias("__most"))
+    heavy = materialise(sizes.filter((F.col("__n") > limit) | (F.col("__bytes") > most)), largest="__most")
+    if not heavy.rows:
+        return HotGroups(tuple(keys), limit)
+    limit = max(1, min(limit, most // max(1, heavy.largest or 1)))
+    return HotGroups(tuple(keys), limit, Table(heavy.df.select(*keys), heavy.rows, heavy.bytes))
+
+
 def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary groups, and rows of hot groups (None where there are none)."""
     if hot.table is None:

@@ -43,7 +43,7 @@ def pods_per_service(samples: DataFrame, by: Sequence[str] = BY, part_pods: int
 
 
 def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int, row_numbers: bool) -> DataFrame:
-    """Values text per pod, and per ``part_values`` values where a pod has more. Pods without rows have one block.
+    """Values text per pod, and per ``part_values`` values where a pod has more; none of pods without rows.
 
     Values are numbered from 0 in each pod, or by the place of their row in the files.
     """
@@ -55,17 +55,11 @@ def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int, row_numbers:
         (F.col("seq") if row_numbers else F.col("pos") - 1).cast("string"), F.lit("    "),
         F.coalesce(F.col(VALUE).cast("string"), F.lit("NaN")),
     )
-    texts = (
+    return (
         placed.select(*keys, "pos", chunk.alias("chunk"), line.alias("line"))
         .groupBy(*keys, "chunk")
         .agg(F.count(F.lit(1)).alias("n"), _joined("line", ["pos"]).alias("lines"))
     )
-    return (
-        rows.series.df.select(*keys).join(texts, keys, "left")
-        .withColumn("chunk", F.coalesce("chunk", F.lit(0)))
-        .withColumn("n", F.coalesce("n", F.lit(1)))
-        .withColumn("lines", F.coalesce("lines", F.lit(NO_VALUES)))
-    )
 
 
 class ServiceTexts:
@@ -74,7 +68,11 @@ class ServiceTexts:
     def __init__(self, rows: Scoped, by: Sequence[str] = BY, part_values: int = PART_VALUES, row_numbers: bool = False):
         made = materialise_kinds({"blocks": _pod_blocks(rows, by, part_values, row_numbers), "stats": window_stats(rows, by)})
         self.by, self.part_values = tuple(by), part_values
-        self.blocks, self.stats = made["blocks"], made["stats"]
+        self.stats = made["stats"]
+        # pods without rows have one block; series with very many blocks stay where they are
+        one = [F.lit(0).cast("bigint").alias("chunk"), F.lit(1).cast("bigint").alias("n"), F.lit(NO_VALUES).alias("lines")]
+        without = self.stats.df.filter("n_rows = 0").select(*series_keys(by), *one)
+        self.blocks = Table(made["blocks"].df.unionByName(without), made["blocks"].rows + self.stats.rows, made["blocks"].bytes + self.stats.bytes)
 
     def pods(self) -> DataFrame:
         return self.stats.df.select(*series_keys(self.by))
@@ -131,9 +129,8 @@ def log_text(logs: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
     lines = logs.select(
         *STREAM_KEYS, "event_time", "seq", F.concat(F.coalesce("message", F.lit("")), F.lit("\n")).alias("line")
     ).withColumn("size", F.octet_length("line").cast("bigint"))
-    sized = running_totals(
-        lines, STREAM_KEYS, ["event_time", "seq"], {"upto": F.col("size")}, find_hot(lines, STREAM_KEYS)
-    )
+    hot = find_hot(lines, STREAM_KEYS, weight="size")
+    sized = running_totals(lines, STREAM_KEYS, ["event_time", "seq"], {"upto": F.col("size")}, hot)
     part = F.floor((F.col("upto") - F.col("size")) / part_bytes).cast("bigint")
     return sized.withColumn("part", part).groupBy(*STREAM_KEYS, "part").agg(
         F.count(F.lit(1)).alias("n_events"),

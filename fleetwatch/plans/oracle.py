@@ -328,6 +328,7 @@ verdicts AS (SELECT {KEYS}, count(*) AS n_rules, string_agg(rule, ',' ORDER BY r
 stats AS (SELECT {KEYS}, {stats} FROM samples GROUP BY {KEYS})
 SELECT {KEYS}, mean, max, min, std, coalesce(n_rules, 0) AS n_rules, rules FROM stats LEFT JOIN verdicts USING ({KEYS})""",
         "upload_analysis": f"{upload} SELECT service, metric, pod, node, rule, path, round(score, 6) AS score FROM findings",
+        "upload_chart_data": f"""{upload} SELECT service, metric, pod || '-' || node AS label, "timestamp", round(cpuusage, 6) AS value FROM down""",
         "results_json": f"""{upload}, said AS (SELECT service, metric, pod || '-' || node || ': ' || rule AS analysis FROM findings),
 groups AS (SELECT DISTINCT service, metric FROM samples)
 SELECT '{{"group":"' || service || ' / ' || metric || '","analysis":"' || coalesce(analysis, '{NO_ANOMALY}') || '"}}' AS result
@@ -371,6 +372,7 @@ SELECT service, CAST(0 AS BIGINT) AS part, 'Raw Data:' || chr(10) || string_agg(
 SELECT kind, CAST(CASE kind WHEN 'empty' THEN 500 ELSE 200 END AS INTEGER) AS "statusCode",
   CASE WHEN row_number() OVER (ORDER BY kind) = 2 THEN 2 ELSE 1 END::BIGINT AS n_runs FROM kinds""",
     }
+    found["stored_window_cut"] = f"WITH {SAMPLES}, {window(WEEK)} SELECT * REPLACE (round(cpuusage, 6) AS cpuusage) FROM cut"
     found["stored_log_events"] = found["log_stream_events"]
     for suffix, hours in (("", 8), ("_168h", WEEK)):
         windowed = f"WITH {SAMPLES}, {window(hours)}"

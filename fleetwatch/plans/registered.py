@@ -14,9 +14,9 @@ from fleetwatch.operators import charts, series, texts
 from fleetwatch.operators.detector import Detector
 from fleetwatch.operators.inference import infer
 from fleetwatch.operators.requests import image_requests, log_requests, prompts, text_requests
+from fleetwatch.plans.batch import analyse
 from fleetwatch.plans.registered_files import file_queries
 from fleetwatch.plans.upload import analyse_upload
-from fleetwatch.session import materialise
 from fleetwatch.sinks.tables import results_json
 from fleetwatch.sources import logs as log_source
 from fleetwatch.sources import samples as smp
@@ -91,8 +91,8 @@ def _texts(samples: DataFrame, part_values: int = texts.PART_VALUES) -> DataFram
 
 
 def _anomalous_series(samples: DataFrame) -> DataFrame:
-    services = materialise(_found(samples).select("service").distinct())
-    return charts.anomalous_series(charts.chart_series(_rows(samples, WEEK)), services)
+    """As reports do it: only the samples of abnormal services are cut and placed."""
+    return analyse(samples, hours=WEEK).anomalous_series
 
 
 def _joined_pods(samples: DataFrame, part_pods: int = texts.PART_PODS) -> DataFrame:
@@ -200,7 +200,7 @@ def all_queries() -> dict[str, Query]:
         "answers_flagged": on_events(tab.event_answers, _parsed),
         "answer_anomalies": on_events(tab.event_answers, lambda a: ans.anomalies(ans.named_pods(a))),
         "known_answer_anomalies": lambda spark, folder: ans.anomalies(
-            ans.only_known(ans.named_pods(tab.event_answers(_events(spark, folder))), _samples(spark, folder))
+            ans.only_known(ans.named_pods(tab.event_answers(_events(spark, folder))), series.profile(_samples(spark, folder)).df)
         ),
         # detector
         "anomalies": on_samples(_found),
@@ -216,6 +216,7 @@ def all_queries() -> dict[str, Query]:
         "anomalous_series": on_samples(_anomalous_series),
         "flagged_pods": on_samples(_flagship),
         "upload_analysis": on_events(tab.event_upload, lambda u: analyse_upload(u, hours=WEEK).findings),
+        "upload_chart_data": on_events(tab.event_upload, lambda u: analyse_upload(u, hours=WEEK).visualization_data),
         "results_json": on_events(
             tab.event_upload, lambda u: results_json(analyse_upload(u, hours=WEEK).analysis_results)
         ),

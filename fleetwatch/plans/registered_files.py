@@ -23,6 +23,7 @@ from fleetwatch.session import scratch_root, storage_path
 from fleetwatch.sources import logs as log_source
 from fleetwatch.sources import samples as smp
 from fleetwatch.sources import tables as tab
+from fleetwatch.sources.sample_store import read_sample_store, write_sample_store
 from fleetwatch.streaming.notices import watch_notices
 
 WEEK = 168
@@ -154,6 +155,15 @@ def _stored_logs(spark: SparkSession, folder: str) -> DataFrame:
     return log_source.stored_stream_events(spark, store)
 
 
+def _stored_cut(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples cut to a week out of a store by day and service range."""
+    store = _new_folder(spark)
+    write_sample_store(tab.event_samples(_events(spark, folder)), store)
+    samples = read_sample_store(spark, store)
+    found = series.window_cut(samples, series.window_bounds(series.profile(samples), WEEK))
+    return found.withColumn("cpuusage", F.round("cpuusage", 6))
+
+
 def _noticed_files(spark: SparkSession, folder: str) -> DataFrame:
     """A file for each event type and one without content, announced; then one again as it is, and one in a new version."""
     home = _new_folder(spark)
@@ -194,5 +204,6 @@ def file_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "refused_rows": _refused_rows,
         "accepted_rows": _accepted_rows,
         "stored_log_events": _stored_logs,
+        "stored_window_cut": _stored_cut,
         "noticed_files": _noticed_files,
     }

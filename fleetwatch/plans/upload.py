@@ -12,6 +12,7 @@ from fleetwatch.fixed_values import NO_ANOMALY, WINDOW_HOURS
 from fleetwatch.operators.charts import chart_series, series_label
 from fleetwatch.operators.detector import Detector, Thresholds
 from fleetwatch.operators.series import scoped
+from fleetwatch.sinks.tables import write_charts, write_json
 from fleetwatch.sources.samples import FIELD_ALIASES, upload_samples
 
 GROUP = ("service", "metric")
@@ -23,6 +24,11 @@ class UploadResult:
     findings: DataFrame
     analysis_results: DataFrame
 
+    def write(self, folder: str) -> None:
+        """Chart rows in a folder for each service and metric, results as JSON lines."""
+        write_charts(self.visualization_data, f"{folder}/visualization_data", GROUP)
+        write_json(self.analysis_results, f"{folder}/analysis_results")
+
 
 def analyse_upload(
     table: DataFrame,

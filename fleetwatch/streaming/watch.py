@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,8 +13,9 @@ from pyspark.sql.streaming import StreamingQuery
 from fleetwatch.fixed_values import METRIC_COLUMN
 from fleetwatch.operators.answers import failed_status, status_per_group
 from fleetwatch.plans.batch import Report, analyse
-from fleetwatch.session import own_scratch
+from fleetwatch.session import own_scratch, storage_path
 from fleetwatch.sinks.tables import write_charts, write_json
+from fleetwatch.sources.images import read_images
 from fleetwatch.sources.samples import check_columns, read_csv, required_columns, typed_samples
 
 SOURCE = "source_file"
@@ -41,10 +44,14 @@ def watch(
     files_per_batch: int = 64,
     metric_col: str = METRIC_COLUMN,
     available_now: bool = True,
+    image_folder: str | None = None,
     **options,
 ) -> StreamingQuery:
     """Start a query that analyses every new file of ``folder`` once, each file on its own.
 
+    Where a model is asked (``make_model`` or ``ask``), it also sees the pictures that ``image_folder`` has for a file:
+    ``<file name without ending>/cpu_usage_<service>.jpg``. They have to be there before the file.
+
     Results of a batch go to folders of that batch, which a repeated batch replaces.
     """
     options.setdefault("scope", "full")
@@ -57,14 +64,15 @@ def watch(
     def each(batch: DataFrame, batch_id: int) -> None:
         names = {row.path: row[SOURCE] for row in batch.collect()}  # at most files_per_batch names
         with own_scratch(batch.sparkSession):  # all results are written when it ends
-            run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options)
+            run_batch(batch.sparkSession, names, f"{out}/{{}}/batch={batch_id}", metric_col, options, image_folder=image_folder)
 
     writer = arrivals.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def run_batch(
-    spark: SparkSession, names: Mapping[str, str], target: str, metric_col: str, options: dict, more: Sequence[DataFrame] = ()
+    spark: SparkSession, names: Mapping[str, str], target: str, metric_col: str, options: dict, more: Sequence[DataFrame] = (),
+    image_folder: str | None = None,
 ) -> None:
     """Analyse files (path, and path as Spark shows it), each on its own, and write results, charts and status. ``more`` are further status rows."""
     headers, errors = {}, {}
@@ -81,13 +89,13 @@ def run_batch(
     reports: list[tuple[Sequence[str], Report]] = []
     try:
         if good:
-            reports.append((good, _analyse_files(spark, list(headers.values()), metric_col, options)))
+            reports.append((good, _analyse_files(spark, list(headers.values()), metric_col, options | _pictures(spark, image_folder, good, names))))
     except Exception as joint:  # one file spoils the joint run: find out which
         if not is_content_fault(joint):
             raise  # the checkpoint stays where it is, and the batch is run again
         for path in good:
             try:
-                reports.append(([path], _analyse_files(spark, [[path]], metric_col, options)))
+                reports.append(([path], _analyse_files(spark, [[path]], metric_col, options | _pictures(spark, image_folder, [path], names))))
             except Exception as error:
                 if not is_content_fault(error):
                     raise
@@ -104,6 +112,21 @@ def run_batch(
         write_json(union_all(parts), target.format("status"))
 
 
+def _pictures(spark: SparkSession, image_folder: str | None, paths: Sequence[str], names: Mapping[str, str]) -> dict[str, DataFrame]:
+    """The pictures of some files of a batch, each with the file it belongs to."""
+    if image_folder is None:
+        return {}
+    homes = []
+    for path in paths:
+        place, files = storage_path(spark, f"{image_folder}/{unquote(path).rsplit('/', 1)[1].rsplit('.', 1)[0]}")
+        if files.exists(place):
+            homes.append((files.getFileStatus(place).getPath().toString(), names[path]))
+    if not homes:
+        return {}
+    pictures = reduce(DataFrame.unionByName, [read_images(spark, home).withColumn(SOURCE, F.lit(name)) for home, name in homes])
+    return {"images": pictures}
+
+
 def _analyse_files(spark: SparkSession, groups: Sequence[Sequence[str]], metric_col: str, options: dict) -> Report:
     """Files with the same header are read together; every step keeps them apart by their name."""
     tables = [typed_samples(read_csv(spark, files, source=SOURCE), metric_col, keep=(SOURCE,)) for files in groups]
