@@ -4,8 +4,9 @@ The model file is a protobuf message; a small reader takes its pieces, scores an
 them a tokenizer is rebuilt: the normaliser (character map if there is one, extra spaces,
 dummy prefix), the metaspace marker for spaces, unigram scores or, for a BPE model, merges in
 the order of the scores, and byte fallback. No piece has a marker behind another character, so
-a text falls into segments (markers, then other characters) that never merge; each segment is
-encoded once in a task, in multithreaded batches, and checked against the sentencepiece library.
+a text falls into segments (markers, then other characters) that never merge. A worker encodes
+segments in multithreaded batches, checks them against the sentencepiece library and remembers those that are
+in use. A model with a piece that joins words is refused. Decoding spells out ids from a table of pieces.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -25,7 +27,7 @@ from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 from fleetwatch.llm.fitting import bounded_batches
 
 MARK = "▁"
-KNOWN_SEGMENTS = 50_000  # segments remembered by a task, then forgotten together
+KNOWN_SEGMENTS = 100_000  # segments a worker remembers as new ones; as many older ones stay while they are used
 _SEGMENT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _UNIGRAM, _BPE = 1, 2
 _NORMAL, _USER = 1, 4
@@ -115,32 +117,47 @@ class Rebuilt:
     def __init__(self, data: bytes):
         self.model, self.proto = Model(data), data
         self.tokenizer = self.model.tokenizer().to_str()
+        byte = {f"<0x{i:02X}>": bytes([i]) for i in range(256)}
+        self.spelt = [byte.get(p, p.replace(MARK, " ").encode()) for p, _, _ in self.model.pieces]  # what each id stands for
         self.model.pieces = []
 
 
 class _Codec:
-    def __init__(self, rebuilt: Rebuilt, judged: bool = True):
-        self.model = rebuilt.model
+    def __init__(self, rebuilt: Rebuilt):
+        self.model, self.spelt, self.packed, self.proto = rebuilt.model, rebuilt.spelt, rebuilt.tokenizer, rebuilt.proto
         self.known: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.older: dict[str, bytes] = {}
         self.differ: set[str] = set()
-        self.tokenizer = Tokenizer.from_str(rebuilt.tokenizer)
-        if judged:
-            import sentencepiece
-
-            self.judge = sentencepiece.SentencePieceProcessor(model_proto=rebuilt.proto)
         self.prefix = self.model.dummy_prefix
 
+    @cached_property
+    def judge(self):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_proto=self.proto)
+
+    @cached_property
+    def tokenizer(self) -> Tokenizer:
+        return Tokenizer.from_str(self.packed)
+
     def learn(self, segments: list[str]) -> None:
+        """Afterwards all these segments are known. Those not used since the last turn but one are forgotten."""
         if len(self.known) > KNOWN_SEGMENTS:
-            self.known.clear()
-            self.differ.clear()
-        new = [s for s in dict.fromkeys(segments) if s not in self.known]
+            self.older, self.known = self.known, {}
+            self.differ &= self.older.keys()
+        new = []
+        for s in dict.fromkeys(segments):
+            if s not in self.known:
+                if s in self.older:
+                    self.known[s] = self.older[s]
+                else:
+                    new.append(s)
         ours = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)]
         # the judge puts the dummy prefix in front again
         shown = [s[1:] if self.prefix and s.startswith(MARK) else s for s in new]
         theirs = self.judge.encode([s.replace(MARK, " ") for s in shown], num_threads=1)
         for s, mine, other in zip(new, ours, theirs):
-            self.known[s] = np.array(mine, "<i4").tobytes()
+            self.known[s] = struct.pack(f"<{len(mine)}i", *mine)
             if mine != other and (s.startswith(MARK) or not self.prefix):
                 self.differ.add(s)
 
@@ -150,10 +167,28 @@ class _Codec:
         known = self.known
         return [b"".join([known[s] for s in segments]) for segments in cut], [self.differ.isdisjoint(segments) for segments in cut]
 
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+    def decode(self, ids: list[np.ndarray]) -> list[str]:
+        texts = [self._spelt_out(x) for x in ids]
         return [t[1:] if self.prefix and t.startswith(" ") else t for t in texts]
 
+    def _spelt_out(self, ids: np.ndarray) -> str:
+        if len(ids) and 0 <= ids.min() and ids.max() < len(self.spelt):
+            try:
+                return b"".join([self.spelt[i] for i in ids.tolist()]).decode()
+            except UnicodeDecodeError:
+                pass  # bytes that are no text: the tokenizer says what to show for them
+        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+
+
+_last: list[_Codec] = []
+
+
+def _codec(rebuilt: Rebuilt) -> _Codec:
+    """The codec of a model in this worker. It stays for later tasks: threads of the library keep some memory of every tokenizer they met."""
+    if not _last or _last[0].proto != rebuilt.proto:
+        _last[:] = [_Codec(rebuilt)]
+    return _last[0]
+
 
 def model_bytes(path: str | None = None) -> bytes:
     """The model file, read on the driver and sent along with the tasks (0.5 MB)."""
@@ -178,7 +213,7 @@ def encode(docs: DataFrame, model: bytes) -> DataFrame:
     rebuilt = Rebuilt(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(rebuilt)
+        codec = _codec(rebuilt)
         for batch in batches:
             for at in range(0, len(batch), _BATCH):
                 part = batch.slice(at, _BATCH)
@@ -199,22 +234,44 @@ def decode(encoded: DataFrame, model: bytes) -> DataFrame:
     rebuilt = Rebuilt(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(rebuilt, judged=False)
+        codec = _codec(rebuilt)
         for batch in batches:
             for at in range(0, len(batch), _BATCH):
                 part = batch.slice(at, _BATCH)
                 flat, offsets = part["ids"].flatten().to_numpy(), np.concatenate(([0], np.cumsum(part["ids"].value_lengths().to_numpy())))
-                ids = [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])]
-                texts = codec.decode([x.tolist() for x in ids])
-                yield pa.RecordBatch.from_arrays([
-                    part["doc_id"], part["parity"], pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(texts, pa.string()),
-                ], ["doc_id", "parity", "n_tokens", "ids_crc32", "text"])
+                yield _decoded(codec, part["doc_id"], part["parity"], [flat[a:b] for a, b in zip(offsets[:-1], offsets[1:])])
+
+    return encoded.mapInArrow(run, DECODED)
+
+
+DECODED = "doc_id bigint, parity boolean, n_tokens bigint, ids_crc32 bigint, text string"
+
 
-    return encoded.mapInArrow(run, "doc_id bigint, parity boolean, n_tokens bigint, ids_crc32 bigint, text string")
+def _decoded(codec: _Codec, doc_id: pa.Array, parity: pa.Array, ids: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([
+        doc_id, parity, pa.array([len(x) for x in ids], pa.int64()),
+        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array(codec.decode(ids), pa.string()),
+    ], ["doc_id", "parity", "n_tokens", "ids_crc32", "text"])
+
+
+def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
+    """``decode(encode(docs))`` in one task for each part of the table: one Python worker instead of two, and no ids between them."""
+
+    rebuilt = Rebuilt(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(rebuilt)
+        for batch in batches:
+            for at in range(0, len(batch), _BATCH):
+                part = batch.slice(at, _BATCH)
+                ids, same = codec.encode(part["text"].to_pylist())
+                yield _decoded(codec, part["doc_id"], pa.array(same, pa.bool_()), [np.frombuffer(x, "<i4") for x in ids])
+
+    bounded_batches(docs)
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return texts.mapInArrow(run, DECODED)
 
 
 def op4_sentencepiece(spark, folder: str) -> DataFrame:
-    model = model_bytes()
-    decoded = decode(encode(spark.read.parquet(f"{folder}/documents.parquet"), model), model)
+    decoded = round_trip(spark.read.parquet(f"{folder}/documents.parquet"), model_bytes())
     return decoded.select("doc_id", "n_tokens", "ids_crc32", "parity", F.sha2("text", 256).alias("decoded_sha256"))
