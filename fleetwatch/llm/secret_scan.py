@@ -9,8 +9,8 @@ an endpoint with both. Base spans count as parts too (access as identifier; assi
 secret).
 
 Parts are linked by an interval join: equal document, common or neighbouring bins of ``SCOPE`` code
-points, a gap of at most ``SCOPE`` between the end of one and the start of the other (none where they
-overlap). A part is in all bins from its start to its end. The joins are semi joins, so a document with very many
+points, a gap of at most ``SCOPE`` between the end of one and the start of the other. Parts that overlap
+are not linked: an identifier's value or the path of an address is no secret that lies beside it. A part is in all bins from its start to its end. The joins are semi joins, so a document with very many
 parts gives no pairs.
 """
 
@@ -55,9 +55,15 @@ def weak_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, i
         return []
     weak = [("weak", *m.span()) for m in WEAK.finditer(text) if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0])]
     ends = [("endpoint", *m.span()) for m in ENDPOINT.finditer(text)]
-    taken = sorted((a, b) for _, a, b in base)
+    named = _outside(ids + ends, base)
+    return named + _outside(weak, base + named)  # a name or an address is no secret of its own
+
+
+def _outside(spans: list[tuple[str, int, int]], others: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of the others."""
+    taken = sorted((a, b) for _, a, b in others)
     found, at = [], 0
-    for span in sorted(ids + weak + ends, key=lambda s: (s[1], KINDS.index(s[0]))):
+    for span in sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]))):
         while at < len(taken) and taken[at][1] <= span[1]:
             at += 1
         if at == len(taken) or taken[at][0] >= span[2]:
@@ -99,7 +105,7 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     def near(candidates: DataFrame, wanted: str) -> DataFrame:
         others = parts.filter(F.col("part") == wanted).select("key", "s", F.explode(F.sequence(low - 1, high + 1)).alias("bin"))
         mine = candidates.withColumn("bin", F.explode(F.sequence(low, high))).alias("c")
-        close = F.greatest("c.s.start", "o.s.start") - F.least("c.s.end", "o.s.end") <= scope
+        close = (F.greatest("c.s.start", "o.s.start") - F.least("c.s.end", "o.s.end")).between(0, scope)
         met = mine.join(others.alias("o"), (F.col("c.key") == F.col("o.key")) & (F.col("c.bin") == F.col("o.bin")) & close, "left_semi")
         return met.select("key", "s").distinct()
 
