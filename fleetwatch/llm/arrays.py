@@ -5,6 +5,8 @@ A batch is one buffer of UTF-8 bytes with document offsets, as Arrow holds it.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,14 +22,23 @@ _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
 
 
+_KEPT_POWERS = 1 << 20  # longer tables go when they have been used: a worker would keep them for all later stages
+
+
+def _made_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    powers, inverse = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+    powers[0] = inverse[0] = 1
+    np.multiply.accumulate(powers, out=powers)
+    np.multiply.accumulate(inverse, out=inverse)
+    return powers, inverse
+
+
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverse
+    if n >= _KEPT_POWERS:
+        return _made_tables(n + 1)
     if len(_powers) <= n:
-        size = max(n + 1, 2 * len(_powers), 1 << 16)
-        _powers, _inverse = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
-        _powers[0] = _inverse[0] = 1
-        np.multiply.accumulate(_powers, out=_powers)
-        np.multiply.accumulate(_inverse, out=_inverse)
+        _powers, _inverse = _made_tables(min(_KEPT_POWERS, max(n + 1, 2 * len(_powers), 1 << 16)))
     return _powers, _inverse
 
 
@@ -99,8 +110,15 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE)
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
+_LONG_WORD = 32  # bytes; in much longer ones polynomial sums modulo a power of two have collisions whatever the base
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mixed(byte_prefix(data).slices(starts, ends))
+    hashes = mixed(byte_prefix(data).slices(starts, ends))
+    for i in np.flatnonzero(ends - starts > _LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes(), digest_size=8).digest()
+        hashes[i] = int.from_bytes(digest, "little")
+    return hashes
 
 
 def spans_to_mask(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
