@@ -13,8 +13,9 @@ buckets that still hold several components get another star, now around the node
 share of rare shingles (that at most ``RARE`` open nodes have). What is still open then goes through
 two exact filters. Of two sets at the threshold, the rarest shingles (n - ceil(t n) + 1 of each)
 must have one in common; and if the rarest common one is not rare, no rare shingle is in the
-intersection. In a large group of loose copies, a pair that passes both is nearly always linked
-through the centre already, so the pairs left to confirm grow with the number of nodes. No bucket is capped, pairs of one component are never listed,
+intersection. A pair comes up at the rarest shingle of both only, not at each one that they share, and
+parity bitmaps of the sets (unequal bits are at most as many as unequal shingles) tell most pairs of loose
+copies apart before anything is confirmed. No bucket is capped, pairs of one component are never listed,
 and no link between components is lost: a pair at the threshold of 0.85 misses all bands with a
 chance of 8e-6, and with less above it.
 """
@@ -40,6 +41,8 @@ BANDS, ROWS = 20, 5
 PLACES = BANDS * ROWS
 RARE = 20
 STARS = 2  # rounds of stars before the exact filter
+BITS = 16  # longs of a set's parity bitmap
+SEEN = 64  # first keys of a node that tell whether a pair met before; beyond them a pair may come up again
 PLANES = ("p0", "p1", "q0", "q1")
 
 _rng = np.random.default_rng(42)
@@ -49,7 +52,8 @@ _SHIFTS = np.arange(PLACES // 2, dtype=np.uint64)
 _BLOCK = 20_000  # shingles whose minima are taken at once
 
 _SKETCH = f"doc_id bigint, n bigint, set_id bigint, {', '.join(f'{p} bigint' for p in PLANES)}, bands array<bigint>"
-_SETS = "set_id bigint, shingles binary"
+_HELD = tuple(f"h{i}" for i in range(BITS))
+_SETS = f"set_id bigint, shingles binary, {', '.join(f'{h} bigint' for h in _HELD)}"
 _LOW48 = np.uint64(16)
 
 
@@ -115,13 +119,23 @@ def _sketches(words: int):
     return run
 
 
+def _parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of ``BITS`` longs for each set: whether an odd number of its shingles falls on each bit."""
+    odd = np.zeros((len(sets), BITS * 64), bool)
+    for row, s in zip(odd, sets):
+        row[:] = np.bincount((s & np.uint64(BITS * 64 - 1)).astype(np.int64), minlength=BITS * 64) & 1
+    return np.packbits(odd, axis=1, bitorder="little").view("<i8")
+
+
 def _full_sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 128):
                 sets = shingle_sets(batch.slice(at, 128)["text"], words)
-                blobs = [pack_sorted(np.unique(s >> _LOW48)) for s in sets]  # 48 bits suffice inside one pair
-                yield pa.RecordBatch.from_arrays([pa.array(_set_ids(sets)), pa.array(blobs, pa.binary())], ["set_id", "shingles"])
+                ids = pa.array(_set_ids(sets))
+                sets = [np.unique(s >> _LOW48) for s in sets]  # 48 bits suffice inside one pair
+                blobs = pa.array([pack_sorted(s) for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids, blobs, *map(pa.array, _parities(sets).T)], ["set_id", "shingles", *_HELD])
 
     return run
 
@@ -161,8 +175,16 @@ def _possible(percent: int) -> Column:
     return ((100 + percent) * common >= percent * (F.col("a_n") + F.col("b_n"))) & (estimate("a_", "b_") >= percent / 100 - slack)
 
 
+def _few_apart(percent: int) -> Column:
+    """Whether a pair can be at the threshold by its bitmaps: unequal bits are at most as many as shingles that only one set has."""
+    unequal = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"a_{h}").bitwiseXOR(F.col(f"b_{h}"))) for h in _HELD])
+    sizes = F.col("a_n") + F.col("b_n")
+    return (100 + percent) * (sizes - unequal) >= 2 * percent * sizes
+
+
 def _side(df: DataFrame, side: str) -> DataFrame:
-    return df.select("key", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PLANES, "apart", "comp")])
+    more = [c for c in ("before", *_HELD) if c in df.columns]
+    return df.select("key", F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in ("n", *PLANES, "apart", "comp", *more)])
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -211,10 +233,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         """A row (column key) for each shingle of the part of a set that a partner must meet."""
         of_node = Window.partitionBy("node").orderBy("df", "key")  # one document's shingles
         mine = shared.join(nodes.select("node"), "node", "left_semi")
-        ranked = mine.select("node", "key", (F.col("df") <= RARE).alias("seldom"), F.row_number().over(of_node).alias("nth"))
+        ranked = mine.select("node", "key", "df", (F.col("df") <= RARE).alias("seldom"), F.row_number().over(of_node).alias("nth"))
         needed = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-        first = ranked.join(nodes, "node").filter(F.col("nth") <= needed - F.col("own"))
-        return materialise(first.withColumn("apart", F.when(F.col("seldom"), 0).otherwise(F.col("rare"))).drop("nth")).df
+        heads = F.collect_list(F.when(F.col("nth") <= SEEN, F.col("key"))).over(of_node.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        first = ranked.withColumn("heads", heads).join(nodes, "node").filter(F.col("nth") <= needed - F.col("own"))
+        before = F.slice("heads", 1, F.least(F.col("nth") - 1, F.lit(SEEN)))
+        apart = F.when(F.col("seldom"), 0).otherwise(F.col("rare"))
+        marked = first.withColumns({"apart": apart, "before": before}).drop("nth", "heads", "df")
+        return materialise(marked.join(sets.select(F.col("set_id").alias("node"), *_HELD), "node")).df
 
     links, tried, labels = [], [], None
     for turn in range(STARS + 1):
@@ -237,8 +263,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
             others = open_.groupBy("key").agg(best.alias("c")).select("key", "c.*")
         else:
             members = others = rarest(open_.drop("key", "apart").dropDuplicates(["node"]), shared)
-        differ = F.col("a_comp") != F.col("b_comp") if star else F.col("a_comp") < F.col("b_comp")
-        found = _side(members, "a").join(_side(others, "b"), "key").filter(differ & _possible(percent))
+        if star:
+            wanted = (F.col("a_comp") != F.col("b_comp")) & _possible(percent)
+        else:  # a pair comes up at the least key of both, not at each one they share
+            wanted = (F.col("a_comp") < F.col("b_comp")) & _possible(percent) & _few_apart(percent) & ~F.arrays_overlap("a_before", "b_before")
+        found = _side(members, "a").join(_side(others, "b"), "key").filter(wanted)
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "a_n", "b_n").dropDuplicates(["a", "b"])
         for old in tried:
             pairs = pairs.join(old.select("a", "b"), ["a", "b"], "left_anti")

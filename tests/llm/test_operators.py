@@ -120,6 +120,48 @@ def test_minhash(spark, docs, empty, n, percent):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def _loose(spark, n):
+    """Texts that share most words, each pair some way below the threshold, but for the last two."""
+    base, rows = prose(70, 150).split(), []
+    for k in range(n):
+        text = list(base)
+        for at in random.Random(k).sample(range(150), 6):
+            text[at] = f"own{k}at{at}"
+        rows.append((k, " ".join(text)))
+    rows.append((n, rows[-1][1] + " end"))
+    return spark.createDataFrame(rows, "doc_id bigint, text string")
+
+
+def test_loose_group_is_not_squared(spark, monkeypatch):
+    """Pairs left to confirm after the stars, and links, for a loose group of two sizes."""
+    plain, last = minhash_dedup.materialise, []
+
+    def counting(df, largest=None):
+        table = plain(df, largest)
+        if df.columns == ["a", "b", "a_n", "b_n"]:
+            last.append(table.rows)
+        return table
+
+    monkeypatch.setattr(minhash_dedup, "materialise", counting)
+    for n in (40, 120):
+        found = minhash_dedup.near_duplicates(_loose(spark, n), 5, 80).collect()
+        assert sorted(r["doc_id"] for r in found if not r["kept"]) == [n]
+        assert last[-1] <= n
+
+
+def test_bitmaps_tell_no_link_apart():
+    """Unequal bits are at most as many as unequal shingles, in small and in very large sets."""
+    draw = np.random.default_rng(3)
+    for n, changed in ((1, 1), (50, 5), (3000, 400), (100_000, 9000)):
+        one = draw.integers(0, 2**48, n, dtype=np.uint64)
+        two = np.concatenate((one[changed:], draw.integers(0, 2**48, changed, dtype=np.uint64)))
+        sets = [np.unique(one), np.unique(two), np.zeros(0, np.uint64)]
+        bits = np.bitwise_count(minhash_dedup._parities(sets)[:, None] ^ minhash_dedup._parities(sets)[None]).sum(axis=2)
+        for i in range(3):
+            for j in range(3):
+                assert bits[i, j] <= len(np.setxor1d(sets[i], sets[j]))
+
+
 def test_secrets(spark, empty):
     hexes = "0123456789abcdef" * 2
     texts = [
