@@ -36,7 +36,7 @@ from fleetwatch.session import _new_path
 
 BLOCK = 2048
 END = 2
-LANES = 4096  # blocks coded in step
+LANES = 512  # blocks coded in step: 64 KB of predictions and 4 KB of counts each
 FILE_CHARS = 16_000_000  # code points of the texts of one file, which one task writes and one reads
 _SLOTS = 1 << 13
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
