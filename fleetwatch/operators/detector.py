@@ -50,7 +50,7 @@ def _middle(values: Sequence[Column]) -> Column:
 
 
 def despiked(rows: DataFrame, by: Sequence[str], limits: Thresholds, hot: HotGroups) -> DataFrame:
-    """Add ``smooth``: the value, or the median of its surroundings where it sticks out of them; and ``since``: microseconds from the sample before."""
+    """Rows have a time and a sequence number. Add ``smooth``: the value, or the median of its surroundings where it sticks out of them; and ``since``: microseconds from the sample before."""
     reach = limits.spike_reach
 
     def smooth(part: DataFrame, around: WindowSpec) -> DataFrame:
@@ -65,7 +65,7 @@ def despiked(rows: DataFrame, by: Sequence[str], limits: Thresholds, hot: HotGro
             "__centre", "__gap", *[f"__v{i}" for i in range(2 * reach + 1)]
         )
 
-    return with_neighbours(rows, series_keys(by), ORDER, max(reach, 1), smooth, hot)
+    return with_neighbours(rows, series_keys(by), ORDER, max(reach, 1), smooth, hot, no_nulls=True)
 
 
 class Detector:
@@ -108,7 +108,7 @@ class Detector:
         """Length of the longest unbroken stretch of high values of each pod that has any. A low value or a gap in time ends a stretch."""
         is_high = F.col("smooth") >= self.limits.high_value
         near = F.coalesce("since", F.lit(0)) <= self.limits.high_gap_minutes * MICROS_PER_MINUTE
-        marks = running_totals(self.smoothed, self.keys, ORDER, {"__stretch": (~(is_high & near)).cast("bigint")}, self.hot)
+        marks = running_totals(self.smoothed, self.keys, ORDER, {"__stretch": (~(is_high & near)).cast("bigint")}, self.hot, no_nulls=True)
         stretches = (
             marks.filter(is_high)
             .groupBy(*self.keys, "__stretch")

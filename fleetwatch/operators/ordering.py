@@ -11,8 +11,9 @@ from fleetwatch.operators.skew import SLICE, HotGroups, cut_into_slices, join_ta
 from fleetwatch.session import materialise
 
 
-def ascending(order: Sequence[str]) -> list[Column]:
-    return [F.col(c).asc_nulls_last() for c in order]
+def ascending(order: Sequence[str], no_nulls: bool = False) -> list[Column]:
+    """Columns without nulls are ordered as sorted tables are, so that rows of these need no sort."""
+    return [F.col(c).asc() if no_nulls else F.col(c).asc_nulls_last() for c in order]
 
 
 def running_totals(
@@ -21,15 +22,16 @@ def running_totals(
     order: Sequence[str],
     totals: Mapping[str, Column],
     hot: HotGroups,
+    no_nulls: bool = False,
 ) -> DataFrame:
     """Add running totals of bigint expressions over each group in ``order``, current row included.
 
-    ``order`` must end in a unique column. Hot groups are cut into slices; each slice is
+    ``order`` must end in a unique column; ``no_nulls`` says that its columns hold none. Hot groups are cut into slices; each slice is
     summed on its own and starts from the total of the slices before it.
     """
     keys = list(keys)
     regular, heavy = split_hot(df, hot)
-    out = _totals_over(regular, keys, order, totals)
+    out = _totals_over(regular, keys, order, totals, no_nulls)
     if heavy is None:
         return out
     sliced = cut_into_slices(heavy, keys, order, hot.limit)
@@ -44,8 +46,10 @@ def running_totals(
     return out.unionByName(placed.select(*out.columns))
 
 
-def _totals_over(df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column]) -> DataFrame:
-    upto = Window.partitionBy(*keys).orderBy(*ascending(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def _totals_over(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], totals: Mapping[str, Column], no_nulls: bool = False
+) -> DataFrame:
+    upto = Window.partitionBy(*keys).orderBy(*ascending(order, no_nulls)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
 
 
@@ -61,6 +65,7 @@ def with_neighbours(
     reach: int,
     compute: Callable[[DataFrame, WindowSpec], DataFrame],
     hot: HotGroups,
+    no_nulls: bool = False,
 ) -> DataFrame:
     """Apply ``compute(rows, window)``, which may look at ``reach`` rows to either side.
 
@@ -69,7 +74,7 @@ def with_neighbours(
     """
     keys = list(keys)
     regular, heavy = split_hot(df, hot)
-    out = compute(regular, Window.partitionBy(*keys).orderBy(*ascending(order)))
+    out = compute(regular, Window.partitionBy(*keys).orderBy(*ascending(order, no_nulls)))
     if heavy is None:
         return out
     size = max(hot.limit, reach)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from fleetwatch.fixed_values import ALL_NORMAL_MESSAGE, NO_ANOMALY, WINDOW_FRACTION
 from fleetwatch.functions.requests import COMPARE_LINES, COMPARE_PODS, REVIEW_LOG
 from fleetwatch.operators.detector import MAD_SCALE, Thresholds
+from fleetwatch.plans.limits import KEEN
 from fleetwatch.operators.texts import PART_BYTES, PART_PODS, PART_VALUES
 from fleetwatch.plans.registered import SMALL_PART, WEEK
 from fleetwatch.plans.registered_files import TINY_PART
@@ -79,9 +80,8 @@ down AS (
   WHERE (pos - 1) % 2 = 0)"""
 
 
-def detector(scope: str, by: str = "service") -> str:
+def detector(scope: str, by: str = "service", t: Thresholds = Thresholds()) -> str:
     """CTEs from scoped rows to one scored table per rule."""
-    t = Thresholds()
     rows = "down" if scope == "window" else "samples"
     keys = f"{by}, pod, node"
     cut = t.spike_cut * MAD_SCALE
@@ -233,8 +233,8 @@ def texts_from(columns: str, part_values: int = PART_VALUES) -> str:
     return f"WITH {SAMPLES}, {window(WEEK)}, {service_texts(part_values)} SELECT {columns} FROM service_texts"
 
 
-def rules(scope: str) -> str:
-    return f"WITH {SAMPLES}, {window(WEEK)}, {detector(scope)}"
+def rules(scope: str, limits: Thresholds = Thresholds()) -> str:
+    return f"WITH {SAMPLES}, {window(WEEK)}, {detector(scope, t=limits)}"
 
 
 def all_oracles() -> dict[str, str]:
@@ -312,6 +312,7 @@ WHERE EXISTS (SELECT 1 FROM samples s WHERE s.service = n.service AND n.pod IN (
         "anomalies_full": f"{rules('full')} SELECT DISTINCT service, pod FROM findings",
         "findings": f"{rules('window')} SELECT {KEYS}, rule, path, round(score, 6) AS score FROM findings",
         "findings_full": f"{rules('full')} SELECT {KEYS}, rule, path, round(score, 6) AS score FROM findings",
+        "findings_series_table": f"{rules('full', KEEN)} SELECT {KEYS}, rule, path, round(score, 6) AS score FROM findings",
         "all_normal": f"{rules('window')} SELECT count(*) = 0 AS all_normal FROM findings",
         "report_lines": f"""{rules('window')} SELECT DISTINCT service, pod, CAST(NULL AS VARCHAR) AS message FROM findings
 UNION ALL SELECT NULL, NULL, '{ALL_NORMAL_MESSAGE}' FROM (SELECT count(*) AS n FROM findings) WHERE n = 0""",

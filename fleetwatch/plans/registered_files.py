@@ -15,15 +15,18 @@ from pyspark.sql import functions as F
 from fleetwatch.functions.text import all_tags
 from fleetwatch.operators import answers as ans
 from fleetwatch.operators import series, texts
+from fleetwatch.operators.detector import Detector
 from fleetwatch.operators.inference import infer_kept
 from fleetwatch.operators.request_tree import asked_once, judged_services
 from fleetwatch.operators.requests import text_requests
+from fleetwatch.plans.limits import KEEN
 from fleetwatch.plans.log_review import review_tree
 from fleetwatch.session import scratch_root, storage_path
 from fleetwatch.sources import logs as log_source
 from fleetwatch.sources import samples as smp
 from fleetwatch.sources import tables as tab
 from fleetwatch.sources.sample_store import read_sample_store, write_sample_store
+from fleetwatch.sources.series_table import read_series_table, write_series_table
 from fleetwatch.streaming.notices import watch_notices
 
 WEEK = 168
@@ -193,6 +196,15 @@ def _noticed_files(spark: SparkSession, folder: str) -> DataFrame:
     return status.groupBy("kind", "statusCode").agg(F.count(F.lit(1)).alias("n_runs"))
 
 
+def _series_table_findings(spark: SparkSession, folder: str) -> DataFrame:
+    """What keen limits find on all rows, read in the order of a bucketed table."""
+    name = f"fleetwatch_series_{uuid.uuid4().hex}"
+    write_series_table(tab.event_samples(_events(spark, folder)), name, path=_new_folder(spark))
+    rows = read_series_table(spark, name)
+    found = Detector(series.scoped(rows, "full"), limits=KEEN).findings()
+    return found.withColumn("score", F.round("score", 6))
+
+
 def file_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "compare_tree": _compare_tree,
@@ -206,4 +218,5 @@ def file_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stored_log_events": _stored_logs,
         "stored_window_cut": _stored_cut,
         "noticed_files": _noticed_files,
+        "findings_series_table": _series_table_findings,
     }
