@@ -53,9 +53,9 @@ def _totals_over(
     return df.select("*", *[F.sum(c).over(upto).alias(n) for n, c in totals.items()])
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups, name: str = "pos") -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], hot: HotGroups, name: str = "pos", no_nulls: bool = False) -> DataFrame:
     """Number the rows of each group from 1 in ``order``."""
-    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, hot)
+    return running_totals(df, keys, order, {name: F.lit(1).cast("bigint")}, hot, no_nulls)
 
 
 def with_neighbours(

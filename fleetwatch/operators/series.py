@@ -139,12 +139,12 @@ def _stored_cut(samples: DataFrame, bounds: Table, by: Sequence[str]) -> DataFra
 
 
 def downsampled(
-    samples: DataFrame, every: int = KEEP_EVERY, by: Sequence[str] = BY, hot: HotGroups | None = None
+    samples: DataFrame, every: int = KEEP_EVERY, by: Sequence[str] = BY, hot: HotGroups | None = None, timed: bool = False
 ) -> DataFrame:
-    """The first of every ``every`` samples of each pod, in time order."""
+    """The first of every ``every`` samples of each pod, in time order; ``timed`` says that all have a time and a sequence number."""
     keys = series_keys(by)
     rows = keyed(samples, by)
-    placed = positions(rows, keys, ORDER, hot or find_hot(rows, keys))
+    placed = positions(rows, keys, ORDER, hot or find_hot(rows, keys), no_nulls=timed)
     return placed.filter(F.pmod(F.col("pos") - 1, F.lit(every)) == 0).drop("pos")
 
 
@@ -155,6 +155,7 @@ class Scoped:
     rows: DataFrame
     series: Table
     hot: HotGroups
+    timed: bool = False  # whether all rows have a time
 
 
 def scoped(
@@ -178,9 +179,9 @@ def scoped(
         return Scoped(rows, profiled, find_hot(rows, keys, limit, at_most=most))
     inside = window_cut(samples, window_bounds(profiled, hours, by), by)
     hot = find_hot(inside, keys, limit, at_most=most)
-    rows = downsampled(inside, every, by, hot)
+    rows = downsampled(inside, every, by, hot, timed=True)
     # hot groups are counted several times further on: do not place their rows anew each time
-    return Scoped(rows if hot.table is None else materialise(rows).df, profiled, hot)
+    return Scoped(rows if hot.table is None else materialise(rows).df, profiled, hot, timed=True)
 
 
 def window_stats(rows: Scoped, by: Sequence[str] = BY) -> DataFrame:

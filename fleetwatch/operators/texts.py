@@ -48,7 +48,7 @@ def _pod_blocks(rows: Scoped, by: Sequence[str], part_values: int, row_numbers:
     Values are numbered from 0 in each pod, or by the place of their row in the files.
     """
     keys = series_keys(by)
-    placed = positions(rows.rows, keys, ORDER, rows.hot)
+    placed = positions(rows.rows, keys, ORDER, rows.hot, no_nulls=rows.timed)
     chunk = F.floor((F.col("pos") - 1) / part_values).cast("bigint")
     line = F.concat(
         F.when(F.pmod(F.col("pos") - 1, F.lit(part_values)) > 0, "\n").otherwise(""),

@@ -20,9 +20,9 @@ def table(spark, tmp_path):
     return stored
 
 
-def _figures(rows):
+def _figures(rows, scope="full"):
     """Plan of the three figure tables together, as the detector writes them."""
-    detector = Detector(series.scoped(rows, "full"))
+    detector = Detector(series.scoped(rows, scope))
     frames = [detector._pod_figures(), detector._bucket_levels(), detector._high_stretches()]
     union = frames[0].select("pod")
     for frame in frames[1:]:
@@ -46,6 +46,15 @@ def test_figures_need_no_exchange_and_no_sort(spark, table):
     assert _nodes(plain, "Exchange ") and _nodes(plain, "Sort ")
 
 
+def test_windowed_figures_need_no_more_sorts(spark, table):
+    """Numbering, smoothing and stretches go by one order: of a table none is sorted, of other samples each branch once."""
+    samples = planted(spark, 600)
+    plan = _figures(table(samples), "window")
+    assert not [line for line in _nodes(plan, "Exchange ") if "pod#" in line]  # the windows of the services are few rows
+    assert not _nodes(plan, "Sort ")
+    assert len(_nodes(_figures(samples, "window"), "Sort ")) <= 3
+
+
 @pytest.mark.parametrize("scope", ["full", "window"])
 def test_same_findings(spark, table, scope):
     samples = planted(spark, 600)
