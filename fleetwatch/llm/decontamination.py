@@ -3,23 +3,30 @@
 Benchmark items are a stated query set, taken in blocks of ``ITEMS``. All their words are terms.
 Letter case and marks don't count. Documents are cut into passages of ``PASSAGE`` words, half
 overlapping, and for items of more words into passages of twice, four times ... as many, so that a
-passage is never shorter than the item; a passage with half a passage on either side is its window. A common subsequence is
-no longer than the number of words that item and window share, so a passage whose window shares
-fewer than ``LEAST_LCS`` of an item's words can't be confirmed for it, and with no item to be confirmed
-for it is left out: this loses nothing. (Of such an item's n words r are shared at least, so of its
-n - r + ``RARE_HITS`` rarest ones ``RARE_HITS`` are; only pairs that have these are counted in full.)
-All other passages are rows of a TF-IDF matrix. Its right singular vectors come from a distributed randomised SVD: tasks add up A'(A omega), the
-driver orthonormalises it (terms x ``RANK``), tasks add up the small Gram matrix. Passages and
-items are compared by cosine in that space.
-
-The space holds ``RANK`` directions, which items that leak often fill, and the cosine of a rare item's
-passage can be anything. So the cosine never drops a pair: every pair of passage and item that shares
-enough words is confirmed, whatever its cosine, and a pair that is near without sharing enough words would
-fail the confirmation. What is found therefore depends on the words alone, not on the space.
-
-Candidates are confirmed word by word, over the window: the longest common subsequence must hold ``LEAST_LCS`` of the item's words, and ``LEAST_ANSWER`` of the
-item's last ``ANSWER`` words (where questions have their answer). So changed, added or dropped
-words do not hide an item.
+passage is never shorter than the item; a passage with half a passage on either side is its window.
+
+Passages are rows of a TF-IDF matrix. Its right singular vectors come from a distributed randomised SVD:
+tasks add up A'(A omega), the driver orthonormalises it (terms x ``RANK``), ``POWER`` times over, and tasks add up
+the small Gram matrix. The cosine of a passage and an item is taken in that space, with their lengths in
+the whole one: what the space doesn't hold counts as unlike, so a pair is near only if the space
+represents both well.
+
+Candidates come in two ways. Pairs whose cosine reaches ``LEAST_COSINE`` are taken as paraphrases, for which
+the longest common subsequence must hold ``LEAST_NEAR`` of the item's words. All others, as the
+space holds few directions and may miss a rare item, are candidates only if the window shares
+``LEAST_LCS`` of the item's words, and the subsequence must hold as many: that bound loses no verbatim or
+slightly changed copy, however badly the space represents it. In both cases the subsequence of the item's last
+``ANSWER`` words (where questions have their answer) must hold ``LEAST_ANSWER`` of them. All is
+counted word by word, over the window.
+
+A subsequence is no longer than the number of words that item and window share, so a pair that shares
+fewer than ``LEAST_NEAR`` of the item's words fails for certain, and a passage without any other pair is no row of the matrix.
+Of n words of which r are shared, ``RARE_HITS`` of the n - r + ``RARE_HITS`` rarest are shared. Only pairs that have these
+are counted in full, with r as ``LEAST_LCS`` sets it, n the words that occur in documents, and twice ``RARE_HITS`` words at least: a copy
+always has them, and a paraphrase must have them too.
+
+Items with fewer than ``LEAST_TERMS`` different words ("yes", "the answer") say nothing about a text that holds
+them among others. They are found where they are the whole text, by an exact join.
 """
 
 from __future__ import annotations
@@ -40,13 +47,13 @@ ITEMS = 20_000
 PASSAGE = 64
 LEAST_TERMS = 3
 RARE_HITS = 4
-RANK, OVER = 64, 8
-LEAST_COSINE = 0.35
-LEAST_LCS, LEAST_ANSWER, ANSWER = 0.6, 0.5, 8
+RANK, OVER, POWER = 64, 8, 1
+LEAST_COSINE = 0.6
+LEAST_LCS, LEAST_NEAR, LEAST_ANSWER, ANSWER = 0.6, 0.45, 0.5, 8
 
 _APART = WHITE.copy()
 _APART[[ord(c) for c in ".,;:!?\"'()[]|"]] = True
-_PASSAGES = "doc_id bigint, text string, terms array<int>, counts array<int>, items array<int>"
+_PASSAGES = "doc_id bigint, text string, terms array<int>, counts array<int>, items array<int>, full array<boolean>"
 
 
 def _words(texts: pa.Array):
@@ -84,18 +91,20 @@ class Terms:
 
     def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int, first: np.ndarray, words: np.ndarray):
         self.hashes, self.idf = hashes, np.log((1 + total) / (1 + counts)) + 1
-        self.least = np.zeros(len(first) - 1, np.int64)  # of an item's words, as many must be in a window
+        # of an item's words, as many must be in a window: of a paraphrase, and of any other copy
+        self.least, self.full = np.zeros((2, len(first) - 1), np.int64)
         whole, rare = [], []
         for k, (a, b) in enumerate(zip(first[:-1], first[1:])):
             ids, many = np.unique(np.searchsorted(hashes, words[a:b]), return_counts=True)
             if len(ids) < LEAST_TERMS:
                 continue
             n = int(b - a)
-            self.least[k] = np.argmax(np.arange(n + 1) / n >= LEAST_LCS)
+            self.least[k], self.full[k] = (np.argmax(np.arange(n + 1) / n >= part) for part in (LEAST_NEAR, LEAST_LCS))
             order = np.argsort(counts[ids], kind="stable")
             ids, many = ids[order], many[order]
-            left = n - self.least[k] + min(RARE_HITS, self.least[k])
             whole.append((k, ids, many))
+            ids, many = ids[counts[ids] > 0], many[counts[ids] > 0]  # words that no document has are never shared
+            left = max(many.sum() - self.full[k] + min(RARE_HITS, self.full[k]), 2 * RARE_HITS)
             before = np.cumsum(many) - many
             part = before < left
             rare.append((k, ids[part], np.minimum(many, left - before)[part]))
@@ -103,16 +112,16 @@ class Terms:
         self.by_term = np.argsort(self.rare[1], kind="stable")
         self.of_term = np.searchsorted(self.rare[1][self.by_term], np.arange(len(hashes) + 1))
 
-    def candidates(self, window: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of window (of sorted entries window, term, count) and item that share enough words to be confirmed."""
+    def candidates(self, window: np.ndarray, term: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pairs of window (of sorted entries window, term, count) and item that share enough words for a paraphrase, and whether for any copy."""
         item, _, many, _ = self.rare
         entry, at = _spread(self.of_term[term], self.of_term[term + 1])
         at = self.by_term[at]
         keys, to = np.unique(window[entry] * len(self.least) + item[at], return_inverse=True)
         hits = np.bincount(to, np.minimum(count[entry], many[at]), minlength=len(keys))
-        keys = keys[hits >= np.minimum(RARE_HITS, self.least[keys % len(self.least)])]
+        keys = keys[hits >= np.minimum(RARE_HITS, self.full[keys % len(self.least)])]
         _, ids, many, start = self.whole
-        listed, known, kept = window * len(self.hashes) + term, np.append(count, 0), []
+        listed, known, kept, full = window * len(self.hashes) + term, np.append(count, 0), [], []
         for part in np.array_split(keys, len(keys) // 10_000 + 1):
             row, item = np.divmod(part, len(self.least))
             pair, at = _spread(start[item], start[item + 1])
@@ -120,8 +129,10 @@ class Terms:
             place = np.searchsorted(listed, wanted)
             place[np.append(listed, -1)[place] != wanted] = len(listed)
             shared = np.bincount(pair, np.minimum(known[place], many[at]), minlength=len(part))
-            kept.append(part[shared >= self.least[item]])
-        return np.divmod(np.concatenate(kept), len(self.least))
+            enough = shared >= self.least[item]
+            kept.append(part[enough])
+            full.append((shared >= self.full[item])[enough])
+        return *np.divmod(np.concatenate(kept), len(self.least)), np.concatenate(full)
 
 
 def _table(parts: list, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -158,20 +169,21 @@ def _passages(terms: Terms, size: int):
             moved = [(blocks[k] - back * many, n[k]) for back in (-1, 0, 1, 2) for k in [(blocks // many) % width >= back]]
             keys, counts = _added(*map(np.concatenate, zip(*moved)))
             found = []
-            windows, sharing = terms.candidates(keys // many, keys % many, counts)  # in order of windows
+            windows, sharing, full = terms.candidates(keys // many, keys % many, counts)  # in order of windows
             for r in np.unique(windows):
                 a, b = np.searchsorted(blocks, (r * many, (r + 2) * many))
                 listed, times = _added(blocks[a:b] % many, n[a:b])
                 d, at = divmod(int(r), width)
                 i = max(first[d], first[d] + at * step - step)
                 j = min(first[d + 1], first[d] + at * step + size + step)
-                found.append((d, data[starts[i]:ends[j - 1]].tobytes().decode(), listed.tolist(), times.tolist(), sharing[slice(*np.searchsorted(windows, (r, r + 1)))].tolist()))
-            d, text, kinds, times, known = zip(*found) if found else ((),) * 5
+                own = slice(*np.searchsorted(windows, (r, r + 1)))
+                found.append((d, data[starts[i]:ends[j - 1]].tobytes().decode(), listed.tolist(), times.tolist(), sharing[own].tolist(), full[own].tolist()))
+            d, text, kinds, times, known, whole = zip(*found) if found else ((),) * 6
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"].take(pa.array(d, pa.int64())), pa.array(text, pa.string()),
                 pa.array(kinds, pa.list_(pa.int32())), pa.array(times, pa.list_(pa.int32())),
-                pa.array(known, pa.list_(pa.int32())),
-            ], ["doc_id", "text", "terms", "counts", "items"])
+                pa.array(known, pa.list_(pa.int32())), pa.array(whole, pa.list_(pa.bool_())),
+            ], ["doc_id", "text", "terms", "counts", "items", "full"])
 
     return run
 
@@ -187,9 +199,11 @@ def _weighted(batch: pa.RecordBatch, idf: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _times(row, term, weight, right: np.ndarray, rows: int) -> np.ndarray:
-    """Sparse rows times a dense matrix."""
+    """Sparse rows, in their order, times a dense matrix."""
     out = np.zeros((rows, right.shape[1]))
-    np.add.at(out, row, weight[:, None] * right[term])
+    filled, start = np.unique(row, return_index=True)
+    if len(filled):
+        out[filled] = np.add.reduceat(weight[:, None] * right[term], start)
     return out
 
 
@@ -210,18 +224,22 @@ def _matrix(at: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
 def latent_space(passages: DataFrame, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
     """Right singular vectors (terms x rank) of the passages' TF-IDF matrix, by a randomised SVD."""
     width = min(rank + OVER, len(idf))
-    omega = np.random.default_rng(5).standard_normal((len(idf), width))
-
-    def sketch(batches):
-        total = np.zeros((len(idf), width))
-        for batch in batches:
-            row, term, weight = _weighted(batch, idf)
-            y = _times(row, term, weight, omega, len(batch))
-            np.add.at(total, term, weight[:, None] * y[row])
-        at = np.flatnonzero(total.any(axis=1))
-        yield _matrix(at, total[at])
-
-    basis, _ = np.linalg.qr(_summed(passages, sketch, len(idf), width))
+    def sketched(by: np.ndarray) -> np.ndarray:
+        def sketch(batches):
+            total = np.zeros((len(idf), width))
+            for batch in batches:
+                row, term, weight = _weighted(batch, idf)
+                y = _times(row, term, weight, by, len(batch))
+                order = np.argsort(term, kind="stable")
+                total += _times(term[order], row[order], weight[order], y, len(idf))
+            at = np.flatnonzero(total.any(axis=1))
+            yield _matrix(at, total[at])
+
+        return np.linalg.qr(_summed(passages, sketch, len(idf), width))[0]
+
+    basis = sketched(np.random.default_rng(5).standard_normal((len(idf), width)))
+    for _ in range(POWER):
+        basis = sketched(basis)
 
     def gram(batches):
         total = np.zeros((width, width))
@@ -259,38 +277,50 @@ def _search(space: np.ndarray, idf: np.ndarray, items: list[tuple[int, int, list
         vectors = np.stack([v for _, _, _, v in items])
         place = np.zeros(max(k for k, _, _, _ in items) + 1, int)
         place[[k for k, _, _, _ in items]] = np.arange(len(items))
-        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         for batch in batches:
             z = _times(*_weighted(batch, idf), space, len(batch))
-            z /= np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
             found = []
-            texts = batch["text"]
-            for i in range(0, len(batch), 4096):
-                tried = z[i:i + 4096] @ vectors.T >= LEAST_COSINE
-                listed, sharing = batch["items"].slice(i, 4096), np.zeros_like(tried)
-                sharing[np.repeat(np.arange(len(tried)), listed.value_lengths().to_numpy()), place[listed.flatten().to_numpy()]] = True
-                # what is near but shares too few words would fail below for certain
-                passage, item = np.nonzero((tried | sharing) & sharing)
-                words_of, at = None, -1
-                for p, q in zip(passage + i, item):
-                    if p != at:
-                        words_of, at = _cut(texts[int(p)].as_py()), p
-                    words = items[q][2]
-                    shared = common_subsequence(words, words_of) / len(words)
-                    answer = words[-ANSWER:]
-                    if shared >= LEAST_LCS and common_subsequence(answer, words_of) >= LEAST_ANSWER * len(answer):
-                        found.append((batch["doc_id"][int(p)].as_py(), items[q][1], shared))
+            texts, listed = batch["text"], batch["items"]
+            passage = np.repeat(np.arange(len(batch)), listed.value_lengths().to_numpy())
+            item = place[listed.flatten().to_numpy()]
+            # an item that is near but shares too few words would fail below for certain
+            cosine = np.concatenate([np.einsum("ij,ij->i", z[p], vectors[q]) for p, q in zip(*[np.array_split(x, len(item) // 20_000 + 1) for x in (passage, item)])])
+            near = cosine >= LEAST_COSINE
+            tried = np.flatnonzero(near | batch["full"].flatten().to_numpy(zero_copy_only=False))
+            words_of, at = None, -1
+            for p, q, is_near in zip(passage[tried], item[tried], near[tried]):
+                if p != at:
+                    words_of, at = _cut(texts[int(p)].as_py()), p
+                words = items[q][2]
+                shared = common_subsequence(words, words_of) / len(words)
+                answer = words[-ANSWER:]
+                if shared >= (LEAST_NEAR if is_near else LEAST_LCS) and common_subsequence(answer, words_of) >= LEAST_ANSWER * len(answer):
+                    found.append((batch["doc_id"][int(p)].as_py(), items[q][1], shared))
             d, i, s = zip(*found) if found else ((),) * 3
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], ["doc_id", "item_id", "shared"])
 
     return run
 
 
+_MARKS = r"[\x20\x09-\x0D.,;:!?\"'()\[\]|]+"
+
+
+def _whole_texts(texts: DataFrame, rows: list[tuple[int, str]]) -> DataFrame:
+    """Texts whose words are those of an item, in order."""
+    items = texts.sparkSession.createDataFrame(rows, "item_id bigint, text string")
+
+    def words(column):
+        return F.trim(F.regexp_replace(column, _MARKS, " "))
+
+    listed = items.select("item_id", words("text").alias("words"))
+    return texts.select("doc_id", words("text").alias("words")).join(listed, "words").select("doc_id", "item_id", F.lit(1.0).alias("shared"))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Columns doc_id, item_id, shared (part of the item's words found in order): every item found in a document.
 
-    Null and empty texts and items lead to nothing, and so do items with fewer than ``LEAST_TERMS``
-    different words. Repeated documents give one row. Rows without id are not
+    Null and empty texts and items lead to nothing. Items with fewer than ``LEAST_TERMS``
+    different words are found in texts that have no other words. Repeated documents give one row. Rows without id are not
     reported. Other columns are ignored. Runs jobs when called.
     """
     bounded_batches(docs)
@@ -300,6 +330,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = sorted((r[0], r[1].lower()) for r in listed.collect())
     found = [_leaks_of(texts, rows[i:i + ITEMS]) for i in range(0, len(rows), ITEMS)]
     found = [f for f in found if f is not None]
+    few = [(item, text) for item, text in rows if 0 < len(set(_cut(text))) < LEAST_TERMS]
+    found += [_whole_texts(texts, few)] if few else []
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, shared double")
     return reduce(DataFrame.unionByName, found).groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"))
@@ -346,7 +378,8 @@ def _leaks_of_size(texts: DataFrame, rows: list[tuple[int, str]], terms: Terms,
     for k, (item, text) in enumerate(rows):
         kinds, many = np.unique(np.searchsorted(terms.hashes, words[first[k]:first[k + 1]]), return_counts=True)
         if len(kinds) >= LEAST_TERMS:
-            items.append((k, item, _cut(text), ((1 + np.log(many)) * terms.idf[kinds]) @ space[kinds]))
+            weight = (1 + np.log(many)) * terms.idf[kinds]
+            items.append((k, item, _cut(text), weight / np.linalg.norm(weight) @ space[kinds]))
     return passages.df.mapInArrow(_search(space, terms.idf, items), "doc_id bigint, item_id bigint, shared double")
 
 

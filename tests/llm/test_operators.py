@@ -369,6 +369,25 @@ def test_decontamination_of_paraphrases(spark):
     assert found == _leaked(texts, items) and {(100 + i, i) for i, _ in items} <= found
 
 
+def test_decontamination_by_cosine(spark, monkeypatch):
+    """Half of each item's words stay, in order: too few for a copy, but near in the latent space."""
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(24))) for i in range(10)]
+    half = [(i, " ".join(f"new{j}" if j % 2 else w for j, w in enumerate(item.split()))) for i, item in items]
+    texts = [(100 + i, f"{prose(i, 60)} {item}") for i, item in half] + [(k, prose(900 + k, 200)) for k in range(30)]
+    # as many words of an item in a text that is about others: not near
+    texts += [(200 + i, " ".join([half[i][1], *[f"i{(i + k) % 10}w{j}" for k in (1, 2, 3, 4) for j in range(9, 18)]])) for i in range(10)]
+    assert _leaked(texts, items) == set()
+    assert _leaks(spark, texts, items) == {(100 + i, i) for i, _ in items}
+    monkeypatch.setattr(decontamination, "LEAST_COSINE", 2.0)
+    assert _leaks(spark, texts, items) == set()
+
+
+def test_decontamination_of_short_items(spark):
+    items = [(1, "Yes"), (2, "the  answer."), (3, "..."), (4, ""), (5, "no no no")]
+    texts = [(1, "yes!"), (2, "the answer"), (3, "yes, the answer is no"), (4, ""), (5, None), (6, "No; no\n(no)"), (7, "no no"), (8, "...")]
+    assert _leaks(spark, texts, items) == {(1, 1), (2, 2), (6, 5)}
+
+
 def test_decontamination_of_rare_items(spark):
     """Items that leak often fill the latent space; the others leak once, beside words of the first."""
     items = [(i, " ".join(f"i{i}w{j}" for j in range(16))) for i in range(190)]
