@@ -9,12 +9,18 @@ What the stages decide: documents scored below the quality threshold go; of each
 duplicates the document with the least id stays (a null id is kept); documents that contain a
 benchmark item go; secrets are blanked out with ``[secret]``; the last stage returns doc_id,
 the ids, and how many there are.
+
+Null and empty texts have no words: the quality stage scores them like any other, and later stages keep them.
+Ids may be null or repeated, columns beside ``doc_id`` and ``text`` may have any names, and an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetwatch.llm import decontamination, minhash_dedup, quality, secret_scan, sentencepiece_codec
 from fleetwatch.session import materialise
@@ -22,17 +28,14 @@ from fleetwatch.session import materialise
 MASK = "[secret]"
 
 
-def _columns(docs: DataFrame) -> list[str]:
-    return [f"`{c}`" for c in docs.columns]
-
-
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows with a number each (``__row``), written so that it stays; and number and text as a table of documents.
+    """The rows (as one column ``row``, so that no name of theirs clashes) with a number each (``nr``), written so that
+    it stays; and number and text as a table of documents.
 
     Ids may be null or repeated with other texts, so what is found is joined back by the number.
     """
-    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id())).df
-    return rows, rows.select(F.col("__row").alias("doc_id"), "text")
+    rows = materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("nr"))).df
+    return rows, rows.select(F.col("nr").alias("doc_id"), "row.text")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,45 +48,53 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (five-word shingles, similarity 0.8 or more)."""
     rows, texts = _numbered(docs)
-    found = minhash_dedup.near_duplicates(texts.join(rows.filter("doc_id IS NULL").select(F.col("__row").alias("doc_id")), "doc_id", "left_anti"))
-    groups = found.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group"), (F.col("n_shingles") > 0).alias("__linked"))
-    named = rows.select("__row", F.col("doc_id").alias("__id")).join(groups, "__row")
-    first = F.min(F.struct("__id", "__row"))["__row"].alias("__row")
+    without = rows.filter("row.doc_id IS NULL")
+    found = minhash_dedup.near_duplicates(texts.join(without.select(F.col("nr").alias("doc_id")), "doc_id", "left_anti"))
+    groups = found.select(F.col("doc_id").alias("nr"), "component_id", (F.col("n_shingles") > 0).alias("linked"))
+    named = rows.select("nr", "row.doc_id").join(groups, "nr")
+    first = F.min(F.struct("doc_id", "nr"))["nr"].alias("nr")
     # texts without words are linked with nothing; of their repeated rows one stays
-    kept = named.filter("__linked").groupBy("__group").agg(first).select("__row")
-    kept = kept.unionByName(named.filter("NOT __linked").groupBy("__id").agg(first).select("__row"))
-    kept = kept.unionByName(rows.filter("doc_id IS NULL").select("__row"))
-    return rows.join(kept, "__row", "left_semi").select(*_columns(docs))
+    kept = named.filter("linked").groupBy("component_id").agg(first).select("nr")
+    kept = kept.unionByName(named.filter("NOT linked").groupBy("doc_id").agg(first).select("nr"))
+    return rows.join(kept.unionByName(without.select("nr")), "nr", "left_semi").select("row.*")
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows, texts = _numbered(docs)
-    found = materialise(decontamination.leaks(texts, benchmark).select(F.col("doc_id").alias("__row")).distinct()).df
-    return rows.join(found, "__row", "left_anti").select(*_columns(docs))
+    found = materialise(decontamination.leaks(texts, benchmark).select(F.col("doc_id").alias("nr")).distinct()).df
+    return rows.join(found, "nr", "left_anti").select("row.*")
+
+
+@F.pandas_udf(T.StringType())
+def _masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
+    """Texts with ``MASK`` for each span. Spans ascend; of overlapping ones the part already passed is not written again."""
+
+    def mask(text, found):
+        out, at = [], 0
+        for span in found:
+            if span["start"] >= at:
+                out += [text[at:span["start"]], MASK]
+            at = max(at, span["end"])
+        return "".join([*out, text[at:]])
+
+    return pd.Series([mask(t, f) for t, f in zip(texts, spans)], dtype=object)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with ``[secret]`` in place of each secret found; n_chars follows the text."""
+    """All documents, with ``[secret]`` in place of each secret found; n_chars follows the text. Null texts stay null."""
     rows, texts = _numbered(docs)
     found = secret_scan.find_secrets(texts).filter(F.size("spans") > 0)
-    spans = materialise(found.select(F.col("doc_id").alias("__row"), F.col("spans").alias("__spans"))).df
-    text = F.coalesce("text", F.lit(""))
-
-    def step(done, span):
-        # spans ascend; of overlapping ones the part already passed is not written again
-        before = F.substring(text, done["at"] + 1, F.greatest(span["start"].cast("int") - done["at"], F.lit(0)))
-        mask = F.when(span["start"] >= done["at"], F.lit(MASK)).otherwise("")
-        return F.struct(F.concat(done["out"], before, mask).alias("out"), F.greatest(done["at"], span["end"].cast("int")).alias("at"))
-
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    masked = F.aggregate("__spans", start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
-    both = rows.join(spans, "__row", "left").withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked))
-    if "n_chars" in docs.columns:
-        changed = F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text"))
-        both = both.withColumn("n_chars", changed.cast(docs.schema["n_chars"].dataType))
-    return both.select(*_columns(docs))
+    bounds = F.transform("spans", lambda s: F.struct(s["start"].cast("bigint").alias("start"), s["end"].cast("bigint").alias("end")))
+    spans = materialise(found.select(F.col("doc_id").alias("nr"), bounds.alias("spans"))).df
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(_masked(F.coalesce("row.text", F.lit("")), F.coalesce("spans", F.array())))
+    both = rows.join(spans, "nr", "left").select("row", F.col("spans").isNotNull().alias("masked"), text.alias("text"))
+    chars = F.when(F.col("masked"), F.length("text")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None
+    made = {"text": F.col("text"), "n_chars": chars}
+    return both.select(*[
+        (made[c].cast(docs.schema[c].dataType) if c in made else F.col(f"row.`{c}`")).alias(c) for c in docs.columns
+    ])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
