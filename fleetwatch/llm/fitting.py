@@ -27,13 +27,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     """At most ``per_class`` labelled rows of each class with their texts, and how many rows each class has.
 
     Chosen by a hash of the id, so the sample is the same on every run. Rows without id, label or text
-    are left out; copies of a text count once.
+    are left out; copies of a text count once. An id that is labelled both ways counts as 1.
     """
     bounded_batches(docs)
     known = labels.filter(usable & F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"))
     totals = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     drawn = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for c in (0, 1)]
-    chosen = drawn[0].unionByName(drawn[1]).dropDuplicates(["doc_id"])
+    chosen = drawn[0].unionByName(drawn[1]).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     rows = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label").toPandas()  # the bound is per_class
     rows = rows.sort_values(["doc_id", "text"]).drop_duplicates(["text"]).reset_index(drop=True)

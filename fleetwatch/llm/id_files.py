@@ -231,6 +231,16 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def _check_tokenizer(path: str, end: int) -> None:
+    """Refuse what the format or the cutting of words would get wrong."""
+    words = _Words(path)
+    if max(end, *words.tokenizer.get_vocab().values()) >= 1 << 16:
+        raise ValueError("ids of 65536 and more cannot be written")
+    probes = ["the cat sat", "a\nb", "x  y", " to\tbe ", "Don't stop , 3.5"]
+    if words.ids(probes) != [words.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]:
+        raise ValueError("the tokenizer looks across white space")
+
+
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END, block: int = BLOCK) -> None:
     """Write the ids of all documents to ``folder``.
 
@@ -239,10 +249,12 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end: i
     empty text has its end id only. Rows of one id follow in the order of their texts, rows
     without id come first. Other columns are ignored; an empty table gives no files. The
     tokenizer's path must be the same on all machines. The number of files follows the length of
-    all texts, so that a file does not grow with the input. Runs a job when called.
+    all texts, so that a file does not grow with the input. A tokenizer with ids of 65536 and more, or
+    one that does not drop white space, is a ``ValueError``. Runs a job when called.
     """
     bounded_batches(docs)
     path = tokenizer or default_tokenizer()
+    _check_tokenizer(path, end)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     chars = texts.agg(F.sum(F.length("text"))).first()[0] or 0
     files = max(docs.sparkSession.sparkContext.defaultParallelism, math.ceil(chars / FILE_CHARS))

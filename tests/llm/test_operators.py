@@ -245,6 +245,39 @@ def test_pipeline_stages_without_unique_ids(spark, tmp_path):
     assert kept == sorted([(3, EDITED), (4, prose(61, 90)), (4, prose(62, 90)), (3, prose(63, 90)), (None, BASE), (7, "")], key=str)
 
 
+def test_pipeline_stages_on_hard_tables(spark, tmp_path):
+    """Clashing names, null and very long texts, and empty tables, in every stage."""
+    schema = "nr bigint, row string, doc_id bigint, text string, `spans` int, n_chars int, masked string, component_id string"
+    secret, item = "token = " + "0123456789abcdef" * 2, " ".join(f"item{j}" for j in range(20))
+    good, long = [prose(500 + k, 60) for k in range(40)], prose(7, 150_000)
+    bad = [" ".join(w.upper() + "!!" for w in prose(600 + k, 60).split()) for k in range(40)]
+    texts = [*good, *bad, None, "", long, f"{long} {secret} {secret} end", f"{good[0]} {item}"]
+    rows = [(7, "r", i, t, 5, 1, "m", "c") for i, t in enumerate(texts)]
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    labels = [(i, int(i < 40)) for i in range(80)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    full, none = spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+        result = stage(spark, full, str(tmp_path))
+        assert result.schema.simpleString() == full.schema.simpleString()
+        found = {r["doc_id"]: r for r in result.collect()}
+        assert all((r["nr"], r["row"], r["spans"], r["masked"], r["component_id"]) == (7, "r", 5, "m", "c") for r in found.values())
+        if name == "quality":
+            assert set(range(40)) | {82, 83} <= set(found) and not set(range(40, 80)) & set(found)
+        elif name == "near_duplicates":
+            assert set(found) == set(range(len(rows))) - {83} and found[80]["text"] is None
+        elif name == "decontamination":
+            assert set(found) == set(range(len(rows))) - {84}
+        else:
+            changed = {i: r["text"] for i, r in found.items() if r["text"] != texts[i]}
+            assert changed == {83: f"{long} [secret] [secret] end"} and found[83]["n_chars"] == len(changed[83])
+            assert all(r["n_chars"] == 1 for i, r in found.items() if i != 83)
+    encoded = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, full, str(tmp_path)).collect()}
+    assert set(encoded) == set(range(len(rows))) and all(r["n_tokens"] == len(r["ids"]) for r in encoded.values())
+    assert corpus_pipeline.encode(spark, none, str(tmp_path)).count() == 0
+
+
 def test_sentencepiece(docs, empty):
     import sentencepiece
 
@@ -286,6 +319,8 @@ def test_id_files(spark, docs, empty, tmp_path):
         expected[start, doc] = ids
         start += len(ids)
     assert found == expected
+    with pytest.raises(ValueError):
+        id_files.write_ids(docs, str(tmp_path / "wide"), end=1 << 16)
     id_files.write_ids(empty, str(tmp_path / "none"))
     assert id_files.read_ids(spark, str(tmp_path / "none")).count() == 0
 
