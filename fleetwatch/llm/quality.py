@@ -6,8 +6,7 @@ x_bad)), and w minimises the logistic loss on these feature differences. The thr
 quantile of the labelled documents' strengths that the share of bad labels names. The score is
 the sigmoid of a document's distance from it, so 0.5 is the threshold.
 
-At most ``MAX_PER_CLASS`` rows of each class and ``PAIRS`` pairs are fitted; scoring covers
-every whole text.
+All labelled texts and all their pairs are fitted (``ranking``); scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetwatch.llm.fitting import id_bucket, labelled_sample, logistic
+from fleetwatch.llm.fitting import bounded_batches, id_bucket
+from fleetwatch.llm.ranking import halfway, moments, pair_weights, standardised
+from fleetwatch.operators import skew
+from fleetwatch.session import materialise
 
-MAX_PER_CLASS = 3000
-PAIRS = 30_000
 GOOD = 0.5
 
 _KIND = np.full(256, 4, np.uint8)  # 0 lower, 1 upper, 2 digit, 3 white, 4 mark, 5 stop or comma; beyond ASCII counts as lower
@@ -59,25 +59,53 @@ def features(text: str | None) -> list[float]:
     ]
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def _features(texts: pd.Series) -> pd.Series:
+    return pd.Series([np.array(features(t), np.float64) for t in texts], dtype=object)
+
+
+def _labelled(docs: DataFrame, labels: DataFrame, usable: Column) -> tuple[DataFrame, dict[int, int]]:
+    """Columns label, x of every labelled text, and how many rows of labels each class has.
+
+    Rows without id, label or text are left out. Copies of a text count once, with the label of the smallest id. An id
+    that is labelled both ways counts as 1.
+    """
+    known = labels.filter(usable & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
+    known = known.select(F.col("doc_id"), F.col("quality").cast("int").alias("label"))
+    chosen = materialise(known.groupBy("doc_id").agg(F.max("label").alias("label"), *[F.count_if(F.col("label") == k).alias(f"n{k}") for k in (0, 1)]))
+    totals = chosen.df.agg(F.sum("n0"), F.sum("n1")).first()
+    texts = docs.select(F.col("doc_id").alias("doc_id"), "text").filter(F.col("text").isNotNull())
+
+    def described(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("x", _features("text")).withColumn("hash", F.sha2("text", 256)).drop("text")
+
+    ids = chosen.df.select("doc_id", "label")
+    # beyond a broadcast features are joined, not texts
+    small = skew.fits_broadcast(chosen)
+    rows = described(texts.join(F.broadcast(ids), "doc_id")) if small else described(texts).join(ids, "doc_id")
+    once = rows.groupBy("hash").agg(F.min(F.struct("doc_id", "label", "x")).alias("first"))
+    # in one order, so that sums come out alike on every run
+    made = materialise(once.sortWithinPartitions("hash").select("first.label", "first.x"))
+    return made.df, {k: n for k, n in enumerate(totals) if n}
+
+
 def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> dict:
-    rows, totals = labelled_sample(docs, labels, "quality", MAX_PER_CLASS, usable)
-    y = rows["label"].to_numpy(int)
+    """The model, from all usable labelled texts. Runs jobs when called; the driver gets sums of features, never rows."""
+    bounded_batches(docs)
+    rows, totals = _labelled(docs, labels, usable)
     prior = totals.get(1, 0) / sum(totals.values()) if totals else 1.0
-    if not 2 <= y.sum() <= len(y) - 2:
+    n, mean, spread = moments(rows)
+    if min(n) < 2:
         return {"prior": prior}
-    x = np.array([features(t) for t in rows["text"]])
-    mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
-    x = np.clip((x - mean) / spread, -8, 8)
-    draw = np.random.default_rng(7)
-    good, bad = (draw.choice(np.flatnonzero(y == k), PAIRS) for k in (1, 0))
-    w = logistic(x[good] - x[bad], np.ones(PAIRS), np.full(PAIRS, len(y) / PAIRS))
-    strength = x @ w
-    share = np.array([totals.get(k, 0) / max(1, (y == k).sum()) for k in (0, 1)])[y]
-    order = np.argsort(strength)
-    at = np.cumsum(share[order]) / share.sum()
-    rank = min(len(order) - 2, np.searchsorted(at, 1 - prior))
-    threshold = strength[order][rank:rank + 2].mean()
-    return {"prior": prior, "mean": mean, "spread": spread, "w": w, "threshold": threshold, "scale": max(1e-9, strength.std() / 2)}
+    w, deviation = pair_weights(rows, mean, spread)
+
+    @F.pandas_udf(T.DoubleType())
+    def strength(x: pd.Series) -> pd.Series:
+        return pd.Series(standardised(np.stack(x.to_numpy()), mean, spread) @ w if len(x) else np.zeros(0))
+
+    strengths = materialise(rows.select("label", strength("x").alias("strength"))).df
+    threshold = halfway(strengths, [totals[k] / n[k] for k in (0, 1)], totals[0])
+    return {"prior": prior, "mean": mean, "spread": spread, "w": w, "threshold": threshold, "scale": max(1e-9, deviation / 2)}
 
 
 def score_column(text: str, model: dict) -> Column:
@@ -92,7 +120,7 @@ def score_column(text: str, model: dict) -> Column:
         if "w" not in model:
             return pd.Series(np.full(len(texts), model["prior"], float))
         x = np.array([features(t) for t in texts]).reshape(-1, len(model["mean"]))
-        strength = np.clip((x - model["mean"]) / model["spread"], -8, 8) @ model["w"]
+        strength = standardised(x, model["mean"], model["spread"]) @ model["w"]
         return pd.Series(1 / (1 + np.exp(-np.clip((strength - model["threshold"]) / model["scale"], -30, 30))))
 
     return score(text)

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from fleetwatch.llm import decontamination, id_files, minhash_dedup, quality, secret_scan, sentencepiece_codec, spot_signatures, toxicity
+from fleetwatch.llm import decontamination, id_files, minhash_dedup, quality, ranking, secret_scan, sentencepiece_codec, spot_signatures, toxicity
 from fleetwatch.llm import substring_dedup, suffix_dedup
 import corpus_pipeline
 from pyspark.sql import functions as F
@@ -483,3 +483,39 @@ def test_classifiers(spark, docs, empty, kind):
     assert judge(empty, model).count() == 0
 
 
+@pytest.mark.parametrize("limit", [0, 500_000])
+def test_quality_is_fitted_on_all_labels_and_pairs(spark, monkeypatch, limit):
+    """More rows of a class than a sample of 3000: moments, weights and threshold against all rows and all pairs in numpy."""
+    monkeypatch.setattr("fleetwatch.operators.skew.BROADCAST_ROWS", limit)
+    rows = []
+    for k in range(3900):
+        text, good = prose(k, 6 + k % 25), k % 6 > 0
+        rows.append((k, text if good != (k % 17 == 0) else text.upper() + "!!", int(good)))
+    rows += [(9000, rows[1][1], 0), (9001, None, 1), (None, "no id", 1)]  # a copy counts once, as the smallest id says
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, quality int").repartition(5).cache()
+    model = quality.fit(table.select("doc_id", "text"), table.select("doc_id", "quality"), F.lit(True))
+    texts = {t: q for _, t, q in reversed(rows[:3901])}
+    x, y = np.array([quality.features(t) for t in texts]), np.array(list(texts.values()))
+    assert len(x) > 3600
+    np.testing.assert_allclose(model["mean"], x.mean(axis=0), rtol=1e-9, atol=1e-12)
+    np.testing.assert_allclose(model["spread"], x.std(axis=0), rtol=1e-5, atol=1e-6)
+    z = np.clip((x - model["mean"]) / model["spread"], -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    lost = 1 / (1 + np.exp(np.clip((good @ model["w"])[:, None] - (bad @ model["w"])[None], -30, 30)))
+    slope = len(z) / lost.size * (lost.sum(axis=0) @ bad - lost.sum(axis=1) @ good) + model["w"]
+    assert np.abs(slope).max() < 1e-3 * len(z)  # at nought: the least loss over all pairs
+    totals = [sum(q == k for d, _, q in rows if d is not None) for k in (0, 1)]
+    weight = np.array([totals[k] / (y == k).sum() for k in (0, 1)])
+    strength = z @ model["w"]
+    order = np.argsort(strength)
+    rank = np.searchsorted(np.cumsum(weight[y[order]]), totals[0] * (1 - 1e-12))
+    assert model["threshold"] == pytest.approx(strength[order][rank:rank + 2].mean(), abs=1e-9)
+
+
+def test_halfway_between_strengths(spark):
+    """Ties, extremes and values next to each other."""
+    for values, goal in (([1, 1, 1, 1], 2), ([0, 1, 1, 2], 1), ([0, 1, 1, 2], 2), ([0, 1, 1, 2], 3), ([5, -1e9, 1e9], 1), ([1.0, 1 + 2**-52, 1 + 2**-51], 2), ([3, 4], 2)):
+        rows = spark.createDataFrame([(0, float(v)) for v in values], "label int, strength double")
+        order = sorted(values)
+        at = min(goal - 1, len(order) - 2)
+        assert ranking.halfway(rows, [1.0, 1.0], goal) == (order[at] + order[at + 1]) / 2
