@@ -6,10 +6,11 @@ apart by ``by`` plus pod and node.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwatch.fixed_values import KEEP_EVERY, WINDOW_FRACTION, WINDOW_HOURS
@@ -27,6 +28,10 @@ VALUE = "cpuusage"
 SAMPLE_DAY, SERVICE_RANGE = STORE_KEYS = ("sample_day", "service_range")
 _RANGES = 16  # folders a day; stores on disk rely on it
 
+# Spark joins small partitions of a shuffle by their bytes, of which samples have few and their sorts many.
+FEW_ROWS = 400_000  # samples that one task may well order
+TASK_ROWS = 200_000   # samples of a partition where there are more
+
 
 def series_keys(by: Sequence[str] = BY) -> list[str]:
     return [*by, *MEMBER]
@@ -165,8 +170,9 @@ def scoped(
     every: int = KEEP_EVERY,
     by: Sequence[str] = BY,
     profiled: Table | None = None,
+    in_order: bool = False,
 ) -> Scoped:
-    """Samples to analyse: windowed and downsampled (``window``), or all (``full``)."""
+    """Samples to analyse: windowed and downsampled (``window``), or all (``full``). ``in_order`` says that they come by series, as those of a series table."""
     if scope not in ("window", "full"):
         raise ValueError(f"Unknown scope: {scope}")
     keys = series_keys(by)
@@ -174,16 +180,30 @@ def scoped(
     limit = hot_rows(samples.sparkSession)
     # a series is big in the scope only if it is big as a whole
     most = profiled.largest or 0
+    parts = None if in_order else _parts(samples.sparkSession, profiled)
+
+    def placed(rows: DataFrame) -> tuple[DataFrame, HotGroups]:
+        hot = replace(find_hot(rows, keys, limit, at_most=most), parts=parts)
+        # hot groups are set apart first, and the others spread then
+        return rows.repartition(parts, *keys) if parts and hot.table is None else rows, hot
+
     if scope == "full":
-        rows = keyed(samples, by)
-        return Scoped(rows, profiled, find_hot(rows, keys, limit, at_most=most))
-    inside = window_cut(samples, window_bounds(profiled, hours, by), by)
-    hot = find_hot(inside, keys, limit, at_most=most)
+        rows, hot = placed(keyed(samples, by))
+        return Scoped(rows, profiled, hot)
+    inside, hot = placed(window_cut(samples, window_bounds(profiled, hours, by), by))
     rows = downsampled(inside, every, by, hot, timed=True)
     # hot groups are counted several times further on: do not place their rows anew each time
     return Scoped(rows if hot.table is None else materialise(rows).df, profiled, hot, timed=True)
 
 
+def _parts(spark: SparkSession, profiled: Table) -> int | None:
+    """Partitions by series whose rows one task can order, or None where all are few."""
+    if profiled.rows * (profiled.largest or 0) <= FEW_ROWS:
+        return None
+    total = profiled.df.agg(F.sum("n_rows")).first()[0]
+    return max(spark.sparkContext.defaultParallelism, math.ceil(total / TASK_ROWS)) if total > FEW_ROWS else None
+
+
 def window_stats(rows: Scoped, by: Sequence[str] = BY) -> DataFrame:
     """Statistics of the scoped rows; a pod without any keeps a row of nulls."""
     keys = series_keys(by)

@@ -42,6 +42,7 @@ class HotGroups:
     limit: int
     table: Table | None = None  # the hot keys; None where no group is hot
     most: int | None = None     # no other group has more rows than this
+    parts: int | None = None    # partitions over which rows of the other groups are spread; None where Spark may choose
 
     @property
     def regular_rows(self) -> int:
@@ -90,6 +91,7 @@ def split_hot(df: DataFrame, hot: HotGroups) -> tuple[DataFrame, DataFrame | Non
     marked = join_table(df, Table(hot.table.df.withColumn("__hot", F.lit(True)), hot.table.rows, hot.table.bytes),
                         keys, how="left")
     regular = marked.filter(F.col("__hot").isNull()).drop("__hot")
+    regular = regular.repartition(hot.parts, *keys) if hot.parts else regular
     # hot rows are read in every round of cutting: written once, they don't take all rows along each time
     heavy = materialise(marked.filter(F.col("__hot")).drop("__hot")).df
     return regular, heavy

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 import uuid
 from collections.abc import Callable
@@ -35,6 +36,7 @@ TINY_LOG = 200    # bytes per log part
 TINY_FAN_IN = 3
 FILE_PARTS = 3
 WHOLE = 10**9
+NOTICED_ROWS = 1_000_000  # samples of an announced file
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
@@ -168,21 +170,27 @@ def _stored_cut(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _noticed_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A file for each event type and one without content, announced; then one again as it is, and one in a new version."""
+    """Files of each event type and one without content, announced; then those of one type again as they are, and the empty one in a new version.
+
+    A type is one file, as a small table's always is, or several, each of a stretch of time that one task can sort and write.
+    """
     home = _new_folder(spark)
-    events = _events(spark, folder)
-    tab.event_samples(events).withColumn("type", F.col("service")).repartition(1).write.option("header", True).partitionBy("type").csv(f"{home}/in")
+    rows = tab.event_samples(_events(spark, folder)).withColumn("type", F.col("service"))
+    parts = max(1, math.ceil(rows.count() / NOTICED_ROWS))
+    spread = rows.repartitionByRange(parts, "type", "timestamp", "seq")
+    spread.write.option("header", True).partitionBy("type").csv(f"{home}/in")
     place, files = storage_path(spark, f"{home}/in")
-    found = {s.getPath().getParent().getName().removeprefix("type="): s.getPath().toString()
-             for s in files.globStatus(storage_path(spark, f"{home}/in/type=*/part-*.csv")[0])}
+    found: dict[str, list[str]] = {}
+    for s in files.globStatus(storage_path(spark, f"{home}/in/type=*/part-*.csv")[0]):
+        found.setdefault(s.getPath().getParent().getName().removeprefix("type="), []).append(s.getPath().toString())
     empty, _ = storage_path(spark, f"{home}/in/empty.csv")
     files.create(empty).close()
-    found["empty"] = empty.toString()
+    found["empty"] = [empty.toString()]
 
     def announce(versions: list[tuple[str, str]]) -> None:
         notices = [
-            json.dumps({"Records": [{"s3": {"bucket": {"name": found[kind].rsplit("/", 1)[0]}, "object": {"key": found[kind].rsplit("/", 1)[1], "eTag": v}}}]})
-            for kind, v in versions
+            json.dumps({"Records": [{"s3": {"bucket": {"name": path.rsplit("/", 1)[0]}, "object": {"key": path.rsplit("/", 1)[1], "eTag": v}}}]})
+            for kind, v in versions for path in found[kind]
         ]
         spark.createDataFrame([(n,) for n in notices], "value string").coalesce(1).write.mode("append").text(f"{home}/notices")
         query = watch_notices(spark, f"{home}/notices", f"{home}/out", f"{home}/state", "{bucket}/{key}", hours=WEEK)
@@ -192,8 +200,9 @@ def _noticed_files(spark: SparkSession, folder: str) -> DataFrame:
     announce([(kind, "v1") for kind in kinds])
     announce([(kinds[0], "v1"), (kinds[1], "v2")])
     shown = F.when(F.col("source_file").endswith("empty.csv"), "empty").otherwise(F.regexp_extract("source_file", "type=([^/]*)/", 1))
-    status = spark.read.json(f"{home}/out/status").select("batch", shown.alias("kind"), F.col("statusCode").cast("int"))
-    return status.groupBy("kind", "statusCode").agg(F.count(F.lit(1)).alias("n_runs"))
+    status = spark.read.json(f"{home}/out/status").select("source_file", shown.alias("kind"), F.col("statusCode").cast("int"))
+    runs = status.groupBy("kind", "statusCode", "source_file").agg(F.count(F.lit(1)).alias("n_runs"))
+    return runs.groupBy("kind", "statusCode").agg(F.max("n_runs").alias("n_runs"))  # all files of a type run alike
 
 
 def _series_table_findings(spark: SparkSession, folder: str) -> DataFrame:
@@ -201,7 +210,7 @@ def _series_table_findings(spark: SparkSession, folder: str) -> DataFrame:
     name = f"fleetwatch_series_{uuid.uuid4().hex}"
     write_series_table(tab.event_samples(_events(spark, folder)), name, path=_new_folder(spark))
     rows = read_series_table(spark, name)
-    found = Detector(series.scoped(rows, "full"), limits=KEEN).findings()
+    found = Detector(series.scoped(rows, "full", in_order=True), limits=KEEN).findings()
     return found.withColumn("score", F.round("score", 6))
 
 

@@ -96,3 +96,23 @@ def test_a_gap_in_time_ends_a_stretch(spark):
     wider = Thresholds(high_gap_minutes=700)
     scores = {r.pod: (r.score, r.flagged) for r in Detector(scoped(apart, "full"), limits=wider).high().collect()}
     assert scores["sparse"] == (1320.0, True)
+
+
+@pytest.mark.parametrize("scope", ["full", "window"])
+def test_many_samples_are_spread_by_their_number(spark, monkeypatch, hot_limit, scope):
+    """A task orders few series, however few bytes Spark's shuffle has; findings stay as they are, hot series or not."""
+    samples = planted(spark, 240)
+
+    def found():
+        return sorted(map(str, tuples(Detector(scoped(samples, scope), limits=Thresholds(shape_minutes=15)).findings().withColumn("score", F.round("score", 6)))))
+
+    plain = found()
+    assert plain
+    total = samples.count()
+    monkeypatch.setattr("fleetwatch.operators.series.FEW_ROWS", 100)
+    monkeypatch.setattr("fleetwatch.operators.series.TASK_ROWS", total // 20)
+    assert scoped(samples, scope).rows.rdd.getNumPartitions() >= 20
+    assert scoped(samples, scope, in_order=True).rows.rdd.getNumPartitions() < 20
+    assert found() == plain
+    hot_limit(100)
+    assert scoped(samples, scope).hot.parts >= 20 and found() == plain

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fleetwatch.operators.series import scoped
 from fleetwatch.operators.texts import service_texts
+from fleetwatch.plans import registered_files
 from fleetwatch.sources.logs import read_log_json, read_log_store, stored_stream_events, write_log_store
 from fleetwatch.sources.samples import SEQ, file_preview, read_checked, read_csv, read_samples
 
@@ -121,3 +122,19 @@ def test_empty_store(spark, tmp_path):
     store = str(tmp_path / "store")
     write_log_store(spark.createDataFrame([], "region string, log_group string, log_stream string, event_time timestamp_ntz, seq bigint, message string"), store)
     assert stored_stream_events(spark, store).count() == 0
+
+
+def test_announced_files_hold_few_samples(spark, tmp_path, monkeypatch):
+    """A type with many events has several files, each announced; a task writes no more than one file's samples."""
+    rows = [(i, f"2024-01-0{1 + i % 9} 00:{i % 60:02d}:00", i % 40, "view" if i % 10 else "click", float(i % 7), "{}") for i in range(600)]
+    events = spark.createDataFrame(rows, "event_id bigint, ts string, user_id bigint, event_type string, value double, props string")
+    events.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    made = []
+    monkeypatch.setattr(registered_files, "_new_folder", lambda _: made.append(f"{tmp_path}/home{len(made)}") or made[-1])
+    monkeypatch.setattr(registered_files, "NOTICED_ROWS", 150)
+    found = tuples(registered_files.file_queries()["noticed_files"](spark, str(tmp_path)))
+    assert sorted(found) == [("click", 200, 1), ("empty", 500, 2), ("view", 200, 1)]
+    files = spark.read.option("header", True).csv(f"{made[0]}/in/type=*").groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sum(r["count"] for r in files) == 600 and max(r["count"] for r in files) <= 300 and len(files) >= 4
+    statuses = spark.read.json(f"{made[0]}/out/status").filter("statusCode = 200")
+    assert statuses.count() == len(files) == statuses.select("source_file").distinct().count()
