@@ -19,6 +19,7 @@ any store that Spark knows and a lost executor's files are written again.
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -36,21 +37,57 @@ from fleetwatch.session import _new_path
 
 BLOCK = 2048
 END = 2
-LANES = 512  # blocks coded in step: 64 KB of predictions and 4 KB of counts each
+LANES = 1024  # blocks coded in step: 64 KB of predictions and 2 KB of counts each
 FILE_CHARS = 16_000_000  # code points of the texts of one file, which one task writes and one reads
 _SLOTS = 1 << 13
 _TOP, _BOTTOM, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
 _MAX_COUNT = 1 << 14
 
 
+class _Bytes:
+    """Adaptive counts of bytes, and their sums by sixteen, so that no step goes through all 256."""
+
+    def __init__(self, lanes: int):
+        self.counts, self.sums = np.ones((lanes, 16, 16), np.int32), np.full((lanes, 16), 16, np.int32)
+        self.totals = np.full(lanes, 256)
+
+    def interval(self, rows, symbol):
+        at, group, place = np.arange(len(rows)), symbol >> 4, symbol & 15
+        upto, inside = np.cumsum(self.sums[rows], axis=1), self.counts[rows, group]
+        size = inside[at, place]
+        before = upto[at, group] - self.sums[rows, group] + np.cumsum(inside, axis=1)[at, place] - size
+        return before, size, self.totals[rows]
+
+    def find(self, reader, rows):
+        at, upto = np.arange(len(rows)), np.cumsum(self.sums[rows], axis=1)
+        value, r = reader.target(rows, self.totals[rows])
+        group = (upto <= value[:, None]).sum(axis=1)
+        before, inside = upto[at, group] - self.sums[rows, group], self.counts[rows, group]
+        within = np.cumsum(inside, axis=1)
+        place = (within <= (value - before)[:, None]).sum(axis=1)
+        size = inside[at, place]
+        reader.take(rows, before + within[at, place] - size, size, r)
+        return group << 4 | place
+
+    def learn(self, rows, symbol):
+        self.counts[rows, symbol >> 4, symbol & 15] += 24
+        self.sums[rows, symbol >> 4] += 24
+        self.totals[rows] += 24
+        old = rows[self.totals[rows] > _MAX_COUNT]
+        if len(old):
+            self.counts[old] = (self.counts[old] + 1) >> 1
+            self.sums[old] = self.counts[old].sum(axis=2)
+            self.totals[old] = self.sums[old].sum(axis=1)
+
+
 class _Model:
     """State of many blocks at once."""
 
     def __init__(self, lanes: int):
         self.two = np.zeros((lanes, _SLOTS), np.int32)
         self.one = np.zeros((lanes, _SLOTS), np.int32)
-        self.mixture = np.ones((lanes, 16, 3), np.int64)
-        self.high, self.low = (np.ones((lanes, 256), np.int64) for _ in range(2))
+        self.mixture = np.ones((lanes, 16, 3), np.int32)
+        self.high, self.low = _Bytes(lanes), _Bytes(lanes)
         self.before, self.last = (np.zeros(lanes, np.int64) for _ in range(2))
 
     def predictions(self, rows):
@@ -61,19 +98,15 @@ class _Model:
         return s2, s1, e2 >> 2, e1 >> 2, (e2 & 3) * 4 + (e1 & 3)
 
     def learn(self, rows, ids, s2, s1, p2, p1, chosen, outcome):
-        for table, slot, p in ((self.two, s2, p2), (self.one, s1, p1)):
-            sure = table[rows, slot] & 3
+        for table, slot, p, sure in ((self.two, s2, p2, chosen >> 2), (self.one, s1, p1, chosen & 3)):
             table[rows, slot] = ids * 4 + np.where(p == ids, np.minimum(sure + 1, 3), 0)
         self.mixture[rows, chosen, outcome] += 24
         self._age(self.mixture, rows, chosen)
         missed = rows[outcome == 2]
         if len(missed):
             got = ids[outcome == 2]
-            for table, part in ((self.high, got >> 8), (self.low, got & 255)):
-                table[missed, part] += 24
-                sums = table[missed].sum(axis=1)
-                old = missed[sums > _MAX_COUNT]
-                table[old] = (table[old] + 1) >> 1
+            self.high.learn(missed, got >> 8)
+            self.low.learn(missed, got & 255)
         self.before[rows], self.last[rows] = self.last[rows], ids
 
     @staticmethod
@@ -174,8 +207,8 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         writer.put(rows, *_interval(model.mixture[rows, chosen], outcome))
         if len(missed := rows[outcome == 2]):
             got = now[outcome == 2]
-            writer.put(missed, *_interval(model.high[missed], got >> 8))
-            writer.put(missed, *_interval(model.low[missed], got & 255))
+            writer.put(missed, *model.high.interval(missed, got >> 8))
+            writer.put(missed, *model.low.interval(missed, got & 255))
         model.learn(rows, now, s2, s1, p2, p1, chosen, outcome)
     payloads: list[bytes] = [b""] * len(blocks)
     for i, payload in zip(order, writer.finish()):
@@ -194,8 +227,8 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         outcome = _find(model.mixture[rows, chosen], reader, rows)
         now = np.where(outcome == 0, p2, p1)
         if len(missed := rows[outcome == 2]):
-            high = _find(model.high[missed], reader, missed)
-            now[outcome == 2] = high << 8 | _find(model.low[missed], reader, missed)
+            high = model.high.find(reader, missed)
+            now[outcome == 2] = high << 8 | model.low.find(reader, missed)
         ids[rows, t] = now
         model.learn(rows, now, s2, s1, p2, p1, chosen, outcome)
     out = [np.zeros(0, np.int32)] * len(many)
@@ -205,7 +238,7 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 
 _SPACE = re.compile(r"[ \t\n\r]+")
-KNOWN_WORDS = 100_000
+KNOWN_WORDS = 50_000  # after which those that were not used since are forgotten
 
 
 class _Words:
@@ -214,14 +247,17 @@ class _Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": []}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads that wait for words burn others
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": []}, {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         cut = [_SPACE.split(t) for t in texts]
-        if len(self.known) > KNOWN_WORDS:
-            self.known = {"": []}
+        if len(self.known) > KNOWN_WORDS:  # words that come again soon are kept
+            self.known, self.older = {"": []}, self.known
         new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
+        self.known.update((w, self.older[w]) for w in new if w in self.older)
+        new = [w for w in new if w not in self.known]
+        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
         return [list(chain.from_iterable([self.known[w] for w in words])) for words in cut]
 
 

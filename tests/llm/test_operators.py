@@ -307,6 +307,34 @@ def test_id_blocks():
     assert len(payloads[5]) < 300 < len(payloads[3])
 
 
+def test_counts_of_bytes(monkeypatch):
+    """Sums by sixteen tell the same intervals as all 256 counts, also when these have grown old."""
+    monkeypatch.setattr(id_files, "_MAX_COUNT", 900)
+    draw, made = np.random.default_rng(5), id_files._Bytes(3)
+    plain = np.ones((3, 256), np.int64)
+    for _ in range(300):
+        rows = np.flatnonzero(draw.random(3) < 0.8)
+        symbol = draw.geometric(0.02, len(rows)) % 256
+        sums, at = np.cumsum(plain[rows], axis=1), np.arange(len(rows))
+        start, size, total = made.interval(rows, symbol)
+        assert (start == sums[at, symbol] - plain[rows, symbol]).all() and (size == plain[rows, symbol]).all() and (total == sums[:, -1]).all()
+        made.learn(rows, symbol)
+        plain[rows, symbol] += 24
+        old = rows[plain[rows].sum(axis=1) > 900]
+        plain[old] = (plain[old] + 1) >> 1
+
+
+def test_words_are_forgotten_unless_used(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(id_files, "KNOWN_WORDS", 20)
+    words, plain = id_files._Words(id_files.default_tokenizer()), Tokenizer.from_file(id_files.default_tokenizer())
+    for k in range(40):
+        text = f"always here {prose(k, 8)} only{k} é\n  日本"
+        assert words.ids([text, ""]) == [plain.encode(text, add_special_tokens=False).ids, []]
+        assert len(words.known) + len(words.older) < 80 and "always" in words.known
+
+
 def test_id_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
