@@ -8,9 +8,10 @@ the CRC-32 of its ids.
 Model. Order 2 and order 1 each predict one id, the one that last followed the same two ids or
 the same id, with a confidence of how often that came true in a row. The pair of confidences
 chooses a mixture: adaptive counts of "order 2 is right", "order 1 is right", "neither". Only an
-id that neither predicts is coded by order 0: adaptive counts of its high and its low byte.
-The symbols drive a carry-less 32-bit range coder. All blocks of a task are coded in step, one
-array element each.
+id that neither predicts is coded by order 0: adaptive counts of its high and its low byte, which
+the coder takes up anew at places ever further apart, so that a symbol is looked up and not searched.
+The symbols drive two carry-less range coders of 64 bits, one for the mixture and one for order 0, which
+put out 32-bit words. All blocks of a task are coded in step, one array element each.
 
 Storage is a Parquet table of block rows (file, block, documents and payload), so it works with
 any store that Spark knows and a lost executor's files are written again.
@@ -20,17 +21,14 @@ from __future__ import annotations
 
 import math
 import os
-import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from fleetwatch.llm.fitting import bounded_batches
 from fleetwatch.session import _new_path
@@ -40,205 +38,267 @@ END = 2
 LANES = 1024  # blocks coded in step: 64 KB of predictions and 2 KB of counts each
 FILE_CHARS = 16_000_000  # code points of the texts of one file, which one task writes and one reads
 _SLOTS = 1 << 13
-_TOP, _BOTTOM, _WORD = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
+_BITS = 11  # of the scale that order 0 has its counts on
 _MAX_COUNT = 1 << 14
+_WORD, _LOW_HALF, _HALF = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32)
+_COUNT, _TWENTY, _FORTY, _OLD = np.uint64((1 << 20) - 1), np.uint64(20), np.uint64(40), np.uint64(4096 - 24)
+_SEEN = np.array([24, 24 << 20, 24 << 40], np.uint64)
 
 
 class _Bytes:
-    """Adaptive counts of bytes, and their sums by sixteen, so that no step goes through all 256."""
+    """Adaptive counts of bytes, a set for each lane."""
 
     def __init__(self, lanes: int):
-        self.counts, self.sums = np.ones((lanes, 16, 16), np.int32), np.full((lanes, 16), 16, np.int32)
-        self.totals = np.full(lanes, 256)
+        self.counts = np.ones((lanes, 256), np.int32)
 
     def interval(self, rows, symbol):
-        at, group, place = np.arange(len(rows)), symbol >> 4, symbol & 15
-        upto, inside = np.cumsum(self.sums[rows], axis=1), self.counts[rows, group]
-        size = inside[at, place]
-        before = upto[at, group] - self.sums[rows, group] + np.cumsum(inside, axis=1)[at, place] - size
-        return before, size, self.totals[rows]
-
-    def find(self, reader, rows):
-        at, upto = np.arange(len(rows)), np.cumsum(self.sums[rows], axis=1)
-        value, r = reader.target(rows, self.totals[rows])
-        group = (upto <= value[:, None]).sum(axis=1)
-        before, inside = upto[at, group] - self.sums[rows, group], self.counts[rows, group]
-        within = np.cumsum(inside, axis=1)
-        place = (within <= (value - before)[:, None]).sum(axis=1)
-        size = inside[at, place]
-        reader.take(rows, before + within[at, place] - size, size, r)
-        return group << 4 | place
+        """Where each row's symbol, or each of its line of symbols, lies among the row's counts, and their sum."""
+        sums, lines = np.cumsum(self.counts[rows], axis=1), symbol.reshape(len(rows), symbol[0].size if len(rows) else 1)
+        size = np.take_along_axis(self.counts[rows], lines, 1)
+        before = np.take_along_axis(sums, lines, 1) - size
+        return before.reshape(symbol.shape), size.reshape(symbol.shape), sums[:, -1].reshape(-1, *[1] * (symbol.ndim - 1))
+
+    def shares(self, rows, symbol):
+        """Beginning and size of what each symbol has of ``1 << _BITS``."""
+        before, size, total = self.interval(rows, symbol)
+        start = _share(before, total, symbol)
+        return start.astype(np.uint64), (_share(before + size, total, symbol + 1) - start).astype(np.uint64)
+
+    def tables(self, rows):
+        """Flat tables to decode with: the symbol at each of ``1 << _BITS`` places; beginning << 32 | size of each symbol's share."""
+        sums = np.zeros((len(rows), 257), np.int64)
+        np.cumsum(self.counts[rows], axis=1, out=sums[:, 1:])
+        edges = _share(sums, sums[:, -1:], np.arange(257))
+        sizes = np.diff(edges)
+        packed = (edges[:, :-1] << 32 | sizes).astype(np.uint64)
+        sizes[:, -1] = (1 << _BITS) - edges[:, -2]
+        return np.repeat(np.tile(np.arange(256, dtype=np.uint8), len(rows)), sizes.ravel()), packed.ravel()
 
     def learn(self, rows, symbol):
-        self.counts[rows, symbol >> 4, symbol & 15] += 24
-        self.sums[rows, symbol >> 4] += 24
-        self.totals[rows] += 24
-        old = rows[self.totals[rows] > _MAX_COUNT]
+        at = (rows * 256).reshape(-1, *[1] * (symbol.ndim - 1)) + symbol
+        self.counts += 24 * np.bincount(at.ravel(), minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+        old = rows[self.counts[rows].sum(axis=1) > _MAX_COUNT]
         if len(old):
             self.counts[old] = (self.counts[old] + 1) >> 1
-            self.sums[old] = self.counts[old].sum(axis=2)
-            self.totals[old] = self.sums[old].sum(axis=1)
+
+
+def _share(sums, total, symbol):
+    """Sums of counts on the scale of ``1 << _BITS``, of which each of 256 symbols has one at least."""
+    return (sums * (((1 << _BITS) - 256) / total)).astype(np.int64) + symbol
+
+
+def _spans(n: int) -> Iterator[tuple[int, int]]:
+    """Stretches of 0..n in which order 0 stays as it is; what a stretch held is learnt at its end."""
+    at = 0
+    while at < n:
+        yield at, min(n, at + max(4, at // 2))
+        at += max(4, at // 2)
 
 
 class _Model:
-    """State of many blocks at once."""
+    """Order 2, order 1 and their mixture, for many blocks at once; the first ``k`` go on.
+
+    An entry of a table is id * 4 + confidence, a mixture's is three counts of 20 bits.
+    """
 
     def __init__(self, lanes: int):
-        self.two = np.zeros((lanes, _SLOTS), np.int32)
-        self.one = np.zeros((lanes, _SLOTS), np.int32)
-        self.mixture = np.ones((lanes, 16, 3), np.int32)
-        self.high, self.low = _Bytes(lanes), _Bytes(lanes)
+        self.two, self.one = np.zeros(lanes * _SLOTS, np.int32), np.zeros(lanes * _SLOTS, np.int32)
+        self.mixture = np.full(lanes * 16, 1 | 1 << 20 | 1 << 40, np.uint64)
+        self.slots, self.rows = np.arange(lanes) * _SLOTS, np.arange(lanes) * 16
         self.before, self.last = (np.zeros(lanes, np.int64) for _ in range(2))
 
-    def predictions(self, rows):
-        """Slots, predicted ids and the mixture's row for the next id. An entry is id * 4 + confidence."""
-        b, a = self.before[rows], self.last[rows]
-        s2, s1 = (b * 40503 + a * 30011) % _SLOTS, a % _SLOTS
-        e2, e1 = self.two[rows, s2], self.one[rows, s1]
-        return s2, s1, e2 >> 2, e1 >> 2, (e2 & 3) * 4 + (e1 & 3)
-
-    def learn(self, rows, ids, s2, s1, p2, p1, chosen, outcome):
-        for table, slot, p, sure in ((self.two, s2, p2, chosen >> 2), (self.one, s1, p1, chosen & 3)):
-            table[rows, slot] = ids * 4 + np.where(p == ids, np.minimum(sure + 1, 3), 0)
-        self.mixture[rows, chosen, outcome] += 24
-        self._age(self.mixture, rows, chosen)
-        missed = rows[outcome == 2]
-        if len(missed):
-            got = ids[outcome == 2]
-            self.high.learn(missed, got >> 8)
-            self.low.learn(missed, got & 255)
-        self.before[rows], self.last[rows] = self.last[rows], ids
-
-    @staticmethod
-    def _age(table, rows, chosen):
-        old = table[rows, chosen].sum(axis=1) > 4096
-        if old.any():
-            table[rows[old], chosen[old]] = (table[rows[old], chosen[old]] + 1) >> 1
-
-
-class _Writer:
-    def __init__(self, lanes: int, room: int):
-        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFF, np.uint64)
-        self.out, self.at = np.zeros((lanes, room), np.uint8), np.zeros(lanes, np.int64)
-
-    def put(self, rows, start, size, total):
-        r = self.range[rows] // total.astype(np.uint64)
-        self.low[rows] = (self.low[rows] + start.astype(np.uint64) * r) & _WORD
-        self.range[rows] = r * size.astype(np.uint64)
-        self._emit(rows)
-
-    def _emit(self, rows):
-        while len(rows := _unsettled(self, rows)):
-            self.out[rows, self.at[rows]] = (self.low[rows] >> np.uint64(24)).astype(np.uint8)
-            self.at[rows] += 1
-            self.low[rows] = (self.low[rows] << np.uint64(8)) & _WORD
-            self.range[rows] = (self.range[rows] << np.uint64(8)) & _WORD
+    def predictions(self, k):
+        """Entries of both orders, and the counts up to "order 2 is right", "order 1 is right" and "neither"."""
+        b, a = self.before[:k], self.last[:k]
+        self.at2 = (b * 40503 + a * 30011 & _SLOTS - 1) + self.slots[:k]
+        self.at1 = (a & _SLOTS - 1) + self.slots[:k]
+        self.e2, self.e1 = self.two.take(self.at2), self.one.take(self.at1)
+        self.chosen = ((self.e2 & 3) << 2 | self.e1 & 3) + self.rows[:k]
+        self.counts = self.mixture.take(self.chosen)
+        c0 = self.counts & _COUNT
+        c1 = (self.counts >> _TWENTY & _COUNT) + c0
+        return self.e2 >> 2, self.e1 >> 2, c0, c1, (self.counts >> _FORTY) + c1
+
+    def learn(self, k, ids, outcome, total):
+        """``ids`` as int32, ``outcome`` 0, 1 or 2, ``total`` of the counts that chose it."""
+        for table, at, e in ((self.two, self.at2, self.e2), (self.one, self.at1, self.e1)):
+            table[at] = np.where(e >> 2 == ids, e + (e & 3 != 3), ids << 2)
+        counts = self.counts + _SEEN.take(outcome)
+        old = np.flatnonzero(total > _OLD)
+        if len(old):
+            c = counts[old]
+            parts = [(c >> s & _COUNT) + np.uint64(1) >> np.uint64(1) for s in (np.uint64(0), _TWENTY, _FORTY)]
+            counts[old] = parts[0] | parts[1] << _TWENTY | parts[2] << _FORTY
+        self.mixture[self.chosen] = counts
+        self.before[:k] = self.last[:k]
+        self.last[:k] = ids
 
-    def finish(self) -> list[bytes]:
-        for shift in (24, 16, 8, 0):
-            self.out[np.arange(len(self.at)), self.at] = (self.low >> np.uint64(shift)).astype(np.uint8)
-            self.at += 1
-        return [row[:n].tobytes() for row, n in zip(self.out, self.at)]
 
+class _Coder:
+    """Lows and ranges of 64 bits. A range below 32 bits is cut to end on a word unless that is settled, and the word goes out."""
 
-class _Reader:
-    def __init__(self, payloads: list[bytes]):
-        self.low, self.range = np.zeros(len(payloads), np.uint64), np.full(len(payloads), 0xFFFFFFFF, np.uint64)
-        width = max(map(len, payloads)) + 8
-        self.data = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in payloads), np.uint8).reshape(-1, width)
-        self.code = self.data[:, :4].astype(np.uint64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1], np.uint64)
-        self.at = np.full(len(payloads), 4)
-
-    def target(self, rows, total):
-        r = self.range[rows] // total.astype(np.uint64)
-        value = ((self.code[rows] - self.low[rows]) & _WORD) // r
-        return np.minimum(value, total.astype(np.uint64) - np.uint64(1)).astype(np.int64), r
-
-    def take(self, rows, start, size, r):
-        self.low[rows] = (self.low[rows] + start.astype(np.uint64) * r) & _WORD
-        self.range[rows] = r * size.astype(np.uint64)
-        while len(rows := _unsettled(self, rows)):
-            self.code[rows] = (self.code[rows] << np.uint64(8)) & _WORD | self.data[rows, self.at[rows]]
+    def __init__(self, lanes: int):
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
+        self.at = np.zeros(lanes, np.int64)
+
+    def narrow(self, k, start, size, r):
+        low = self.low[:k]
+        low += start * r
+        self.range[:k] = left = size * r
+        rows = np.flatnonzero(left < _WORD)
+        if len(rows):
+            low, left = low[rows], left[rows]
+            self.words(rows, low)
+            left = np.where((low + left ^ low) < _WORD, left, np.uint64(0) - low & _WORD - np.uint64(1))
+            self.low[rows], self.range[rows] = low << _HALF, left << _HALF
             self.at[rows] += 1
-            self.low[rows] = (self.low[rows] << np.uint64(8)) & _WORD
-            self.range[rows] = (self.range[rows] << np.uint64(8)) & _WORD
 
 
-def _unsettled(coder, rows):
-    """Rows whose first byte is settled or whose range is small; the range of the latter is cut to end on the byte."""
-    low, size = coder.low[rows], coder.range[rows]
-    settled = (low ^ (low + size)) < _TOP
-    small = ~settled & (size < _BOTTOM)
-    if small.any():
-        cut = rows[small]
-        coder.range[cut] = (np.uint64(0) - coder.low[cut]) & (_BOTTOM - np.uint64(1))
-    return rows[settled | small]
+class _Writer(_Coder):
+    def __init__(self, lanes: int, room: int):
+        super().__init__(lanes)
+        self.out = np.zeros((lanes, room), np.uint32)
 
+    def words(self, rows, low):
+        self.out[rows, self.at[rows]] = low >> _HALF
 
-def _interval(counts, symbol):
-    sums = np.cumsum(counts, axis=1)
-    at = np.arange(len(symbol))
-    return sums[at, symbol] - counts[at, symbol], counts[at, symbol], sums[:, -1]
+    def finish(self) -> list[bytes]:
+        """A last word that lies in the range when noughts follow it."""
+        self.out[np.arange(len(self.at)), self.at] = self.low + (_WORD - np.uint64(1)) >> _HALF
+        return [row[:n + 1].astype("<u4").tobytes() for row, n in zip(self.out, self.at)]
 
 
-def _find(counts, reader, rows):
-    sums = np.cumsum(counts, axis=1)
-    value, r = reader.target(rows, sums[:, -1])
-    symbol = (sums <= value[:, None]).sum(axis=1)
-    at = np.arange(len(rows))
-    size = counts[at, symbol]
-    reader.take(rows, sums[at, symbol] - size, size, r)
-    return symbol
+class _Reader(_Coder):
+    def __init__(self, payloads: list[bytes]):
+        super().__init__(len(payloads))
+        width = max(map(len, payloads), default=0) + 16
+        words = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in payloads), "<u4").reshape(len(payloads), -1)
+        self.data = words.astype(np.uint64)
+        self.code = self.data[:, 0] << _HALF | self.data[:, 1]
+        self.at += 2
+
+    def value(self, k, r):
+        return (self.code[:k] - self.low[:k]) // r
+
+    def words(self, rows, low):
+        self.code[rows] = self.code[rows] << _HALF | self.data[rows, np.minimum(self.at[rows], self.data.shape[1] - 1)]
+
+
+def _going_on(sizes) -> list[int]:
+    """How many blocks, from the longest on, have an id at each place."""
+    return np.searchsorted(-sizes, -np.arange(max(sizes, default=0)), side="left").tolist()
+
+
+def _write_missed(missed, sizes) -> list[bytes]:
+    """Ids that order 0 codes. ``missed``: a line of ids for each block, the longest first."""
+    high, low, going = _Bytes(len(sizes)), _Bytes(len(sizes)), _going_on(sizes)
+    writer = _Writer(len(sizes), len(going) + 8)
+    for a, b in _spans(len(going)):
+        rows, part = np.arange(going[a]), missed[:going[a], a:b]
+        (start, size), (inner, share) = high.shares(rows, part >> 8), low.shares(rows, part & 255)
+        start, size = ((start << np.uint64(_BITS)) + inner * size).T.copy(), (size * share).T.copy()
+        for t in range(a, b):
+            k = going[t]
+            writer.narrow(k, start[t - a, :k], size[t - a, :k], writer.range[:k] >> np.uint64(2 * _BITS))
+        high.learn(rows, part >> 8)
+        low.learn(rows, part & 255)
+    return writer.finish()
+
+
+def _read_missed(payloads: list[bytes], sizes) -> np.ndarray:
+    high, low, going = _Bytes(len(sizes)), _Bytes(len(sizes)), _going_on(sizes)
+    reader, missed = _Reader(payloads), np.zeros((len(sizes), len(going) + 1), np.int32)
+    bits = np.uint64(_BITS)
+    for a, b in _spans(len(going)):
+        rows = np.arange(going[a])
+        places, table, spots = rows << _BITS, rows << 8, np.zeros((b - a, len(rows)), np.int32)
+        (high_at, high_shares), (low_at, low_shares) = high.tables(rows), low.tables(rows)
+        for t in range(a, b):
+            k = going[t]
+            r = reader.range[:k] >> np.uint64(2 * _BITS)
+            value = reader.value(k, r)
+            h = high_at.take((value >> bits).view(np.int64) + places[:k], mode="clip")
+            share = high_shares.take(table[:k] + h)
+            start, size = share >> _HALF << bits, share & _LOW_HALF
+            lo = low_at.take(((value - start) // size).view(np.int64) + places[:k], mode="clip")
+            share = low_shares.take(table[:k] + lo)
+            reader.narrow(k, start + (share >> _HALF) * size, size * (share & _LOW_HALF), r)
+            spots[t - a, :k] = h.astype(np.int32) << 8 | lo
+        part = missed[:len(rows), a:b] = spots.T
+        high.learn(rows, part >> 8)
+        low.learn(rows, part & 255)
+    return missed
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Payloads of blocks of ids below 65536; longer blocks are coded along with shorter ones."""
+    """Payloads of blocks of ids below 65536; longer blocks are coded along with shorter ones.
+
+    A payload is two 32-bit numbers, of ids that order 0 codes and of the bytes of the mixture's symbols, then these, then those ids.
+    """
+    if not blocks:
+        return []
     order = np.argsort([-len(b) for b in blocks], kind="stable")
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((len(blocks), max(sizes, default=0)), np.int32)
+    going = _going_on(sizes)
+    ids = np.zeros((len(going), len(blocks)), np.int32)
     for row, i in enumerate(order):
-        ids[row, :len(blocks[i])] = blocks[i]
-    model, writer = _Model(len(blocks)), _Writer(len(blocks), 5 * ids.shape[1] + 16)
-    for t in range(ids.shape[1]):
-        rows = np.arange(np.searchsorted(-sizes, -t, side="left"))
-        now = ids[rows, t]
-        s2, s1, p2, p1, chosen = model.predictions(rows)
-        outcome = np.where(p2 == now, 0, np.where(p1 == now, 1, 2))
-        writer.put(rows, *_interval(model.mixture[rows, chosen], outcome))
-        if len(missed := rows[outcome == 2]):
-            got = now[outcome == 2]
-            writer.put(missed, *model.high.interval(missed, got >> 8))
-            writer.put(missed, *model.low.interval(missed, got & 255))
-        model.learn(rows, now, s2, s1, p2, p1, chosen, outcome)
+        ids[:sizes[row], row] = blocks[i]
+    model, writer = _Model(len(blocks)), _Writer(len(blocks), len(going) // 2 + 16)
+    neither = np.zeros(ids.shape, bool)
+    for t, k in enumerate(going):
+        now = ids[t, :k]
+        p2, p1, c0, c1, total = model.predictions(k)
+        wrong = p2 != now
+        neither[t, :k] = missed = wrong & (p1 != now)
+        start, end = np.where(missed, c1, c0 * wrong), np.where(missed, total, np.where(wrong, c1, c0))
+        writer.narrow(k, start, end - start, writer.range[:k] // total)
+        model.learn(k, now, wrong.view(np.int8) + missed, total)
+    many = neither.sum(axis=0)
+    lines = np.zeros((len(blocks), max(many, default=0)), np.int32)
+    neither = np.ascontiguousarray(neither.T)
+    lines[np.arange(lines.shape[1]) < many[:, None]] = ids.T[neither]
+    longest = np.argsort(-many, kind="stable")
     payloads: list[bytes] = [b""] * len(blocks)
-    for i, payload in zip(order, writer.finish()):
-        payloads[i] = payload
+    symbols = writer.finish()
+    for row, rest in zip(longest, _write_missed(lines[longest], many[longest])):
+        payloads[order[row]] = np.array([many[row], len(symbols[row])], "<u4").tobytes() + symbols[row] + rest
     return payloads
 
 
 def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    if not payloads:
+        return []
     order = np.argsort([-n for n in sizes], kind="stable")
-    many = np.array(sizes)[order]
-    ids = np.zeros((len(many), max(sizes, default=0)), np.int32)
-    model, reader = _Model(len(many)), _Reader([payloads[i] for i in order])
-    for t in range(ids.shape[1]):
-        rows = np.arange(np.searchsorted(-many, -t, side="left"))
-        s2, s1, p2, p1, chosen = model.predictions(rows)
-        outcome = _find(model.mixture[rows, chosen], reader, rows)
-        now = np.where(outcome == 0, p2, p1)
-        if len(missed := rows[outcome == 2]):
-            high = model.high.find(reader, missed)
-            now[outcome == 2] = high << 8 | model.low.find(reader, missed)
-        ids[rows, t] = now
-        model.learn(rows, now, s2, s1, p2, p1, chosen, outcome)
-    out = [np.zeros(0, np.int32)] * len(many)
+    sizes = np.array(sizes)[order]
+    heads = np.array([np.frombuffer(payloads[i], "<u4", 2) for i in order], np.int64)
+    many = np.minimum(heads[:, 0], sizes)
+    longest = np.argsort(-many, kind="stable")
+    missed = np.empty((len(order), max(many, default=0) + 1), np.int32)
+    missed[longest] = _read_missed([payloads[order[row]][8 + heads[row, 1]:] for row in longest], many[longest])
+    following, last = np.arange(len(order)) * missed.shape[1], np.arange(1, len(order) + 1) * missed.shape[1] - 1
+    missed, going = missed.ravel(), _going_on(sizes)
+    ids = np.zeros((len(going), len(order)), np.int32)
+    model, reader = _Model(len(order)), _Reader([payloads[i][8:8 + end] for i, end in zip(order, heads[:, 1])])
+    for t, k in enumerate(going):
+        p2, p1, c0, c1, total = model.predictions(k)
+        r = reader.range[:k] // total
+        value = reader.value(k, r)
+        wrong, neither = value >= c0, value >= c1
+        now = np.where(neither, missed.take(following[:k]), np.where(wrong, p1, p2))
+        following[:k] = np.minimum(following[:k] + neither, last[:k])
+        start, end = np.where(neither, c1, c0 * wrong), np.where(neither, total, np.where(wrong, c1, c0))
+        reader.narrow(k, start, end - start, r)
+        ids[t, :k] = now
+        model.learn(k, now, wrong.view(np.int8) + neither, total)
+    out = [np.zeros(0, np.int32)] * len(order)
+    ids = np.ascontiguousarray(ids.T)
     for row, i in enumerate(order):
-        out[i] = ids[row, :sizes[i]]
+        out[i] = ids[row, :sizes[row]]
     return out
 
 
-_SPACE = re.compile(r"[ \t\n\r]+")
-KNOWN_WORDS = 50_000  # after which those that were not used since are forgotten
+KNOWN_WORDS = 150_000  # after which those that were not used since are forgotten
+_TOGETHER = 256  # words that are encoded as one text
 
 
 class _Words:
@@ -248,17 +308,48 @@ class _Words:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads that wait for words burn others
-        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": []}, {}
+        self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
 
     def ids(self, texts: list[str]) -> list[list[int]]:
-        cut = [_SPACE.split(t) for t in texts]
+        flat, counts = self.flat(pa.array(texts, pa.string()))
+        return [part.tolist() for part in np.split(flat, np.cumsum(counts)[:-1])]
+
+    def flat(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each text has."""
+        if not len(texts):
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        odd = any(pa.compute.any(pa.compute.match_substring(texts, c)).as_py() for c in "\v\f")  # no white space to all tokenizers
+        cut = pa.compute.split_pattern_regex(texts, r"[ \t\n\r]+") if odd else pa.compute.ascii_split_whitespace(texts)
+        coded = cut.flatten().dictionary_encode()
+        lines, lengths = self._lines(coded.dictionary.to_pylist())
+        words = coded.indices.to_numpy()
+        many = lengths.take(words)
+        ends = np.cumsum(many)
+        ids = lines.take(np.repeat(np.cumsum(lengths).take(words) - ends, many) + np.arange(ends[-1]))
+        return ids, np.diff(np.concatenate(([0], ends)).take(cut.offsets.to_numpy()))
+
+    def _lines(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each word has."""
         if len(self.known) > KNOWN_WORDS:  # words that come again soon are kept
-            self.known, self.older = {"": []}, self.known
-        new = [w for w in dict.fromkeys(chain.from_iterable(cut)) if w not in self.known]
+            self.known, self.older = {"": b""}, self.known
+        new = [w for w in words if w not in self.known]
         self.known.update((w, self.older[w]) for w in new if w in self.older)
         new = [w for w in new if w not in self.known]
-        self.known.update(zip(new, (e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return [list(chain.from_iterable([self.known[w] for w in words])) for words in cut]
+        self.known.update(zip(new, self._encoded(new)))
+        lines = [self.known[w] for w in words]
+        return np.frombuffer(b"".join(lines), np.int32), np.fromiter(map(len, lines), np.int64, len(lines)) >> 2
+
+    def _encoded(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of each word. Many are encoded as one text; where an id comes from tells its word."""
+        parts = [" ".join(words[i:i + _TOGETHER]) for i in range(0, len(words), _TOGETHER)]
+        found = self.tokenizer.encode_batch(parts, add_special_tokens=False)
+        ids = np.fromiter(chain.from_iterable(e.ids for e in found), np.int32).tobytes()
+        places = [np.fromiter((a for a, _ in e.offsets), np.int64) for e in found]
+        base = np.cumsum([0, *(len(p) + 1 for p in parts)])
+        places = np.concatenate([p + at for p, at in zip(places, base)]) if places else np.zeros(0, np.int64)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        upto = np.searchsorted(places, ends).tolist()
+        return (ids[4 * a:4 * b] for a, b in zip([0, *upto], upto))
 
 
 def default_tokenizer() -> str:
@@ -307,17 +398,17 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end: i
                 number += 1
 
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
-                ids = [x + [end] for x in words.ids(part["text"].to_pylist())]
-                yield _batch([[d, len(x), None, None, None, None] for d, x in zip(part["doc_id"].to_pylist(), ids)])
-                flat = np.concatenate((rest, np.fromiter(chain.from_iterable(ids), np.int32)))
-                full = len(flat) // block * block
-                waiting += list(flat[:full].reshape(-1, block))
-                rest = flat[full:]
-                if len(waiting) >= LANES:
-                    yield _batch(rows_of(waiting))
-                    waiting = []
+            ids, counts = words.flat(batch["text"])
+            yield _batch([[d, n + 1, None, None, None, None] for d, n in zip(batch["doc_id"].to_pylist(), counts.tolist())])
+            flat = np.concatenate((rest, np.insert(ids, np.cumsum(counts), end)))
+            full = len(flat) // block * block
+            waiting += list(flat[:full].reshape(-1, block))
+            rest = flat[full:]
+            if len(waiting) >= LANES:
+                full = len(waiting) // LANES * LANES
+                for i in range(0, full, LANES):
+                    yield _batch(rows_of(waiting[i:i + LANES]))
+                waiting = waiting[full:]
         waiting += [rest] if len(rest) else []
         if waiting:
             for i in range(0, len(waiting), LANES):
@@ -335,10 +426,14 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
 
-def read_ids(spark, folder: str) -> DataFrame:
+READ = "doc_id bigint, start bigint, n_tokens bigint, ids array<int>"
+
+
+def read_ids(spark, folder: str, derive: Callable[[pa.Table], pa.Table] | None = None, columns: str = READ) -> DataFrame:
     """Columns doc_id, start (ids of all documents before), n_tokens, ids: decoded and checked.
 
-    A block whose checksum differs fails the job. One task decodes one file.
+    A block whose checksum differs fails the job. One task decodes one file. ``derive`` makes other ``columns`` of these where the
+    ids are decoded, so that they need not leave Python.
     """
     stored = spark.read.parquet(folder)
     sums = stored.filter("n_tokens IS NOT NULL").groupBy("file").agg(F.sum("n_tokens").alias("total"))
@@ -364,20 +459,23 @@ def read_ids(spark, folder: str) -> DataFrame:
         ends = np.cumsum(counts)
         first = base[table["file"][0].as_py()] if table.num_rows else 0
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(flat))
-        return pa.table({
+        read = pa.table({
             "doc_id": listed["doc_id"], "start": pa.array(first + ends - counts, pa.int64()), "n_tokens": listed["n_tokens"], "ids": lists,
         })
+        return derive(read) if derive else read
 
-    return stored.groupBy("file").applyInArrow(of_file, "doc_id bigint, start bigint, n_tokens bigint, ids array<int>")
+    return stored.groupBy("file").applyInArrow(of_file, columns)
 
 
-@F.pandas_udf(T.LongType())
-def crc32_of(ids: pd.Series) -> pd.Series:
-    """CRC-32 of ids as little-endian unsigned 32-bit integers."""
-    return pd.Series([zlib.crc32(np.asarray(x).astype("<u4").tobytes()) for x in ids])
+def with_crc32(read: pa.Table) -> pa.Table:
+    """The CRC-32 of each document's ids, as little-endian unsigned 32-bit integers, in their place."""
+    ids = read["ids"].combine_chunks()
+    ends, flat = (4 * ids.offsets.to_numpy()).tolist(), memoryview(ids.values.to_numpy().astype("<u4").tobytes())
+    crcs = [zlib.crc32(flat[a:b]) for a, b in zip(ends, ends[1:])]
+    return read.drop_columns("ids").append_column("ids_crc32", pa.array(crcs, pa.int64()))
 
 
 def op6_token_files(spark, folder: str) -> DataFrame:
     path = _new_path(spark)
     write_ids(spark.read.parquet(f"{folder}/documents.parquet"), path)
-    return read_ids(spark, path).select("doc_id", "start", "n_tokens", crc32_of("ids").alias("ids_crc32"))
+    return read_ids(spark, path, with_crc32, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")

@@ -335,6 +335,35 @@ def test_words_are_forgotten_unless_used(monkeypatch):
         assert len(words.known) + len(words.older) < 80 and "always" in words.known
 
 
+def test_words_are_encoded_together():
+    """Many new words go to the tokenizer as one text, and each gets the ids that it has alone."""
+    words = id_files._Words(id_files.default_tokenizer())
+    plain, texts = words.tokenizer, []
+
+    class Counted:
+        def encode_batch(self, batch, **options):
+            texts.extend(batch)
+            return plain.encode_batch(batch, **options)
+
+    words.tokenizer = Counted()
+    odd = ["don't stop", "a\vb \fc", "\u0301e e\u0301 \u0958x İstanbul", "<|endoftext|>x y", "\u00a0 \u2028z\u00a0q", "日本 \U0001f31f's", "\x01 \x7f", " ", ""]
+    many = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(20)]
+    assert words.ids(many + odd) == [plain.encode(t, add_special_tokens=False).ids for t in many + odd]
+    assert len(texts) <= 1 + 1260 // id_files._TOGETHER
+    ids, counts = words.flat(id_files.pa.array([], "string"))
+    assert len(ids) == len(counts) == 0
+
+
+def test_blocks_of_unequal_length():
+    """Lanes end at different places, in the mixture and in order 0, and counts are halved on the way."""
+    draw = np.random.default_rng(8)
+    blocks = [np.minimum(draw.geometric(p, n), 65535).astype(np.int32) for n, p in [(5000, 0.2), (1, 0.5), (2048, 0.001), (0, 0.5), (4999, 0.0001), (7, 0.3)] * 3]
+    payloads = id_files.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, id_files.decode_blocks(payloads, [len(b) for b in blocks]), strict=True))
+    assert [id_files.decode_blocks([p], [len(b)])[0].tolist() for p, b in zip(payloads, blocks)] == [b.tolist() for b in blocks]
+    assert id_files.encode_blocks([]) == id_files.decode_blocks([], []) == []
+
+
 def test_id_files(spark, docs, empty, tmp_path):
     from tokenizers import Tokenizer
 
