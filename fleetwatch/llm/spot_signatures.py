@@ -14,6 +14,7 @@ and reads only the rarest spots that a partner must share.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,10 +87,11 @@ def following(ids: DataFrame) -> DataFrame:
     return inner.join(known, "range", "left").select("id", F.coalesce("lead", "head").alias("next"))
 
 
-def with_next_document(docs: DataFrame, carried: list[str]) -> DataFrame:
+def with_next_document(docs: DataFrame, carried: list[str], made: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Each row with the ``carried`` columns of the next document in ascending doc_id (after the last: the first) as next_*.
 
-    Texts are shuffled once, by range of ids; the first document of a range also visits the range before.
+    Texts are shuffled once, by range of ids; the first document of a range also visits the range before. ``made`` adds costly
+    columns, once to each row and visitor; finding the order does without them.
     """
     ranged = docs.withColumn("range", F.floor(F.col("doc_id") / ID_RANGE).cast("bigint"))
     heads = docs.select("doc_id").groupBy(F.floor(F.col("doc_id") / ID_RANGE).cast("bigint").alias("id")).agg(F.min("doc_id").alias("head"))
@@ -100,7 +102,7 @@ def with_next_document(docs: DataFrame, carried: list[str]) -> DataFrame:
     visits = materialise(visits.join(heads.df.withColumnRenamed("id", "of"), "of").select(F.col("head").alias("doc_id"), "visited"))
     small = F.broadcast(visits.df) if visits.rows <= SMALL else visits.df
     guests = ranged.join(small, "doc_id").withColumn("range", F.col("visited")).drop("visited")
-    both = ranged.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)))
+    both = made(ranged.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))))
     in_order = Window.partitionBy("range").orderBy("guest", "doc_id", "text")
     return both.select("*", *[F.lead(c).over(in_order).alias(f"next_{c}") for c in carried]).filter("NOT guest").drop("guest", "range")
 
@@ -115,9 +117,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     common = common_words(texts)
-    found = with_spots(texts, "text", "found", common)
-    known = with_next_document(found.filter(F.col("doc_id").isNotNull()), ["text", "found"])
-    nameless = found.filter(F.col("doc_id").isNull()).select("*", F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_found"))
+
+    def found(df: DataFrame) -> DataFrame:
+        return with_spots(df, "text", "found", common)
+
+    known = with_next_document(texts.filter(F.col("doc_id").isNotNull()), ["text", "found"], found)
+    nameless = found(texts.filter(F.col("doc_id").isNull())).select("*", F.lit("").alias("next_text"), F.lit(None).cast("array<bigint>").alias("next_found"))
     both = known.unionByName(nameless).withColumn("n_chars", F.length("text").cast("bigint"))
     cut = F.floor(F.col("n_chars") / 4).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - cut)

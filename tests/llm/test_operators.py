@@ -407,6 +407,17 @@ def test_spots(docs, empty):
     assert spot_signatures.fingerprints(empty).count() == 0
 
 
+def test_spots_are_made_once(docs, monkeypatch):
+    """Spots are made of each row with id, of those without and of the edited texts; the order of ids is found without them."""
+    def plan(df):
+        return df._jdf.queryExecution().optimizedPlan().toString()
+
+    ordered, materialise = [], spot_signatures.materialise
+    monkeypatch.setattr(spot_signatures, "materialise", lambda df: ordered.append(plan(df)) or materialise(df))
+    assert plan(spot_signatures.fingerprints(docs)).count("Generate explode") == 3
+    assert ordered and not any("Generate" in p for p in ordered)
+
+
 def test_following(spark, monkeypatch):
     monkeypatch.setattr(spot_signatures, "SMALL", 3)
     ids = sorted(random.Random(1).sample(range(10**7), 60))
