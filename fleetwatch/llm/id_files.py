@@ -192,7 +192,7 @@ def _going_on(sizes) -> list[int]:
 def _write_missed(missed, sizes) -> list[bytes]:
     """Ids that order 0 codes. ``missed``: a line of ids for each block, the longest first."""
     high, low, going = _Bytes(len(sizes)), _Bytes(len(sizes)), _going_on(sizes)
-    writer = _Writer(len(sizes), len(going) + 8)
+    writer = _Writer(len(sizes), len(going) + 2)
     for a, b in _spans(len(going)):
         rows, part = np.arange(going[a]), missed[:going[a], a:b]
         (start, size), (inner, share) = high.shares(rows, part >> 8), low.shares(rows, part & 255)
@@ -243,7 +243,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((len(going), len(blocks)), np.int32)
     for row, i in enumerate(order):
         ids[:sizes[row], row] = blocks[i]
-    model, writer = _Model(len(blocks)), _Writer(len(blocks), len(going) // 2 + 16)
+    model, writer = _Model(len(blocks)), _Writer(len(blocks), len(going) + 2)  # a word a symbol at most
     neither = np.zeros(ids.shape, bool)
     for t, k in enumerate(going):
         now = ids[t, :k]
@@ -309,6 +309,8 @@ class _Words:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and threads that wait for words burn others
         self.tokenizer, self.known, self.older = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer.no_truncation()  # words that go together are longer than any limit
+        self.tokenizer.no_padding()
 
     def ids(self, texts: list[str]) -> list[list[int]]:
         flat, counts = self.flat(pa.array(texts, pa.string()))
@@ -364,7 +366,12 @@ def _check_tokenizer(path: str, end: int) -> None:
     if max(end, *words.tokenizer.get_vocab().values()) >= 1 << 16:
         raise ValueError("ids of 65536 and more cannot be written")
     probes = ["the cat sat", "a\nb", "x  y", " to\tbe ", "Don't stop , 3.5"]
-    if words.ids(probes) != [words.tokenizer.encode(p, add_special_tokens=False).ids for p in probes]:
+
+    def encoded(text):
+        return words.tokenizer.encode(text, add_special_tokens=False).ids
+
+    whole, alone = [encoded(p) for p in probes], [list(chain.from_iterable(map(encoded, p.split()))) for p in probes]
+    if not words.ids(probes) == alone == whole:
         raise ValueError("the tokenizer looks across white space")
 
 

@@ -354,6 +354,24 @@ def test_words_are_encoded_together():
     assert len(ids) == len(counts) == 0
 
 
+def test_tokenizers_that_need_whole_texts(docs, tmp_path):
+    """A limit on length cuts no words that go together, and ids that tell of the blank before them are refused."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    plain = Tokenizer.from_file(id_files.default_tokenizer())
+    plain.enable_truncation(8)
+    plain.save(str(tmp_path / "cut.json"))
+    text = " ".join(f"w{i}x" for i in range(50))
+    words = id_files._Words(str(tmp_path / "cut.json"))
+    plain.no_truncation()
+    assert words.ids([text]) == [plain.encode(text, add_special_tokens=False).ids]
+    blanks = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}, []))
+    blanks.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    blanks.save(str(tmp_path / "blanks.json"))
+    with pytest.raises(ValueError):
+        id_files.write_ids(docs, str(tmp_path / "out"), str(tmp_path / "blanks.json"))
+
+
 def test_blocks_of_unequal_length():
     """Lanes end at different places, in the mixture and in order 0, and counts are halved on the way."""
     draw = np.random.default_rng(8)
