@@ -1,8 +1,10 @@
 """Dealt operators against brute force, on small tables with nulls, ties, copies, long texts and clashing columns."""
 
 import hashlib
+import os
 import random
 import re
+import shutil
 
 import numpy as np
 import pytest
@@ -354,6 +356,42 @@ def test_words_are_encoded_together():
     assert len(ids) == len(counts) == 0
 
 
+def test_marks_and_capitals_make_no_new_words(tmp_path):
+    """Letters are encoded apart from the marks behind them, in small, and once; but only where the tokenizer does so."""
+    from tokenizers import Tokenizer, normalizers
+
+    words = id_files._Words(id_files.default_tokenizer())
+    plain, sent = Tokenizer.from_file(id_files.default_tokenizer()), []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def encode_batch_fast(self, batch, **options):
+            sent.extend(" ".join(batch).split())
+            return self.tokenizer.encode_batch_fast(batch, **options)
+
+    words.letters = (*map(Counted, words.letters[:2]), words.letters[2])
+    texts = ["Thonre thonre, THONRE*** (thonre) thonre's THONRE'S", "ÈÊAUX èêaux. Èêaux;; straße STRASSE ẞ İx ÷x x÷ e\u0301x", "x<|endoftext|> x, <x> , .", "", "Thonre\v, thonre", "ÿ! Ÿ!"]
+    for _ in range(2):
+        assert words.ids(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sorted(sent) == sorted({"thonre", "èêaux", "straße", "strasse", "x", "ÿ"})
+    plain.normalizer = normalizers.NFC()
+    plain.save(str(tmp_path / "capitals.json"))
+    words = id_files._Words(str(tmp_path / "capitals.json"))
+    assert words.letters is None and words.ids(texts) == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_words_are_kept_for_later_tasks(tmp_path):
+    """A process knows its words again in its next task, unless the tokenizer's file has changed."""
+    shutil.copy(id_files.default_tokenizer(), tmp_path / "one.json")
+    path = str(tmp_path / "one.json")
+    words = id_files._words(path, os.stat(path).st_mtime_ns)
+    assert id_files._words(path, os.stat(path).st_mtime_ns) is words
+    os.utime(path, (1, 1))
+    assert id_files._words(path, os.stat(path).st_mtime_ns) is not words
+
+
 def test_tokenizers_that_need_whole_texts(docs, tmp_path):
     """A limit on length cuts no words that go together, and ids that tell of the blank before them are refused."""
     from tokenizers import Tokenizer, models, pre_tokenizers
