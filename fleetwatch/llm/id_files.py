@@ -6,12 +6,13 @@ of ``BLOCK`` ids. Every block starts with a fresh model, so it can be decoded al
 the CRC-32 of its ids.
 
 Model. Order 2 and order 1 each predict one id, the one that last followed the same two ids or
-the same id, with a confidence of how often that came true in a row. The pair of confidences
-chooses a mixture: adaptive counts of "order 2 is right", "order 1 is right", "neither". Only an
-id that neither predicts is coded by order 0: adaptive counts of its high and its low byte, which
-the coder takes up anew at places ever further apart, so that a symbol is looked up and not searched.
-The symbols drive two carry-less range coders of 64 bits, one for the mixture and one for order 0, which
-put out 32-bit words. All blocks of a task are coded in step, one array element each.
+the same id. Which of them is right, or neither, is an outcome; four outcomes are one symbol of
+the mixture, whose adaptive counts the outcome before them chooses. So outcomes can be read before
+any id is known, and the ids then follow by looking up. Only an id that neither predicts is coded
+by order 0: adaptive counts of its high and its low byte. The coder takes counts up anew at places
+ever further apart, so that a symbol is looked up and not searched. Two carry-less range coders of
+64 bits, one for the mixture and one for order 0, put out 32-bit words and take two symbols at
+once. All blocks of a task are coded in step, one array element each.
 
 Storage is a Parquet table of block rows (file, block, documents and payload), so it works with
 any store that Spark knows and a lost executor's files are written again.
@@ -44,9 +45,10 @@ _SLOTS = 1 << 13
 _BITS = 11  # of the scale that a symbol's share is on
 _MAX_COUNT = 1 << 14
 _GROUP = 4  # outcomes in a symbol
-_CHOICES = 3  # outcomes before a group that choose its mixture: the last one's three, or 9 for the last two's
-_THREES = 3 ** np.arange(_GROUP, dtype=np.int32)[::-1]
-_WORD, _LOW_HALF, _HALF, _TWO = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32), np.uint64(2 * _BITS)
+_CHOICES = 3  # sets of counts for a group, which the outcome before it chooses
+_THREES = [3 ** i for i in range(_GROUP)][::-1]
+_WORD, _LOW_HALF, _HALF = np.uint64(1 << 32), np.uint64((1 << 32) - 1), np.uint64(32)
+_ONE, _TWO, _TWELVE, _SIZE = np.uint64(_BITS), np.uint64(2 * _BITS), np.uint64(12), np.uint64(4095)
 
 
 class _Bytes:
@@ -63,14 +65,14 @@ class _Bytes:
         return before.reshape(symbol.shape), size.reshape(symbol.shape), sums[:, -1].reshape(-1, *[1] * (symbol.ndim - 1))
 
     def shares(self, rows: int):
-        """Flat, for the first rows: beginning << 32 | size of what each symbol has of ``1 << _BITS``; and the sizes."""
+        """Flat, for the first rows: beginning << 12 | size of what each symbol has of ``1 << _BITS``; and the sizes."""
         sums = np.zeros((rows, self.symbols + 1), np.int32)
         np.cumsum(self.counts[:rows], axis=1, out=sums[:, 1:])
-        scale = ((1 << _BITS) - self.symbols) / sums[:, -1:]  # each symbol has one at least
-        edges = (sums * scale).astype(np.int64) + np.arange(self.symbols + 1)
+        edges = (sums * (np.float32((1 << _BITS) - self.symbols) / sums[:, -1:].astype(np.float32))).astype(np.int32)
+        edges += np.arange(self.symbols + 1, dtype=np.int32)  # each symbol has one at least
         edges[:, -1] = 1 << _BITS
         sizes = np.diff(edges)
-        return (edges[:, :-1] << 32 | sizes).view(np.uint64).ravel(), sizes.ravel()
+        return (edges[:, :-1] << 12 | sizes).ravel(), sizes.ravel()
 
     def tables(self, rows: int):
         """To decode with: the symbol at each of ``1 << _BITS`` places of each row, and the shares."""
@@ -79,7 +81,9 @@ class _Bytes:
 
     def learn(self, rows, symbol):
         at = (rows * self.symbols).reshape(*rows.shape, *[1] * (symbol.ndim - rows.ndim)) + symbol
-        self.counts += 24 * np.bincount(at.ravel(), minlength=self.counts.size).astype(np.int32).reshape(self.counts.shape)
+        seen = np.bincount(at.ravel(), minlength=self.counts.size).reshape(self.counts.shape)
+        seen *= 24
+        np.add(self.counts, seen, out=self.counts, casting="unsafe")
         old = np.flatnonzero(self.counts.sum(axis=1) > _MAX_COUNT)
         if len(old):
             self.counts[old] = (self.counts[old] + 1) >> 1
@@ -89,8 +93,8 @@ def _spans(n: int) -> Iterator[tuple[int, int]]:
     """Stretches of 0..n in which counts stay as they are; what a stretch held is learnt at its end."""
     at = 0
     while at < n:
-        yield at, min(n, at + max(4, at // 2))
-        at += max(4, at // 2)
+        yield at, min(n, at + max(8, at // 2))
+        at += max(8, at // 2)
 
 
 class _Coder:
@@ -106,7 +110,7 @@ class _Coder:
         short = left < _WORD
         self.words(k, low, short)
         rest = _WORD - (low & _LOW_HALF)  # of this word
-        shift = np.multiply(short, _HALF, dtype=np.uint64)
+        shift = short.view(np.uint8) << np.uint8(5)
         np.minimum(left, rest, out=left, where=short)
         low <<= shift
         np.left_shift(left, shift, out=self.range[:k])
@@ -178,16 +182,18 @@ class _Pairs:
             n, part = going[a], pairs[:going[a], a:b]
             x, y = part >> 8, part & 255
             shares, _ = self.first.shares(n * self.choices)
-            inner = shares if self.second is self.first else self.second.shares(n)[0]
+            shares_of_second = shares if self.second is self.first else self.second.shares(n)[0]
             symbols, lines = self.first.symbols, self.rows(np.column_stack((before[:n], y[:, :-1])))
-            outer = shares.take((lines * symbols).reshape(n, -1) + x)
-            inner = inner.take((self.rows(x) * symbols).reshape(n, -1) + y)
-            size = outer & _LOW_HALF
-            start = ((outer >> _HALF << np.uint64(_BITS)) + (inner >> _HALF) * size).T.copy()
-            size = (size * (inner & _LOW_HALF)).T.copy()
-            for t in range(a, b):
-                k = going[t]
-                writer.narrow(k, start[t - a, :k], size[t - a, :k], writer.range[:k] >> _TWO)
+            for c in range(a, b, 64):  # arrays that stay in the cache
+                some = slice(c - a, min(b, c + 64) - a)
+                outer = shares.take((lines if self.choices == 1 else lines[:, some]).reshape(n, -1) * symbols + x[:, some]).astype(np.uint64)
+                inner = shares_of_second.take(self.rows(x[:, some]).reshape(n, -1) * symbols + y[:, some]).astype(np.uint64)
+                size = outer & _SIZE
+                start = ((outer >> _TWELVE << _ONE) + (inner >> _TWELVE) * size).T.copy()
+                size = (size * (inner & _SIZE)).T.copy()
+                for t in range(c, min(b, c + 64)):
+                    k = going[t]
+                    writer.narrow(k, start[t - c, :k], size[t - c, :k], writer.range[:k] >> _TWO)
             self.learn(part, before[:n])
             before[:n] = y[:, -1]
         return writer.finish()
@@ -195,7 +201,7 @@ class _Pairs:
     def read(self, payloads: list[bytes], sizes) -> np.ndarray:
         going = _going_on(sizes)
         reader, pairs = _Reader(payloads), np.zeros((len(sizes), len(going)), np.int32)
-        before, one = np.zeros(len(sizes), np.int64), np.uint64(_BITS)
+        before = np.zeros(len(sizes), np.int64)
         for a, b in _spans(len(going)):
             n = going[a]
             places, table = np.arange(n) * self.choices << _BITS, np.arange(n) * (self.choices * self.first.symbols)
@@ -207,13 +213,13 @@ class _Pairs:
                 r = reader.range[:k] >> _TWO
                 value = reader.value(k, r)
                 place, row = self._line(places[:k], table[:k], y)
-                x = at.take((value >> one).view(np.int64) + place, mode="clip")
-                share = shares.take(row + x, mode="clip")
-                start, size = share >> _HALF << one, share & _LOW_HALF
+                x = at.take((value >> _ONE).view(np.int64) + place, mode="clip")
+                share = shares.take(row + x, mode="clip").astype(np.uint64)
+                start, size = share >> _TWELVE << _ONE, share & _SIZE
                 place, row = self._line(places[:k], table[:k], x)
                 y = inner_at.take(((value - start) // size).view(np.int64) + place, mode="clip")
-                share = inner.take(row + y, mode="clip")
-                reader.narrow(k, start + (share >> _HALF) * size, size * (share & _LOW_HALF), r)
+                share = inner.take(row + y, mode="clip").astype(np.uint64)
+                reader.narrow(k, start + (share >> _TWELVE) * size, size * (share & _SIZE), r)
                 found[t - a, :k] = x.astype(np.int32) << 8 | y
             part = pairs[:n, a:b] = found.T
             self.learn(part, before[:n])
@@ -266,11 +272,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         two[at2] = one[at1] = ids[t, :k]
         before, last = last, ids[t].astype(np.int64)
     wrong = by_two != ids
-    neither = (wrong & (by_one != ids)).T & (np.arange(len(going)) < sizes[:, None])
-    outcomes = np.zeros((len(slots), max(_pairs_of(sizes)), 2, _GROUP), np.int32)
-    outcomes.reshape(len(slots), -1)[:, :len(going)] = wrong.T.view(np.int8) + neither
-    groups = outcomes @ _THREES
-    symbols = _Pairs(len(slots), 3 ** _GROUP, _CHOICES).write(groups[:, :, 0] << 8 | groups[:, :, 1], _pairs_of(sizes))
+    missing = wrong & (by_one != ids) & (np.arange(len(going))[:, None] < sizes)
+    neither = np.ascontiguousarray(missing.T)
+    outcomes = np.zeros((max(_pairs_of(sizes)), 2, _GROUP, len(slots)), np.uint8)
+    np.add(wrong, missing, out=outcomes.reshape(-1, len(slots))[:len(going)], dtype=np.uint8)
+    groups = sum(outcomes[:, :, i] * np.uint8(n) for i, n in enumerate(_THREES)).transpose(1, 2, 0).astype(np.int32)
+    symbols = _Pairs(len(slots), 3 ** _GROUP, _CHOICES).write(groups[0] << 8 | groups[1], _pairs_of(sizes))
     many = neither.sum(axis=1)
     missed = np.zeros((len(slots), max(many)), np.int32)
     missed[np.arange(missed.shape[1]) < many[:, None]] = lines[neither]
@@ -288,24 +295,23 @@ def decode_blocks(payloads: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     heads = np.array([np.frombuffer(payloads[i], "<u4", 2) for i in order], np.int64)
     many, slots = np.minimum(heads[:, 0], sizes), np.arange(len(payloads)) * _SLOTS
     pairs = _Pairs(len(slots), 3 ** _GROUP, _CHOICES).read([payloads[i][8:8 + end] for i, end in zip(order, heads[:, 1])], _pairs_of(sizes))
-    groups = np.stack((pairs >> 8, pairs & 255), axis=2).astype(np.uint8)
-    outcomes = (groups[..., None] // _THREES.astype(np.uint8) % np.uint8(3)).reshape(len(slots), -1)[:, :len(going)]
-    neither = (outcomes == 2) & (np.arange(len(going)) < sizes[:, None])
+    groups = np.stack((pairs.T >> 8, pairs.T & 255), axis=1).astype(np.uint8)
+    outcomes = np.stack([groups // np.uint8(n) % np.uint8(3) for n in _THREES], axis=2).reshape(-1, len(slots))
+    right2, right1, neither = outcomes == 0, outcomes == 1, outcomes == 2
     longest = np.argsort(-many, kind="stable")
     missed = np.zeros((len(slots), max(many) + 1), np.uint16)
     missed[longest, :-1] = _Pairs(len(slots)).read([payloads[order[row]][8 + heads[row, 1]:] for row in longest], many[longest])
-    lines = np.zeros(neither.shape, np.uint16)
-    follows = np.minimum(np.cumsum(neither, axis=1) - 1, many[:, None]) + np.arange(len(slots))[:, None] * missed.shape[1]
-    lines[neither] = missed.ravel().take(follows[neither])
-    ids, right2, right1 = (np.ascontiguousarray(x.T) for x in (lines, outcomes == 0, outcomes == 1))
+    following, missed = np.arange(len(slots)) * missed.shape[1], missed.ravel()
+    ids = np.zeros((len(going), len(slots)), np.uint16)
     two, one = (np.zeros(len(slots) * _SLOTS, np.uint16) for _ in range(2))
     before = last = np.zeros_like(slots)
     for t, k in enumerate(going):
         at2, at1 = _slots(before[:k], last[:k], slots[:k])
-        now = ids[t, :k]
+        now = missed.take(following[:k], mode="clip")
         np.copyto(now, two.take(at2, mode="clip"), where=right2[t, :k])
         np.copyto(now, one.take(at1, mode="clip"), where=right1[t, :k])
-        two[at2] = one[at1] = now
+        following[:k] += neither[t, :k]
+        ids[t, :k] = two[at2] = one[at1] = now
         before, last = last, now.astype(np.int64)
     ids, out = np.ascontiguousarray(ids.T).astype(np.int32), [np.zeros(0, np.int32)] * len(order)
     for row, i in enumerate(order):
